@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import byte_bpe, mixing, token_files
+from corpuslab.llm import byte_bpe, mixing, token_files, warc
 from corpuslab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def byte_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("record_id"), "url", F.col("html").cast("binary").alias("payload"))
+    return warc.round_trip(pages).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
     return tokens.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -45,6 +50,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_warc": op2_warc,
         "op3_token_files": op3_token_files,
         "op8_byte_bpe": op8_byte_bpe,
         "op10_mix_sources": op10_mix_sources,
@@ -52,4 +58,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op10_mix_sources": mixing.ORACLE}
