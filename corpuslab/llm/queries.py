@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import byte_bpe, mixing, token_files, warc
+from corpuslab.llm import byte_bpe, mixing, token_files, topk, warc
 from corpuslab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), byte_pattern()
     both = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -52,10 +57,11 @@ def queries() -> dict[str, Query]:
     return {
         "op2_warc": op2_warc,
         "op3_token_files": op3_token_files,
+        "op5_topk_search": op5_topk_search,
         "op8_byte_bpe": op8_byte_bpe,
         "op10_mix_sources": op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op10_mix_sources": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op5_topk_search": topk.ORACLE, "op10_mix_sources": mixing.ORACLE}
