@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import byte_bpe, mixing, token_files, topk, warc
-from corpuslab.llm.common import table
+from corpuslab.llm import byte_bpe, mixing, quality_classifier, quality_rules, token_files, topk, warc
+from corpuslab.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,20 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(documents, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(documents, model)
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality_rules.fit(documents, table(spark, sf_dir, "labels"))
+    return quality_rules.score(documents, model)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), byte_pattern()
     both = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -58,6 +72,8 @@ def queries() -> dict[str, Query]:
         "op2_warc": op2_warc,
         "op3_token_files": op3_token_files,
         "op5_topk_search": op5_topk_search,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_quality_rules": op7_quality_rules,
         "op8_byte_bpe": op8_byte_bpe,
         "op10_mix_sources": op10_mix_sources,
     }
