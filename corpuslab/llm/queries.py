@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import byte_bpe, mixing, quality_classifier, quality_rules, token_files, topk, warc
+from corpuslab.llm import byte_bpe, language, mixing, quality_classifier, quality_rules, token_files, topk, warc
 from corpuslab.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    net = language.fit(documents, fold("doc_id", 4) != 2)
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return language.predict(documents, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_classifier": op6_quality_classifier,
         "op7_quality_rules": op7_quality_rules,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_language_id": op9_language_id,
         "op10_mix_sources": op10_mix_sources,
     }
 
