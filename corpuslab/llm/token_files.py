@@ -20,12 +20,15 @@ a doc_id follow one another in the order of their ids; an empty table gives no f
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,70 +39,104 @@ from corpuslab.session import work_dir
 
 MAGIC = b"CLTOK01\n"
 #: Entries that a worker's dictionary of words holds before it is emptied.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1 << 19
 
 
+class _Numbers(dict):
+    """Gives every new word the next number."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The pieces flat[start : start + length], one behind the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordTokenizer:
     """A tokenizer whose pre-tokens never hold white space, so that words can be encoded once each.
 
     The library encodes everything; this class only decides what it is asked. New words made of plain
-    letters, with or without a final mark, are sent to it as one line, whose ids are cut where a token
+    letters, with or without a final mark, are sent to it as lines, whose ids are cut where a token
     ends a pre-token (``</w>``); all others are sent one by one. Texts with the control characters on
-    which Python and Unicode disagree about white space are sent whole.
+    which Python and Unicode disagree about white space are sent whole. Words have numbers in a bounded
+    dictionary, and their ids lie in one flat array, from which numpy gathers those of a batch.
     """
 
     _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?")
-    _LINE = 64
+    _LINE = 1024
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its parallelism
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        size = self._tokenizer.get_vocab_size()
-        self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.size = size
-        self._words: dict[str, bytes] = {}
+        self.size = self._tokenizer.get_vocab_size()
+        self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self._clear()
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _clear(self) -> None:
+        self._numbers = _Numbers()
+        self._starts, self._lengths, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self._PLAIN.fullmatch(w)]
-        single = [w for w in words if not self._PLAIN.fullmatch(w)]
-        lines = [plain[i : i + self._LINE] for i in range(0, len(plain), self._LINE)]
-        for line, ids in zip(lines, self._ids([" ".join(x) for x in lines]), strict=True):
-            codes = np.array(ids, "<u4")
-            ends = np.flatnonzero(self._ends[codes]) + 1
-            parts = np.cumsum([1 if w[-1].isalpha() else 2 for w in line])
-            if len(ends) != parts[-1] or ends[-1] != len(codes):
-                single += line
-                continue
-            stops = ends[parts - 1].tolist()
-            packed = codes.tobytes()
-            for word, a, b in zip(line, [0, *stops], stops, strict=False):
-                self._words[word] = packed[4 * a : 4 * b]
-        for word, ids in zip(single, self._ids(single), strict=True):
-            self._words[word] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text, its ids as little-endian unsigned 32-bit integers."""
-        odd = {i for i, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
+        """Append the ids of new words, whose numbers follow those known."""
+        fits = self._PLAIN.fullmatch
+        plain = [i for i, w in enumerate(words) if fits(w)]
+        found = []  # (places in words, lengths, ids)
+        own = [words[i] for i in plain]
+        lines = self._ids([" ".join(own[i : i + self._LINE]) for i in range(0, len(own), self._LINE)])
+        if plain:
+            ids = np.concatenate(lines)
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            parts = np.cumsum(np.fromiter((1 if w[-1].isalpha() else 2 for w in own), np.int64, len(own)))
+            if len(ends) == parts[-1] and ends[-1] == len(ids):
+                found.append((np.array(plain), np.diff(ends[parts - 1], prepend=0), ids))
+            else:
+                plain = []
+        single = np.setdiff1d(np.arange(len(words)), plain)
+        if len(single):
+            each = self._ids([words[i] for i in single])
+            found.append((single, np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)))
+        lengths, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for places, n, ids in found:
+            lengths[places], starts[places] = n, len(self._flat) + np.cumsum(n) - n
+            self._flat = np.concatenate([self._flat, ids])
+        self._starts, self._lengths = np.concatenate([self._starts, starts]), np.concatenate([self._lengths, lengths])
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text): each text's ids and the end id behind them."""
+        if len(self._numbers) > CACHE:
+            self._clear()
+        odd = {i: self._ids([t])[0] for i, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
         cut = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        if len(self._words) > CACHE:
-            self._words.clear()
-        known: set[str] = set()
-        known.update(*cut)
-        if new := known.difference(self._words):
-            self._learn(list(new))
-        get = self._words.__getitem__
-        out = [b"".join(map(get, words)) for words in cut]
-        for i in odd:
-            ids = self._ids([texts[i]])[0]
-            out[i] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+        number, known = self._numbers.__getitem__, len(self._numbers)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        numbers = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if len(self._numbers) > known:
+            self._learn(list(islice(reversed(self._numbers), len(self._numbers) - known))[::-1])
+        lengths = self._lengths[numbers]
+        ids = gather(self._starts[numbers], lengths, self._flat)
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        stops = sums[np.cumsum(counts)]
+        sizes = np.diff(stops, prepend=0)
+        ids = np.insert(ids, stops, self.dtype.type(end_id))
+        if odd:
+            each = np.split(ids, np.cumsum(sizes + 1)[:-1])
+            for i, own in odd.items():
+                each[i], sizes[i] = np.append(own, self.dtype.type(end_id)), len(own)
+            ids = np.concatenate(each)
+        return ids, sizes + 1
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -111,19 +148,31 @@ def load(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
+def binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Consecutive runs of values as a binary column, without a Python object for each."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
+    large = offsets[-1] >= 1 << 31
+    kind, offset_type = (pa.large_binary(), np.int64) if large else (pa.binary(), np.int32)
+    return pa.Array.from_buffers(kind, len(counts), [None, pa.py_buffer(offsets.astype(offset_type)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
 def encode(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): the ids of each whole text with the end id behind, packed as unsigned 32-bit integers."""
-    end = struct.pack("<I", end_id)
+    """(key, width, ids): the ids of each whole text with the end id behind, packed as unsigned integers of ``width`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in pieces(batches):
             texts = [(x or b"").decode("utf-8", "replace") for x in utf8(batch.column(1))]
-            ids = [x + end for x in tokenizer.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
+            ids, counts = tokenizer.encode(texts, end_id)
+            width = pa.array(np.full(len(counts), ids.itemsize, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), width, binary(ids, counts)], [key, "width", "ids"])
 
     rows = documents.select(F.col(key).cast("long").alias(key), text)
-    return rows.mapInArrow(run, f"`{key}` bigint, ids binary")
+    return rows.mapInArrow(run, f"`{key}` bigint, width int, ids binary")
+
+
+def _values(ids: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(ids, f"<u{width}")
 
 
 def rank_ids(encoded: DataFrame) -> DataFrame:
@@ -132,14 +181,15 @@ def rank_ids(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in pieces(batches):
-            for ids in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(counts))
+            for width in set(batch.column(0).to_pylist()):
+                same = batch.filter(pa.compute.equal(batch.column(0), width))
+                own = np.bincount(_values(b"".join(same.column(1).to_pylist()), width), minlength=len(counts))
                 own[: len(counts)] += counts
                 counts = own
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], ["id", "n"])
 
-    counted = encoded.select("ids").mapInArrow(run, "id bigint, n bigint")
+    counted = encoded.select("width", "ids").mapInArrow(run, "id bigint, n bigint")
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -168,17 +218,17 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return np.ascontiguousarray(words).view("<u4").ravel() & _MASKS[lengths]
 
 
-def _block(rows: list[tuple[int | None, bytes]], rank_of: np.ndarray) -> bytes:
+def _block(rows: list[tuple[int | None, np.ndarray]], rank_of: np.ndarray) -> bytes:
     keys = np.array([k or 0 for k, _ in rows], "<i8")
     given = np.array([k is not None for k, _ in rows], np.uint8)
-    numbers = np.array([len(x) // 4 for _, x in rows], "<u8")
-    control, data = pack(rank_of[np.frombuffer(b"".join(x for _, x in rows), "<u4")])
+    numbers = np.array([len(x) for _, x in rows], "<u8")
+    control, data = pack(rank_of[np.concatenate([x for _, x in rows])])
     head = struct.pack("<4Q", len(rows), int(numbers.sum()), len(control), len(data))
     return b"".join([head, keys.tobytes(), given.tobytes(), numbers.tobytes(), control, data])
 
 
 def write(encoded: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Write (key, ids) as files below ``folder``; returns the manifest and the rank table, both stored there.
+    """Write (key, width, ids) as files below ``folder``; returns the manifest and the rank table, both stored there.
 
     The driver holds the rank table: one number for each id of the vocabulary.
     """
@@ -196,12 +246,12 @@ def write(encoded: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
         with create(f"{folder}/files", f"part-{shard:06d}", ".tok") as (name, stream):
             stream.write(MAGIC)
             for batch in pieces(batches):
-                for k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if rows and held + len(ids) // 4 > BLOCK_IDS:
+                for k, ids in zip(batch.column(0).to_pylist(), map(_values, batch.column(2).to_pylist(), batch.column(1).to_pylist()), strict=True):
+                    if rows and held + len(ids) > BLOCK_IDS:
                         stream.write(_block(rows, rank_of))
                         rows, held = [], 0
                     rows.append((k, ids))
-                    held, n_docs, n_ids = held + len(ids) // 4, n_docs + 1, n_ids + len(ids) // 4
+                    held, n_docs, n_ids = held + len(ids), n_docs + 1, n_ids + len(ids)
             if rows:
                 stream.write(_block(rows, rank_of))
         yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n_docs": n_docs, "n_ids": n_ids}])
@@ -225,7 +275,8 @@ def read_blocks(stream) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarr
 
 
 def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
-    """(key, start, ids) of every document, from the files: start counts the ids of all documents before it.
+    """(key, start, ids) of every document, from the files: start counts the ids of all documents before it,
+    ids are packed as little-endian unsigned 32-bit integers.
 
     The driver holds a number for each file and one for each id of the vocabulary.
     """
@@ -241,11 +292,10 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 start = starts[shard]
                 with open_file(f"{folder}/files", name) as stream:
                     for keys, numbers, ranks in read_blocks(stream):
-                        ids, ends = id_of[ranks].tobytes(), np.cumsum(numbers)
-                        first = (start + ends - numbers).tolist()
-                        own = [ids[4 * a : 4 * b] for a, b in zip((ends - numbers).tolist(), ends.tolist(), strict=True)]
+                        ends = np.cumsum(numbers)
+                        columns = [pa.array(keys, pa.int64()), pa.array(start + ends - numbers), binary(id_of[ranks], numbers)]
                         start += int(ends[-1])
-                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(first, pa.int64()), pa.array(own, pa.binary())], [key, "start", "ids"])
+                        yield pa.RecordBatch.from_arrays(columns, [key, "start", "ids"])
 
     files = manifest.select("shard", "name").repartition(max(1, len(starts)), "shard")
     return files.mapInArrow(run, f"`{key}` bigint, start bigint, ids binary")
