@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import byte_bpe, language, mixing, quality_classifier, quality_rules, token_files, topk, warc
+from corpuslab.llm import byte_bpe, language, mixing, near_dedup, quality_classifier, quality_rules, token_files, topk, warc
 from corpuslab.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def byte_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("record_id"), "url", F.col("html").cast("binary").alias("payload"))
     return warc.round_trip(pages).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -76,6 +80,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_warc": op2_warc,
         "op3_token_files": op3_token_files,
         "op5_topk_search": op5_topk_search,
