@@ -6,22 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuslab.plans import analytics_queries, retrieval_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: list = []
+_REGISTRIES = (retrieval_queries.registry, analytics_queries.registry, text_queries.registry)
 
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
-    for module in _MODULES:
-        found |= module.QUERIES
+    for registry in _REGISTRIES:
+        found |= registry.queries
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    for module in _MODULES:
-        found |= module.ORACLES
+    for registry in _REGISTRIES:
+        found |= registry.oracles
     return found
 
 
