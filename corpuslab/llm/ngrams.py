@@ -124,12 +124,36 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def sparse_means(texts: Sequence[bytes], space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, share) of the features of each text: a sparse matrix whose rows sum to 1."""
-    rows, buckets, shares = [], [], []
-    for i, text in enumerate(texts):
+@dataclass(frozen=True)
+class SparseMeans:
+    """The shares of the features of each text, rows behind one another: 8 bytes an entry."""
+
+    cuts: np.ndarray  # (texts + 1,) where each row begins
+    buckets: np.ndarray  # int32
+    shares: np.ndarray  # float32, summing to 1 in each row that has any
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.cuts[i], self.cuts[i + 1]
+        return self.buckets[a:b], self.shares[a:b]
+
+    def blocks(self, n: int = 256):
+        """(rows, buckets, shares, row numbers inside) of so many texts at a time."""
+        for at in range(0, len(self), n):
+            rows = np.arange(at, min(at + n, len(self)))
+            a, b = self.cuts[rows[0]], self.cuts[rows[-1] + 1]
+            yield rows, self.buckets[a:b], self.shares[a:b], np.repeat(rows - at, np.diff(self.cuts[rows[0] : rows[-1] + 2]))
+
+
+def sparse_means(texts: Sequence[bytes], space: Space) -> SparseMeans:
+    """The features of each text."""
+    sizes, buckets, shares = [0], [], []
+    for text in texts:
         words = text.split()
         if not words:
+            sizes.append(0)
             continue
         distinct = list(dict.fromkeys(words))
         number = dict(zip(distinct, range(len(distinct)), strict=True))
@@ -142,9 +166,9 @@ def sparse_means(texts: Sequence[bytes], space: Space) -> tuple[np.ndarray, np.n
             weight = np.concatenate([weight, np.ones(len(own) - 1, np.int64)])
         found, back = np.unique(features, return_inverse=True)
         total = np.bincount(back, weights=weight)
-        rows.append(np.full(len(found), i))
-        buckets.append(found.astype(np.int64))
-        shares.append(total / total.sum())
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(buckets), np.concatenate(shares)
+        sizes.append(len(found))
+        buckets.append(found.astype(np.int32))
+        shares.append((total / total.sum()).astype(np.float32))
+    all_buckets = np.concatenate([np.zeros(0, np.int32), *buckets])
+    del buckets
+    return SparseMeans(np.cumsum(sizes), all_buckets, np.concatenate([np.zeros(0, np.float32), *shares]))

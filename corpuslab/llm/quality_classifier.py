@@ -45,15 +45,13 @@ class Model:
 def train(texts: list[bytes], y: np.ndarray, space: Space, size: int = 16, epochs: int = 8, rate: float = 0.3, seed: int = 11) -> Model:
     """Stochastic gradient descent on the cross entropy of the softmax."""
     rng = np.random.default_rng(seed)
-    rows, buckets, shares = sparse_means(texts, space)
+    x = sparse_means(texts, space)
     vectors = rng.uniform(-1 / size, 1 / size, (space.buckets, size)).astype(np.float32)
     output, bias = np.zeros((size, 2), np.float32), np.zeros(2, np.float32)
-    cuts = np.searchsorted(rows, np.arange(len(texts) + 1))
     steps, done = epochs * len(texts), 0
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
-            a, b = cuts[i], cuts[i + 1]
-            own, share = buckets[a:b], shares[a:b].astype(np.float32)
+            own, share = x.row(i)
             hidden = share @ vectors[own]
             logits = hidden @ output + bias
             p = np.exp(logits - logits.max())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from corpuslab.llm import labelled
 from corpuslab.llm.common import fold, pieces, utf8
-from corpuslab.llm.ngrams import Lexicon, Space, segment_sums, sparse_means
+from corpuslab.llm.ngrams import Lexicon, Space, SparseMeans, segment_sums, sparse_means
 
 MIN_WORDS = 50
 #: Per cent of words in repeated windows above which a text fails.
@@ -56,15 +56,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_logistic(rows: np.ndarray, buckets: np.ndarray, shares: np.ndarray, y: np.ndarray, n_buckets: int, steps: int = 150, rate: float = 2.0, decay: float = 1e-7) -> tuple[np.ndarray, float]:
-    """Weights and bias of logistic regression on a sparse matrix, by Adam on the whole gradient."""
-    w, b = np.zeros(n_buckets), 0.0
+def logits(x: SparseMeans, w: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(np.bincount(own, share * w[bucket], len(rows)) for rows, bucket, share, own in x.blocks())])
+
+
+def fit_logistic(x: SparseMeans, y: np.ndarray, used: np.ndarray, n_buckets: int, steps: int = 150, rate: float = 2.0, decay: float = 1e-7) -> tuple[np.ndarray, float]:
+    """Weights and bias of logistic regression on the rows in use, by Adam on the whole gradient, summed block by block."""
+    w, b, n = np.zeros(n_buckets), 0.0, used.sum()
     m, v, mb, vb = np.zeros(n_buckets), np.zeros(n_buckets), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = sigmoid(np.bincount(rows, shares * w[buckets], len(y)) + b)
-        miss = (p - y) / len(y)
-        g = np.bincount(buckets, shares * miss[rows], n_buckets) + decay * w
-        gb = miss.sum()
+        g, gb = decay * w, 0.0
+        for rows, bucket, share, own in x.blocks():
+            p = sigmoid(np.bincount(own, share * w[bucket], len(rows)) + b)
+            miss = np.where(used[rows], p - y[rows], 0) / n
+            g += np.bincount(bucket, share * miss[own], n_buckets)
+            gb += miss.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -72,12 +78,12 @@ def fit_logistic(rows: np.ndarray, buckets: np.ndarray, shares: np.ndarray, y: n
     return w, b
 
 
-def calibrate(logits: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
+def calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Platt's slope and shift, by Newton steps on smoothed targets."""
     n1, n0 = float(weight[y == 1].sum()), float(weight[y == 0].sum())
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    scale = max(1.0, float(np.abs(logits).mean()))
-    x = np.stack([logits / scale, np.ones_like(logits)])
+    scale = max(1.0, float(np.abs(scores).mean()))
+    x = np.stack([scores / scale, np.ones_like(scores)])
     theta = np.array([1.0, 0.0])
     for _ in range(steps):
         p = sigmoid(theta @ x)
@@ -96,21 +102,19 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: i
     y = np.array([r["label"] for r in found], float)
     if len(set(y)) < 2:
         return None
-    r, b, s = sparse_means([x["text"].encode() for x in found], space)
+    x = sparse_means([r["text"].encode() for r in found], space)
+    del found
     # every fourth row of each label is kept for calibration
     aside = np.zeros(len(y), bool)
     for value in (0, 1):
         aside[np.flatnonzero(y == value)[3::4]] = True
     if len(set(y[aside])) < 2:
         aside[:] = False
-    own = ~aside[r]
-    at = np.cumsum(~aside) - 1
-    weights, bias = fit_logistic(at[r[own]], b[own], s[own], y[~aside], space.buckets)
-    logits = np.bincount(r, s * weights[b], len(y)) + bias
+    weights, bias = fit_logistic(x, y, ~aside, space.buckets)
     held = aside if aside.any() else ~aside
     natural = labelled.shares(usable, label)
     weight = np.array([natural[int(v)] / max(1, (y[held] == v).sum()) for v in y[held]]) * held.sum()
-    slope, shift = calibrate(logits[held], y[held], weight)
+    slope, shift = calibrate((logits(x, weights) + bias)[held], y[held], weight)
     return Model(space, weights.astype(np.float32), bias, slope, shift)
 
 
