@@ -37,7 +37,10 @@ def join_turns(text: Column) -> Column:
 
 
 def from_prose(block: Column) -> Column:
-    """WIN-10: the lines from the first of prose on; nothing if there is none."""
+    """WIN-10: the lines from the first of prose on; nothing if there is none.
+
+    A line whose first word is followed by a blank counts as a turn's, as the name pattern has it.
+    """
     lines = F.split(block, "\n")
     prose = F.transform(lines, lambda x: F.trim(x).rlike(PROSE_LINE) & ~F.trim(x).rlike(NAME_LINE) & (F.length(F.trim(x)) > 30))
     at = F.array_position(prose, F.lit(True)).cast("int")
