@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mixture, and the digest of what they decode to."""
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), byte_pattern()
-    both = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern)
+    both = byte_bpe.round_trip(docs, path, pattern)
     return both.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -177,3 +177,17 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
 
     rows = encoded.select(key, "ids")
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary, decoded binary")
+
+
+def round_trip(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded): encode and decode in one pass, so that a task has one Python worker and ids stay in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path, pattern)
+        for batch in pieces(batches):
+            ids = bpe.encode([(x or b"").decode("utf-8", "replace") for x in utf8(batch.column(1))])
+            decoded = list(map(bpe.decode, ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [key, "ids", "decoded"])
+
+    rows = documents.select(key, text)
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary, decoded binary")

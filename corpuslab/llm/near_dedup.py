@@ -48,6 +48,8 @@ K = BANDS * ROWS
 RARE = 1 / 256
 #: Rows and columns of the sketch, and the segments in which sketches are summed.
 DEPTH, COLUMN_BITS, SEGMENTS = 2, 18, 64
+#: Bytes of text that a task shingles at a time, unless one text has more.
+PIECE_BYTES = 2 << 20
 #: Texts of a block; two blocks at most are compared at a time.
 BLOCK = 1024
 #: Estimates of pairs at the threshold fall below this once in some 30,000 times.
@@ -91,7 +93,7 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> Weights:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, n = np.zeros((DEPTH, 1 << COLUMN_BITS), np.int64), 0
-        for batch in pieces(batches, weight=4 << 20):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             found = shingle([x or b"" for x in utf8(batch.column(0))], WIDTH)
             n += batch.num_rows
             for i, own in enumerate(columns(found.hashes)):
@@ -174,7 +176,7 @@ def sign(documents: DataFrame, weights: Weights, key: str = "doc_id", text: str
     """(key, d1, d2, n_words, keys, prints) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, weight=4 << 20):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             found = shingle([x or b"" for x in utf8(batch.column(1))], WIDTH)
             codes = signatures(found, weights)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(codes).ravel()), BANDS).cast(pa.list_(pa.int64()))
@@ -321,7 +323,7 @@ def with_shingles(members: DataFrame) -> DataFrame:
     """(family, size, node, prints, text) with the text replaced by its packed shingles, counts by repetition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, weight=4 << 20):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             found = shingle([x or b"" for x in utf8(batch.column(4))], WIDTH)
             cuts = np.cumsum([0, *found.sizes])
             packed = [np.repeat(found.hashes[a:b], found.counts[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
