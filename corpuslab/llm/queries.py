@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import byte_bpe, language, mixing, near_dedup, quality_classifier, quality_rules, token_files, topk, warc
+from corpuslab.llm import byte_bpe, language, licenses, mixing, near_dedup, quality_classifier, quality_rules, token_files, topk, warc
 from corpuslab.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.train())
+    return found.select("doc_id", "paragraph", "license", "probability", "similarity", "confirmed")
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
@@ -83,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op1_near_dedup": op1_near_dedup,
         "op2_warc": op2_warc,
         "op3_token_files": op3_token_files,
+        "op4_license_scan": op4_license_scan,
         "op5_topk_search": op5_topk_search,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_quality_rules": op7_quality_rules,

@@ -25,6 +25,17 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), base, np.uint64), dtype=np.uint64)])
 
 
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, 64-bit hashes) of the words of UTF-8 bytes that end in a blank."""
+    blank = _BLANK[raw]
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    tail = raw[starts[0] :]
+    offset = np.arange(len(tail)) - np.repeat(starts - starts[0], np.diff(starts, append=len(raw)))
+    return starts, mix(np.add.reduceat(_BYTE[tail] * _powers(_IN_WORD, int(offset.max()) + 1)[offset], starts - starts[0]))
+
+
 @dataclass(frozen=True)
 class Shingled:
     """Of a batch of texts: words, a 128-bit digest of the word sequence, and the distinct shingles.
@@ -42,17 +53,13 @@ class Shingled:
 def shingle(texts: list[bytes], width: int = 5) -> Shingled:
     """Shingles of ``width`` words; a text with fewer words, but one, is one shingle."""
     raw = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
-    blank = _BLANK[raw]
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    starts, words = word_hashes(raw)
     text_starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
     cuts = np.searchsorted(starts, text_starts)
     n_words = np.diff(cuts)
     if not len(starts):
         empty = np.zeros(len(texts), np.int64)
         return Shingled(empty, np.zeros((len(texts), 2), np.int64), np.zeros(0, np.uint32), empty[:0], empty)
-    tail = raw[starts[0] :]
-    offset = np.arange(len(tail)) - np.repeat(starts - starts[0], np.diff(starts, append=len(raw)))
-    words = mix(np.add.reduceat(_BYTE[tail] * _powers(_IN_WORD, int(offset.max()) + 1)[offset], starts - starts[0]))
     text_of = np.repeat(np.arange(len(texts)), n_words)
     place = np.arange(len(words)) - np.repeat(cuts[:-1], n_words)
     digest = np.zeros((len(texts), 2), np.int64)
