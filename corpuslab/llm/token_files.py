@@ -39,7 +39,7 @@ from corpuslab.session import work_dir
 
 MAGIC = b"CLTOK01\n"
 #: Entries that a worker's dictionary of words holds before it is emptied.
-CACHE = 1_000_000
+CACHE = 2_000_000
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1 << 19
 
