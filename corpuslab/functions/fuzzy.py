@@ -49,7 +49,7 @@ _AUTHOR = re.compile(r"^[A-ZÀ-Þ][\w.'\-]+(?:\s+[A-ZÀ-Þ][\w.'\-]*\.?){1,3}(?:
 
 
 def parse_header(text: str | None) -> dict[str, str | None]:
-    """Title and authors of a text's first lines: the first line like names, and the lines right above it."""
+    """FN-34: title and authors of a text's first lines: the first line like names, and the lines right above it."""
     lines = [x.strip() for x in (text or "").split("\n")[:40]]
     at = next((i for i, x in enumerate(lines) if i and _AUTHOR.match(x) and any(lines[:i])), None)
     if at is None:
@@ -72,6 +72,6 @@ def header(text: pd.Series) -> pd.DataFrame:
 
 @pandas_udf(_HEADER)
 def header_blocks(blocks: pd.Series) -> pd.DataFrame:
-    """Title and authors where the first two blocks of a page are just these."""
+    """FN-35: title and authors where the first two blocks of a page are just these."""
     found = [list(x) if x is not None else [] for x in blocks]
     return pd.DataFrame({"title": [" ".join(x[0].split()) if x else None for x in found], "authors": [" ".join(x[1].split()) if len(x) > 1 else None for x in found]})

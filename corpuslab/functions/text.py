@@ -61,7 +61,7 @@ def no_apostrophes(text: Column) -> Column:
 
 
 def normalise_title(title: Column) -> Column:
-    """The form in which titles are matched: labels, numbers and authors gone, lower case, single blanks.
+    """FN-06: the form in which titles are matched: labels, numbers and authors gone, lower case, single blanks.
 
     A leading word made of Roman digits alone goes, too, whatever it means.
     """
@@ -90,6 +90,7 @@ def is_excluded_title(title: Column, exact: tuple[str, ...] = EXCLUDED_EXACT, pr
 
 
 def is_legacy_excluded_title(title: Column) -> Column:
+    """FLT-08."""
     return is_excluded_title(title, (), LEGACY_PREFIX)
 
 
@@ -111,26 +112,28 @@ def strip_number(heading: Column) -> Column:
 
 
 def safe_filename(text: Column, longest: int = 70) -> Column:
+    """FN-10."""
     return F.substring(F.regexp_replace(F.trim(F.regexp_replace(text, r"[^\w\s-]", "")), r"\s+", "_"), 1, longest)
 
 
 def doi(text: Column) -> Column:
-    """The first DOI, without punctuation behind it; null if there is none."""
+    """FN-11: the first DOI, without punctuation behind it; null if there is none."""
     return F.nullif(F.regexp_replace(F.regexp_extract(text, r"(10\.\d{4,9}/[^\s\"'<>]+)", 1), r"[.,;]+$", ""), F.lit(""))
 
 
 def strip_superscripts(text: Column) -> Column:
+    """FN-12: digits right behind a letter."""
     return F.regexp_replace(text, r"(?<=[A-Za-zÀ-ɏ])\d+", "")
 
 
 def join_authors(text: Column) -> Column:
-    """Dots and ampersands between authors as commas, single commas only."""
+    """FN-13: dots and ampersands between authors as commas, single commas only."""
     listed = F.regexp_replace(text, r"\s*[·&]\s*", ", ")
     return F.regexp_replace(listed, r",\s*,", ",")
 
 
 def roman_value(text: Column, most: int = 30) -> Column:
-    """I to XXX as numbers, by a table made from the rule of Roman numerals."""
+    """FN-14: I to XXX as numbers, by a table made from the rule of Roman numerals."""
     table = F.create_map(*(F.lit(x) for n in range(1, most + 1) for x in (roman(n), n)))
     return F.try_element_at(table, F.upper(F.trim(text)))
 
@@ -171,7 +174,7 @@ def html_paragraphs(text: Column) -> Column:
 
 
 def keyword_list(line: Column) -> Column:
-    """A line of keywords, with or without a label, as a list."""
+    """FN-17: a line of keywords, with or without a label, as a list."""
     bare = F.regexp_replace(line, r"(?i)^\s*key\s*words?\s*:\s*", "")
     return F.filter(F.transform(F.split(bare, "[,;]"), lambda x: F.regexp_replace(F.trim(x), r"\.$", "")), lambda x: x != "")
 
@@ -212,6 +215,7 @@ def file_size(n: Column) -> Column:
 
 
 def day_of(timestamp: Column) -> Column:
+    """FN-31."""
     return F.substring(timestamp.cast("string"), 1, 10)
 
 
@@ -223,7 +227,7 @@ PASSAGE_SEPARATOR = "\n\n---\n\n"
 
 
 def summary_words(level: Column, levels: Column) -> Column:
-    """Target length of a summary: 100 or 200 words for two levels, else 50 to 200 in even steps."""
+    """FN-33: target length of a summary: 100 or 200 words for two levels, else 50 to 200 in even steps."""
     return F.when(levels <= 2, F.when(level == 0, 100).otherwise(200)).otherwise(F.floor(50 + 150 * level / (levels - 1))).cast("int")
 
 

@@ -1,4 +1,4 @@
-"""Vectors in array columns: products, norms, sums and means."""
+"""FN-23, FN-24, AGG-16: vectors in array columns: products, norms, sums and means."""
 
 from __future__ import annotations
 

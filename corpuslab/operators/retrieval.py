@@ -60,6 +60,14 @@ def default_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def plain_terms(text: Column) -> Column:
+    """RET-04's own tokens: words of two characters and more, without stop words, stemmed. One Arrow UDF."""
+    from corpuslab.functions.stemming import STOP_WORDS, stems
+
+    kept = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
+    return stems(kept)
+
+
 def postings(docs: DataFrame, key: str, text: str, terms: Terms = default_terms) -> DataFrame:
     """RET-04: (term, <key>, tf)."""
     return docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
@@ -235,3 +243,25 @@ def first_match(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """JN-08, SET-05: the first row of each key."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return rows.withColumn("place", place).filter("place = 1").drop("place")
+
+
+def sources_panel(hits: DataFrame, order: str, longest: int = 200) -> DataFrame:
+    """RET-10, RET-16: (place, line): the hits as a list of sources, for the terminal and the web alike."""
+    numbered = hits.withColumn("place", F.row_number().over(Window.orderBy(order)))
+    head = F.format_string("%d. Book %s, Ch %s", F.col("place"), F.col("book").cast("string"), F.col("chapter").cast("string"))
+    return numbered.select("place", F.concat(head, F.lit(": "), T.excerpt(F.col("text"), longest)).alias("line"))
+
+
+def extractive_answer(question_terms: Sequence[str], hits: DataFrame, order: str, sentences: int = 3) -> DataFrame:
+    """RET-15's offline default (UDF-04): one row, answer: the passages' first sentences that hold a question's term, in order."""
+    from corpuslab.functions.fuzzy import sentences as split
+
+    wanted = F.array(*(F.lit(t) for t in sorted(set(question_terms))))
+    rows = hits.select(order, F.posexplode(split(F.col("text"))).alias("pos", "sentence"))
+    told = rows.filter(F.size(F.array_intersect(default_terms(F.col("sentence")), wanted)) > 0).orderBy(order, "pos").limit(sentences)
+    return told.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "pos", "sentence"))), lambda x: x["sentence"]), " ").alias("answer"))
+
+
+def samples(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """TOP-10: the first rows of an explicit order."""
+    return rows.orderBy(*order).limit(n)
