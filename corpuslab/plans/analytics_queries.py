@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuslab.operators import analytics as A
 from corpuslab.operators import filters as FL
 from corpuslab.operators import joins as J
-from corpuslab.plans.registry import Registry, table
+from corpuslab.plans.registry import Registry, table, texts
 from corpuslab.streaming import streams
 
 registry = Registry()
@@ -199,7 +199,7 @@ SELECT count(*) AS total, count(*) FILTER (b) AS excluded_biblio, count(*) FILTE
   CAST(sum(w) AS BIGINT) AS words_original, CAST(sum(w) FILTER (NOT b) AS BIGINT) AS words_narrative, CAST(sum(w) FILTER (NOT b AND w >= 50) AS BIGINT) AS words_kept FROM f""")
 def funnel_counts(spark, sf_dir):
     """FLT-09, FLT-11, FLT-12, AGG-27."""
-    return FL.funnel(table(spark, sf_dir, "documents"), "text", "text")
+    return FL.funnel(texts(spark, sf_dir), "text", "text")
 
 
 @query("SELECT * FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS chapter_words FROM lineitem) WHERE chapter_words < 100")

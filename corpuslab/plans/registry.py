@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuslab.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,3 +30,8 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table for work on whole texts: dealt over all cores where its files are few."""
+    return spread(table(spark, sf_dir, name))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import vectors as V
 from corpuslab.operators import analytics as A
 from corpuslab.operators import retrieval as R
-from corpuslab.plans.registry import Registry, table
+from corpuslab.plans.registry import Registry, table, texts
 
 registry = Registry()
 query = registry.query
@@ -47,7 +47,7 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25_scores(table(spark, sf_dir, "documents"), query_terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return R.bm25_scores(texts(spark, sf_dir), query_terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,13 +86,13 @@ def bm25_topk(spark, sf_dir):
 @query("SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{2,}')) AS BIGINT) AS dl FROM documents")
 def bm25_lengths(spark, sf_dir):
     """RET-04: document lengths of the index."""
-    return R.lengths(table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
+    return R.lengths(texts(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
 
 
 @query("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents) GROUP BY term")
 def bm25_terms(spark, sf_dir):
     """RET-04: document and corpus frequency of every term."""
-    return R.postings(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return R.postings(texts(spark, sf_dir), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {_BM25}, {_RANKS} SELECT id, round(rrf, 9) AS rrf, CAST(first_seen AS BIGINT) AS first_seen FROM fused ORDER BY fused.rrf DESC, fused.first_seen LIMIT 8")

@@ -11,7 +11,7 @@ from corpuslab.functions import fuzzy
 from corpuslab.functions import text as T
 from corpuslab.operators import analytics as A
 from corpuslab.operators import chunking, citations, clean, joins, reports, style, summarise
-from corpuslab.plans.registry import Registry, table
+from corpuslab.plans.registry import Registry, table, texts
 from corpuslab.sources import readers
 
 registry = Registry()
@@ -23,7 +23,7 @@ _RATES = "hedge_per_1k assert_per_1k causal_per_1k contrast_per_1k additive_per_
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir)
 
 
 def _cited(spark, sf_dir):
@@ -259,13 +259,13 @@ def stacked_agents(spark, sf_dir):
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, '(?is)<h[12][^>]*>.*?</h[12]>')) AS INTEGER) AS n_headings FROM pages")
 def parsed_pages(spark, sf_dir):
     """SRC-04, SRC-05."""
-    return readers.parse_pages(table(spark, sf_dir, "pages")).select("page_id", "title", F.size("headings").alias("n_headings"))
+    return readers.parse_pages(texts(spark, sf_dir, "pages")).select("page_id", "title", F.size("headings").alias("n_headings"))
 
 
 @query()
 def page_texts(spark, sf_dir):
     """SRC-05: visible text of each page."""
-    return readers.parse_pages(table(spark, sf_dir, "pages")).select("page_id", "text", T.word_count(F.col("text")).alias("words"))
+    return readers.parse_pages(texts(spark, sf_dir, "pages")).select("page_id", "text", T.word_count(F.col("text")).alias("words"))
 
 
 @query("SELECT doc_id, CAST(regexp_extract(name, '_(\\d{4})_v', 1) AS INTEGER) AS year, CAST(regexp_extract(name, '_v(\\d+)_', 1) AS INTEGER) AS volume, CAST(regexp_extract(name, '_i(\\d+)_', 1) AS INTEGER) AS issue, CAST(year - 2005 AS INTEGER) AS volume_of_year FROM (SELECT doc_id, 'journal_' || (2006 + doc_id % 20) || '_v' || (1 + doc_id % 20) || '_i' || (1 + doc_id % 4) || '_a_title.pdf' AS name FROM documents)")

@@ -42,6 +42,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the session has cores, dealt out over all of them; others as they are.
+
+    For work that costs far more than moving its rows, over small inputs in few large row groups.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers, once per application."""
     sc = spark.sparkContext
