@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import byte_bpe, language, licenses, mixing, near_dedup, quality_classifier, quality_rules, token_files, topk, warc
 from corpuslab.llm.common import fold, table
+from corpuslab.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows cost far more than moving them: dealt over all cores where its files are few."""
+    return spread(table(spark, sf_dir, name))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
@@ -27,21 +33,21 @@ def byte_pattern() -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents"))
+    return near_dedup.classes(texts(spark, sf_dir))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("record_id"), "url", F.col("html").cast("binary").alias("payload"))
+    pages = texts(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("record_id"), "url", F.col("html").cast("binary").alias("payload"))
     return warc.round_trip(pages).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+    tokens = token_files.round_trip(texts(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1)
     return tokens.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.train())
+    found = licenses.scan(texts(spark, sf_dir), licenses.train())
     return found.select("doc_id", "paragraph", "license", "probability", "similarity", "confirmed")
 
 
@@ -53,7 +59,7 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(documents, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(documents, model)
+    scored = quality_classifier.score(spread(documents), model)
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -61,12 +67,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality_rules.fit(documents, table(spark, sf_dir, "labels"))
-    return quality_rules.score(documents, model)
+    return quality_rules.score(spread(documents), model)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), byte_pattern()
-    both = byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
+    both = byte_bpe.round_trip(texts(spark, sf_dir), path, pattern)
     return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
@@ -76,11 +82,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     net = language.fit(documents, fold("doc_id", 4) != 2)
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
-    return language.predict(documents, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return language.predict(spread(documents), net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(texts(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Query]:
