@@ -6,9 +6,11 @@ meaning (over-fetch, then filter); ``prefilter=True`` turns it round.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +49,29 @@ def top(scored: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:
     return scored.orderBy(F.desc(score), key).limit(k)
 
 
-def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", n_queries: int | None = None) -> DataFrame:
-    """RET-03 for many queries in one job: (query_id, <key>, score, rank). The query side must be small by construction."""
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector"))
-    q = q.limit(n_queries) if n_queries else q
-    scored = vectors.join(F.broadcast(q)).select("query_id", key, V.dot(F.col(vector), F.col("query_vector")).alias("score"))
+def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 1024) -> DataFrame:
+    """RET-03 for up to ``most`` queries in one job: (query_id, <key>, score, rank).
+
+    The queries are one matrix in the task's closure. Arrow batches are multiplied by it, and only each batch's
+    k best a query leave Python; a ranked window, which Spark limits before its shuffle too, merges them.
+    Vectors must have the queries' length.
+    """
+    asked = queries.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).orderBy(key).limit(most).collect()
+    if not asked:
+        return vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(key).cast("long").alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    ids, matrix = np.array([r[0] for r in asked]), np.array([r[1] for r in asked])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            scores = np.asarray(batch.column(1).flatten(), float).reshape(len(own), -1) @ matrix.T
+            order = np.lexsort((np.broadcast_to(own[:, None], scores.shape), -scores), axis=0)[:k]
+            columns = [np.repeat(ids[None], len(order), 0).ravel(), own[order].ravel(), np.take_along_axis(scores, order, 0).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", key, "score"])
+
+    lists = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()).mapInArrow(run, f"query_id long, `{key}` long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return lists.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def default_terms(text: Column) -> Column:
