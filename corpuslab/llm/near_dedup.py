@@ -33,8 +33,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from corpuslab.llm.common import pieces, utf8
 from corpuslab.llm.components import connected_components
@@ -362,8 +363,14 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, with all its columns: that with the smallest key. Rows without a key stay."""
+    """One document of each class, with all its columns: that with the smallest key, and of its rows the first by text.
+
+    Rows without a key stay. The choice among rows needs the partitioning that the join has already made.
+    """
     kept = classes(documents, key, text).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("kept_key")).distinct()
     names = documents.columns
-    once = documents.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(kept, F.col(key) == F.col("kept_key"), "left_semi")
+    place = next(c for c in ("place", *(f"place_{i}" for i in range(len(names) + 1))) if c not in names)
+    plain = [f.name for f in documents.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in (key, text)]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(text), *plain))
+    once = documents.join(kept, F.col(key) == F.col("kept_key"), "left_semi").withColumn(place, first).filter(F.col(place) == 1)
     return once.select(*names).unionByName(documents.filter(F.col(key).isNull()))

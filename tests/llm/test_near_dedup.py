@@ -142,3 +142,10 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, {"x": 1}), (1, "a b c d e f", 6, {"x": 2}), (2, "a b c d e f", 5, None)], "doc_id long, text string, place int, node map<string,int>")
+    kept = near_dedup.dedup(df)
+    assert kept.columns == df.columns
+    assert [(r["doc_id"], r["place"]) for r in kept.collect()] == [(1, 6)]
