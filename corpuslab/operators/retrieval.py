@@ -244,7 +244,7 @@ def rewrite_query(question: str, history: Sequence[str]) -> str:
     return question if not history else f"{question} {history[-1][:300]}"
 
 
-def chapter_summary(summaries: DataFrame, keys: Sequence[str], preferred: str = "claude") -> DataFrame:
+def chapter_summary(summaries: DataFrame, keys: Sequence[str], preferred: str) -> DataFrame:
     """RET-17: of each chapter's summaries (pos, author, text), the first by a preferred author, else the first; blank ones don't count."""
     filled = summaries.filter(F.trim("text") != "")
     order = Window.partitionBy(*keys).orderBy(F.desc(F.contains(F.lower(F.coalesce("author", F.lit(""))), F.lit(preferred))), "pos")

@@ -184,7 +184,7 @@ _PROSE = "Then, narrative resumes here with a long enough line of text."
 _CLEANING = {
     "header": ("a\nBook Title\n  \n 12 \nb", "a\nb", clean.strip_running_headers),
     "refs": ("text\n References \nA (2001)", "text", clean.strip_references),
-    "turns": ("x\n10 \nImH: \nhello\ny", "x\n10 ImH: hello\ny", clean.join_turns),
+    "turns": ("x\n10 \nAnnB: \nhello\ny", "x\n10 AnnB: hello\ny", clean.join_turns),
     "logs": (f"before\nLog 3-1.\nhm hi\n{_PROSE}", f"before\n{_PROSE}", clean.strip_logs),
     "run_of_three": ("1 a: x\n2 b: y\n3 c: z\nprose", "prose", clean.strip_turn_runs),
     "run_of_two": ("1 a: x\n2 b: y\nprose", "1 a: x\n2 b: y\nprose", clean.strip_turn_runs),

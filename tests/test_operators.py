@@ -110,10 +110,10 @@ def test_two_tiers_and_fuzzy(spark):
     catalogue = spark.createDataFrame([("Foo", 1), ("Foos Bar", 2), ("Foo's bar", 3)], "title string, number int")
     out = {r["title"]: (r["number"], r["tier"]) for r in joins.two_tier(parsed, catalogue, "title", "number").collect()}
     assert out == {"Foo": (1, "exact"), "Chapter 2. Foo's Bar": (3, "normalised"), "None": (None, None)}
-    index = spark.createDataFrame([("A study of group cognition in schools", 1), ("Tacit knowing", 2), ("Designing for groups online today", 3)], "target string, position int")
-    asked = spark.createDataFrame([("Tacit knowing",), ("A study of group cognition",), ("groups online designing for today",), ("nothing",)], "title string")
+    index = spark.createDataFrame([("A study of group cognition in schools", 1), ("Silent knowing", 2), ("Designing for groups online today", 3)], "target string, position int")
+    asked = spark.createDataFrame([("Silent knowing",), ("A study of group cognition",), ("groups online designing for today",), ("nothing",)], "title string")
     got = {r["title"]: (r["position"], r["tier"]) for r in joins.fuzzy_lookup(asked, index, "title", "target").collect()}
-    assert got == {"Tacit knowing": (2, 1), "A study of group cognition": (1, 2), "groups online designing for today": (3, 3)}
+    assert got == {"Silent knowing": (2, 1), "A study of group cognition": (1, 2), "groups online designing for today": (3, 3)}
 
 
 def test_greedy_pairs(spark):
@@ -141,7 +141,7 @@ def cleaned(spark, text, step=clean.clean):
 def test_cleaning_steps(spark):
     assert cleaned(spark, "a\nBook Title\n  \n 12 \nb", clean.strip_running_headers) == "a\nb"
     assert cleaned(spark, "text\n References \nA (2001)", clean.strip_references) == "text"
-    assert cleaned(spark, "x\n10 \nImH: \nhello\ny", clean.join_turns) == "x\n10 ImH: hello\ny"
+    assert cleaned(spark, "x\n10 \nAnnB: \nhello\ny", clean.join_turns) == "x\n10 AnnB: hello\ny"
     two, three = "1 a: x\n2 b: y\nprose", "1 a: x\n2 b: y\n3 c: z\nprose"
     assert cleaned(spark, two, clean.strip_turn_runs) == two
     assert cleaned(spark, three, clean.strip_turn_runs) == "prose"
@@ -268,5 +268,5 @@ def test_reports(spark):
     row = reports.truncated(nested).first()
     assert len(row["s"]["body_text"].split()) == 10
     assert reports.status_page("new", "old\n## Notes\nmine") == "new\n\n## Notes\nmine"
-    stems = reports.prompts(spark.createDataFrame([("1.marx, tell\n\n2.tacit say",)], "t string"), "t")
-    assert {r["stem"] for r in stems.collect()} == {"1.marx", "2.tacit"}
+    stems = reports.prompts(spark.createDataFrame([("1.first, tell\n\n2.second say",)], "t string"), "t")
+    assert {r["stem"] for r in stems.collect()} == {"1.first", "2.second"}
