@@ -148,15 +148,15 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def hierarchy(nodes: list[Node], embedder: Embedder, levels: int = LEVELS, min_chunks: int = MIN_CHUNKS, first: float = FIRST_THRESHOLD, max_chars: int = MAX_CHARS) -> list[list[Node]]:
-    """CHK-05: a snapshot for each level, merged chunks beside unmerged ones; ends when few are left or nothing merges."""
+    """CHK-05: a snapshot for each level up to ``levels``, merged chunks beside unmerged ones, until few are left.
+
+    A level where nothing merges counts: the next one asks for less.
+    """
     out = [nodes]
-    for level in range(1, levels):
+    for level in range(1, levels + 1):
         if len(out[-1]) <= min_chunks:
             break
-        merged = merge_runs(out[-1], threshold(level, first), embedder, max_chars)
-        if len(merged) == len(out[-1]):
-            break
-        out.append(merged)
+        out.append(merge_runs(out[-1], threshold(level, first), embedder, max_chars))
     return out
 
 

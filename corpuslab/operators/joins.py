@@ -84,6 +84,21 @@ def upper_triangle(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFra
     return left.join(right, F.col(a) < F.col(b))
 
 
+#: Section titles that name no chapter.
+META_HEADINGS = (
+    "chapter summaries", "book overview", "overview", "summary", "introduction", "keywords", "appendix", "chapter summaries and collection overview", "book summary", "chapter and book summaries",
+    "collection overview", "chapter summaries and overview", "book summaries", "bibliography", "references", "index", "table of contents", "foreword", "preface", "chapter summaries and book overview",
+)
+LEAST_BODY, SAME_AS_BOOK = 30, 0.75
+
+
+def chapter_sections(sections: DataFrame, title: str, body: str, book_title: str) -> DataFrame:
+    """JN-13: sections that may be chapters: no meta heading, no header of the book, with a body."""
+    form = T.match_form(F.col(title))
+    own = ~form.isin(*META_HEADINGS) & ~form.rlike(r"^book\s+\d+") & (F.length(body) >= LEAST_BODY)
+    return sections.filter(own).filter(sequence_ratio(form, T.match_form(F.col(book_title))) <= SAME_AS_BOOK)
+
+
 def greedy_pairs(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float = 0.45) -> DataFrame:
     """JN-13: fuzzy 1:1 assignment inside each block: best ratio first, each title once. left (block, a), right (block, b).
 

@@ -122,6 +122,12 @@ def test_greedy_pairs(spark):
     assert {(r["a"], r["b"]) for r in joins.greedy_pairs(a, b, "block", "a", "b").collect()} == {("aaaa", "aaaa"), ("aabb", "aaab")}
 
 
+def test_sections_that_may_be_chapters(spark):
+    rows = [("Overview", "x" * 40), ("Book 3: All", "x" * 40), ("The whole book", "x" * 40), ("A chapter", "x" * 40), ("Another", "short")]
+    df = spark.createDataFrame([(*r, "The Whole Book") for r in rows], "title string, body string, book string")
+    assert [r["title"] for r in joins.chapter_sections(df, "title", "body", "book").collect()] == ["A chapter"]
+
+
 def test_issue_join_keeps_filled_texts(spark):
     e = spark.createDataFrame([(1, 2, None), (1, 3, "own")], "volume int, issue int, text string")
     c = spark.createDataFrame([("1(2): Title", "chapter"), ("1(3): Other", "chapter")], "title string, text string")
@@ -200,6 +206,8 @@ def test_hierarchy():
     assert (merged[0].start, merged[0].end, merged[0].depth) == (0, 2, 1)
     assert chunking.threshold(1) == 0.7
     assert chunking.threshold(7) == pytest.approx(0.2)
+    apart = [chunking.Node("x", np.eye(5)[i]) for i in range(5)]
+    assert [len(lv) for lv in chunking.hierarchy(apart, Same(), levels=2)] == [5, 5, 5]  # levels go on without a merge
     levels = chunking.hierarchy(nodes(5, 5, 5, 5), Same(), levels=2, max_chars=15)
     assert [[len(n.text) for n in lv] for lv in levels] == [[5, 5, 5, 5], [19, 5]]  # what isn't merged stays in the snapshot
 
