@@ -174,12 +174,14 @@ def retrieve_passages(
 ) -> DataFrame:
     """RET-08: passages of the chosen chapters. chunk_vectors (vec_id, embedding, <chapter>), chunks (doc_id, text, <chapter>).
 
-    Lists are cut to the over-fetch before the chapters filter them (JN-04), so a passage far down a list
+    Vectors that have a level are searched at every level and kept at level 0 (FLT-02). Lists are cut to the
+    over-fetch before level and chapters filter them (JN-04), so a passage far down a list
     is lost, unless prefilter is set. Candidates are reranked only if there are more than asked for.
     """
     p = p or Parameters()
     chosen = F.broadcast(chapters.select(chapter).distinct())
-    within = lambda df: df.join(chosen, chapter, "left_semi")
+    base = lambda df: df.filter("level = 0") if "level" in df.columns else df
+    within = lambda df: base(df).join(chosen, chapter, "left_semi")
     dense, sparse = dense_scores(chunk_vectors, query_vector), bm25_scores(chunks, query_terms)
     sparse = sparse.join(chunks.select("doc_id", chapter), "doc_id")
     if prefilter:

@@ -37,6 +37,8 @@ def test_overfetch_is_before_the_filter(spark):
     args = (vectors, texts, chapters, [1.0, 0.0], ["beta"], "chapter", p)
     assert ids(retrieval.retrieve_passages(*args)) == []
     assert ids(retrieval.retrieve_passages(*args, prefilter=True)) == [2]
+    merged = (vectors.withColumn("level", F.lit(1)), *args[1:])
+    assert ids(retrieval.retrieve_passages(*merged, prefilter=True)) == []
 
 
 def test_rerank_only_where_there_is_more(spark):
