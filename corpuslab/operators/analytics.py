@@ -237,10 +237,21 @@ def carried_headings(lines: DataFrame, doc: str, is_heading: Column) -> DataFram
     return lines.withColumn("heading", F.last(F.when(is_heading, F.col("line")), True).over(w)).filter(~is_heading)
 
 
-def next_ids(new: DataFrame, old: DataFrame, key: str, order: str) -> DataFrame:
-    """WIN-14: ids that go on behind the largest so far."""
+def next_ids(new: DataFrame, old: DataFrame, key: str, order: str, bins: int = 256) -> DataFrame:
+    """WIN-14: ids that go on behind the largest so far, by a numeric order.
+
+    Rows are numbered inside bins of the order and start behind the rows of the bins before, so that no task
+    sees them all. Bins are cut at approximate percentiles; where the cuts lie doesn't change the ids.
+    """
     last = old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-    return new.withColumn(key, F.row_number().over(Window.orderBy(order)) + F.lit(last))
+    cuts = new.agg(F.percentile_approx(order, [i / bins for i in range(1, bins)], 1000)).first()[0] or []
+    bin_of = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    binned = new.withColumn("bin", F.when(F.col(order).isNull(), -1).otherwise(bin_of))
+    before = F.sum("rows").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    # at most one row a bin
+    starts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("rows")).select("bin", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = binned.join(F.broadcast(starts), "bin").withColumn(key, F.row_number().over(Window.partitionBy("bin").orderBy(order)) + F.col("before") + F.lit(last))
+    return numbered.drop("bin", "before")
 
 
 def year_marks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], year: str) -> DataFrame:

@@ -173,11 +173,11 @@ def title_rules(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.is_legacy_excluded_title(title).alias("legacy"), filters.structural_title(title).alias("structural"), filters.is_question(asked).alias("question"))
 
 
-@query("SELECT doc_id + 1 + (SELECT count(*) FROM labels) AS id, lang FROM documents WHERE doc_id < 100")
+@query("SELECT doc_id + 1 + (SELECT count(*) FROM labels) AS id, lang FROM documents")
 def next_ids(spark, sf_dir):
     """WIN-14."""
     old = table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("id"))
-    return A.next_ids(_docs(spark, sf_dir).filter("doc_id < 100").select("doc_id", "lang"), old, "id", "doc_id").select(F.col("id").cast("long").alias("id"), "lang")
+    return A.next_ids(_docs(spark, sf_dir).select("doc_id", "lang"), old, "id", "doc_id").select(F.col("id").cast("long").alias("id"), "lang")
 
 
 _PROSE = "Then, narrative resumes here with a long enough line of text."
@@ -333,13 +333,6 @@ def sources_panel(spark, sf_dir):
     return retrieval.sources_panel(hits, "doc_id")
 
 
-@query()
-def extractive_answer(spark, sf_dir):
-    """RET-15, UDF-04: the offline answer."""
-    hits = _docs(spark, sf_dir).orderBy("doc_id").limit(8).select("doc_id", "text")
-    return retrieval.extractive_answer(["the", "and"], hits, "doc_id")
-
-
 @query()
 def silhouette_of_labels(spark, sf_dir):
     """AGG-32."""

@@ -70,11 +70,11 @@ def dense_filtered_overfetch(spark, sf_dir):
 SELECT query_id, vec_id, score, rank FROM (
   SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score,
          CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.vec_id) AS INTEGER) AS rank
-  FROM embeddings c JOIN (SELECT * FROM embeddings WHERE vec_id < 16) q ON true) WHERE rank <= 5""")
+  FROM embeddings c JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q ON true) WHERE rank <= 5""")
 def dense_topk_batch(spark, sf_dir):
-    """RET-03 for sixteen queries in one job."""
+    """RET-03 for the first vector of each cluster in one job."""
     vectors = table(spark, sf_dir, "embeddings")
-    return R.dense_topk_batch(vectors, vectors.filter("vec_id < 16"), 5).withColumn("score", F.round("score", 6))
+    return R.dense_topk_batch(vectors, R.first_match(vectors, ["label"], "vec_id"), 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm25 ORDER BY score DESC, doc_id LIMIT 10")
@@ -249,3 +249,10 @@ def kmeans_clusters(spark, sf_dir):
 
     assigned, _, _ = kmeans(table(spark, sf_dir, "embeddings"), k=10, starts=3, max_iter=50)
     return assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def extractive_answer(spark, sf_dir):
+    """RET-15, UDF-04: the offline answer from the best passages."""
+    hits = R.with_texts(R.best_fused(_fused(spark, sf_dir), 8), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return R.extractive_answer(query_terms(spark, sf_dir), hits, "first_seen")

@@ -54,11 +54,10 @@ def reference_years(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", year.alias("year"), source.alias("year_source"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(replace(regexp_replace(substr(text, 1, 60), '[\\n ]+', ' ', 'g'), '''', '')), '[^0-9a-z_]+', ' ', 'g')) AS form FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(replace(text, '''', '')), '[^0-9a-z_]+', ' ', 'g')) AS form FROM documents")
 def title_forms(spark, sf_dir):
     """FN-07, FN-08 in ASCII."""
-    head = F.replace(F.regexp_replace(F.substring("text", 1, 60), r"[\n ]+", " "), F.lit("'"), F.lit(""))
-    return _docs(spark, sf_dir).select("doc_id", T.ascii_match_form(head).alias("form"))
+    return _docs(spark, sf_dir).select("doc_id", T.ascii_match_form(F.replace("text", F.lit("'"), F.lit(""))).alias("form"))
 
 
 @query("SELECT doc_id, regexp_replace(title, '^\\d+\\.\\s*', '') AS bare, title LIKE '%..........%' OR k IN (0, 1) AS excluded FROM (SELECT doc_id, doc_id % 4 AS k, CASE doc_id % 4 WHEN 0 THEN 'Introduction' WHEN 1 THEN 'Notes on Y' WHEN 2 THEN '12. Chapter of ' || lang ELSE 'Ch ' || doc_id || ' .......... 4' END AS title FROM documents)")
@@ -81,10 +80,10 @@ def snippets(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.excerpt(F.col("text"), 220).alias("cut"), T.snippet(F.col("text"), F.lit(100)).alias("around"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', floor(n_chars / 1024.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM documents")
 def file_sizes(spark, sf_dir):
     """FN-30."""
-    return _docs(spark, sf_dir).filter("n_chars < 1048576").select("doc_id", T.file_size(F.col("n_chars")).alias("size"))
+    return _docs(spark, sf_dir).select("doc_id", T.file_size(F.col("n_chars")).alias("size"))
 
 
 @query("""
@@ -140,10 +139,10 @@ def cleaned_texts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", cleaned.alias("narrative_text")).withColumn("narrative_words", T.word_count(F.col("narrative_text"))).filter("narrative_words >= 50")
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM documents WHERE NOT regexp_matches(text, '[\\r\\f\\v]')")
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[\\s\\v]+|[\\s\\v]+$', '', 'g') AS text FROM documents")
 def normalised_space(spark, sf_dir):
     """TXT-09."""
-    return _docs(spark, sf_dir).filter(~F.col("text").rlike("[\r\f\x0b]")).select("doc_id", clean.normalise_space(F.col("text")).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", clean.normalise_space(F.col("text")).alias("text"))
 
 
 @query()
@@ -320,19 +319,20 @@ def by_agent(spark, sf_dir):
     return A.pivot_years(A.count_by(_docs(spark, sf_dir), "source", "lang"), ["en", "fr"], year="source", cluster="lang")
 
 
-@query("SELECT doc_id, html FROM (SELECT doc_id, '<p>' || replace(replace(replace(replace(trim(line), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>' AS html FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents) WHERE trim(line) <> '' AND NOT regexp_matches(line, '[*\\r\\t\\f\\v]'))")
+@query("""
+SELECT doc_id, array_to_string(['<p>' || regexp_replace(replace(replace(replace(replace(trim(x, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\\*([^*]+)\\*', '<em>\\1</em>', 'g') || '</p>' for x in string_split_regex(text, '\\n[\\s\\v]*\\n') if trim(x, ' ') <> ''], chr(10)) AS html FROM documents""")
 def html_paragraphs(spark, sf_dir):
     """FN-16, SNK-10."""
-    first = _docs(spark, sf_dir).select("doc_id", F.split("text", "\n")[0].alias("line")).filter((F.trim("line") != "") & ~F.col("line").rlike(r"[*\r\t\f\x0b]"))
-    return first.select("doc_id", T.html_paragraphs(F.col("line")).alias("html"))
+    return _docs(spark, sf_dir).select("doc_id", T.html_paragraphs(F.col("text")).alias("html"))
 
 
 @query()
 def fuzzy_pairs(spark, sf_dir):
-    """JN-13, FN-18: benchmark texts and documents' heads, one to one."""
-    items = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("block"), F.substring("text", 1, 40).alias("a")).distinct().orderBy("a").limit(30)
-    heads = _docs(spark, sf_dir).select(F.lit(1).alias("block"), F.substring("text", 1, 40).alias("b")).distinct().orderBy("b").limit(60)
-    return joins.greedy_pairs(items, heads, "block", "a", "b", 0.3)
+    """JN-13, FN-18: titles and headings of each page, one to one."""
+    parsed = readers.parse_pages(texts(spark, sf_dir, "pages"))
+    titles = parsed.select(F.col("page_id").alias("block"), F.col("title").alias("a"))
+    headings = parsed.select(F.col("page_id").alias("block"), F.explode("headings").alias("b"))
+    return joins.greedy_pairs(titles, headings, "block", "a", "b")
 
 
 @query()
