@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import vectors as V
+from corpuslab.session import materialise
 
 
 def _points(rows: DataFrame, vector: str) -> DataFrame:
@@ -46,7 +47,8 @@ def density(rows: DataFrame, eps: float = 0.3, least: int = 2, key: str = "vec_i
     labels = core.select(F.col("core").alias("node"), F.col("core").alias("component"))
     while True:  # chapter-level: a few rounds of smallest neighbours
         step = links.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
-        new = labels.join(step, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component")).checkpoint()
+        joined = labels.join(step, F.col("node") == F.col("a"), "left")
+        new = materialise(joined.select("node", F.least("component", F.coalesce("least", "component")).alias("component")), "labels")
         if new.agg(F.sum("component")).first() == labels.agg(F.sum("component")).first():
             break
         labels = new

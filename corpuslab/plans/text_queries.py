@@ -234,7 +234,7 @@ def carried_headings(spark, sf_dir):
 
 @query("""
 WITH l AS (SELECT doc_id, length(text) AS n, unnest(list_filter([1, 500, 1000], lambda x: x <= length(text))) AS position FROM documents)
-SELECT doc_id, position, coalesce(lead(position) OVER (PARTITION BY doc_id ORDER BY position), n) AS "end" FROM l""")
+SELECT doc_id, position, CAST(coalesce(lead(position) OVER (PARTITION BY doc_id ORDER BY position), n) AS INTEGER) AS "end" FROM l""")
 def segment_ends(spark, sf_dir):
     """WIN-05."""
     docs = _docs(spark, sf_dir).select("doc_id", F.length("text").alias("n"))
@@ -341,7 +341,7 @@ def sentence_counts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(fuzzy.sentences(F.col("text"))).alias("n"))
 
 
-@query("SELECT json_object('type', 'entity', 'name', source, 'entityType', 'book', 'observations', [CAST(count(*) AS VARCHAR)]) AS value FROM documents GROUP BY source UNION ALL SELECT json_object('type', 'relation', 'from', source, 'to', lang, 'relationType', 'has') FROM (SELECT DISTINCT source, lang FROM documents)")
+@query("SELECT CAST(json_object('type', 'entity', 'name', source, 'entityType', 'book', 'observations', [CAST(count(*) AS VARCHAR)]) AS VARCHAR) AS value FROM documents GROUP BY source UNION ALL SELECT CAST(json_object('type', 'relation', 'from', source, 'to', lang, 'relationType', 'has') AS VARCHAR) FROM (SELECT DISTINCT source, lang FROM documents)")
 def graph_lines(spark, sf_dir):
     """SNK-13."""
     docs = _docs(spark, sf_dir)
