@@ -235,31 +235,35 @@ def tiles(rows: DataFrame, group: str, size: str, node: str) -> DataFrame:
     return tiled.drop("blocks", "block", "other")
 
 
-def by_tile(tiled: DataFrame, compare: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
-    """(u, v) of every tile's edges. Tiles are sorted next to each other and handled one at a time."""
+def by_tile(tiled: DataFrame, group: str, compare: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(u, v) of every tile's edges. Tiles are sorted next to each other and handled one at a time.
+
+    Tiles are named by a hash, so the group is compared as well: equal names of two groups stay apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now, out = None, []
         for batch in batches:
-            tile = batch.column("tile").to_numpy()
-            for a, b in zip(*(lambda c: (c[:-1], c[1:]))([0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]), strict=True):
+            tile, own = batch.column("tile").to_numpy(), batch.column(group).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(tile) != 0) | (np.diff(own) != 0)) + 1).tolist(), len(tile)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if held and tile[a] != now:
+                if held and (tile[a], own[a]) != now:
                     out += compare(pa.Table.from_batches(held))
                     held = []
                     if len(out) > 10_000:
                         yield _edges(out)
                         out = []
-                now = tile[a]
+                now = tile[a], own[a]
                 held.append(batch.slice(a, b - a))
         if held:
             out += compare(pa.Table.from_batches(held))
         if out:
             yield _edges(out)
 
-    return tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u bigint, v bigint")
+    return tiled.repartition("tile").sortWithinPartitions("tile", group).mapInArrow(run, "u bigint, v bigint")
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -348,12 +352,12 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     nodes = materialise(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("keys", "prints"), "doc_id").alias("of")), "nodes")
     prints = nodes.select("node", F.col("of.prints").alias("prints")).groupBy("node").agg(F.first("prints").alias("prints"))
     buckets = sized(nodes.select("node", F.explode("of.keys").alias("bucket")), "bucket")
-    alike = by_tile(tiles(buckets.join(prints, "node"), "bucket", "size", "node"), compare_prints)
+    alike = by_tile(tiles(buckets.join(prints, "node"), "bucket", "size", "node"), "bucket", compare_prints)
     families = materialise(connected_components(alike), "families")
     members = sized(families.withColumnRenamed("component", "family"), "family").join(prints, "node")
     texts = docs.withColumnRenamed("doc_id", "text_id")
     members = with_shingles(members.join(texts, F.col("node") == F.col("text_id")))
-    links = by_tile(tiles(members, "family", "size", "node"), compare_texts(weights))
+    links = by_tile(tiles(members, "family", "size", "node"), "family", compare_texts(weights))
     linked = connected_components(links).withColumnRenamed("node", "linked")
     named = nodes.select("d1", "d2", "node").join(linked, F.col("node") == F.col("linked"), "left").select("d1", "d2", F.coalesce("component", "node").alias("class"))
     rows = signed.select("doc_id", "n_words", "d1", "d2")
