@@ -21,6 +21,12 @@ def fold(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like this one that is not taken; names are the same in any case."""
+    low = {c.lower() for c in taken}
+    return next(c for c in (name, *(f"{name}_{i}" for i in range(len(low) + 1))) if c.lower() not in low)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, weight: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a Python worker holds few rows, and few bytes of text, at a time.
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import WORD
+from corpuslab.llm.common import WORD, fresh
 from corpuslab.session import materialise
 
 #: Hex digits of the MD5 that name a bin.
@@ -119,18 +119,16 @@ def mix_documents(documents: DataFrame, max_epochs: int = 3, weights: tuple[int,
 
     doc_id is the key; documents that share one, or have none, are repeated alike.
     """
+    names = documents.columns
+    take_id, take_n, copy = (fresh(c, names) for c in ("take_id", "take_n", "take_copy"))
     takes = (
         mix(documents, max_epochs, weights, seed)
-        .groupBy(F.col("doc_id").alias("take_id"))
-        .agg(F.max("repetitions").alias("take_n"))
-        .filter("take_n > 0")
-    )
-    names = documents.columns
-    return (
-        documents.join(takes, documents.doc_id.eqNullSafe(takes.take_id))
-        .select(*(documents[c] for c in names), F.explode(F.array_repeat(F.lit(0), F.col("take_n").cast("int"))).alias("take_copy"))
-        .drop("take_copy")
+        .groupBy(F.col("doc_id").alias(take_id))
+        .agg(F.max("repetitions").cast("int").alias(take_n))
+        .filter(F.col(take_n) > 0)
     )
+    joined = documents.join(takes, F.col("doc_id").eqNullSafe(F.col(take_id)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(take_n)))).select(*names)
 
 
 #: The same rows in DuckDB SQL, for max_epochs 3, weights 1, 2, 3 and seed "mix".

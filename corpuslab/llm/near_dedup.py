@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from corpuslab.llm.common import pieces, utf8
+from corpuslab.llm.common import fresh, pieces, utf8
 from corpuslab.llm.components import connected_components
 from corpuslab.llm.shingles import Shingled, mix, shingle
 from corpuslab.session import materialise
@@ -371,10 +371,10 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Rows without a key stay. The choice among rows needs the partitioning that the join has already made.
     """
-    kept = classes(documents, key, text).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("kept_key")).distinct()
     names = documents.columns
-    place = next(c for c in ("place", *(f"place_{i}" for i in range(len(names) + 1))) if c not in names)
+    place, kept_key = fresh("place", names), fresh("kept_key", names)
+    kept = classes(documents, key, text).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias(kept_key)).distinct()
     plain = [f.name for f in documents.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in (key, text)]
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(text), *plain))
-    once = documents.join(kept, F.col(key) == F.col("kept_key"), "left_semi").withColumn(place, first).filter(F.col(place) == 1)
+    once = documents.join(kept, F.col(key) == F.col(kept_key), "left_semi").withColumn(place, first).filter(F.col(place) == 1)
     return once.select(*names).unionByName(documents.filter(F.col(key).isNull()))
