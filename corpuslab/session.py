@@ -27,8 +27,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/corpuslab/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's part of the shared folder; nothing is created yet."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/corpuslab/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has put into the shared folder. Results are lazy: call it when they are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from corpuslab.session import clean, materialise
 from corpuslab.sources import model, readers, sinks
 from corpuslab.streaming import streams
 
@@ -89,3 +90,13 @@ def test_windows_of_stream_and_batch_agree(spark, tmp_path):
     stream.writeStream.format("memory").queryName("wins").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.table("wins").collect()} == {tuple(r) for r in streams.tumbling(events).collect()}
     assert streams.sessions(events).count() == 3
+
+
+def test_work_folder(spark):
+    kept = materialise(spark.range(5).toDF("id"), "numbers")
+    assert sorted(r["id"] for r in kept.collect()) == [0, 1, 2, 3, 4]
+    path = kept.inputFiles()[0].removeprefix("file://")
+    clean(spark)
+    import os
+
+    assert not os.path.exists(path)
