@@ -73,10 +73,17 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        # on plain letters the file's normaliser only folds case; where that holds, lines are folded here instead
+        letters = [chr(c) for c in range(0x100) if self._PLAIN.fullmatch(chr(c))]
+        self._folded = None
+        if self._tokenizer.normalizer and all(self._tokenizer.normalizer.normalize_str(x) == x.lower() for x in letters):
+            self._folded = Tokenizer.from_file(path)
+            self._folded.encode_special_tokens = True
+            self._folded.normalizer = normalizers.Sequence([])
         self.size = self._tokenizer.get_vocab_size()
         self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -86,7 +93,9 @@ class WordTokenizer:
         self._numbers = _Numbers()
         self._starts, self._lengths, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        if plain and self._folded:
+            return [np.array(x.ids, self.dtype) for x in self._folded.encode_batch_fast([t.lower() for t in texts], add_special_tokens=False)]
         return [np.array(x.ids, self.dtype) for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
@@ -95,7 +104,7 @@ class WordTokenizer:
         plain = [i for i, w in enumerate(words) if fits(w)]
         found = []  # (places in words, lengths, ids)
         own = [words[i] for i in plain]
-        lines = self._ids([" ".join(own[i : i + self._LINE]) for i in range(0, len(own), self._LINE)])
+        lines = self._ids([" ".join(own[i : i + self._LINE]) for i in range(0, len(own), self._LINE)], plain=True)
         if plain:
             ids = np.concatenate(lines)
             ends = np.flatnonzero(self._ends[ids]) + 1
