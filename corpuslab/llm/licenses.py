@@ -7,19 +7,26 @@ are calibrated by a temperature fitted on variants that the training didn't see.
 its calibrated probability is the largest and at least ``LEAST``, and a template of the family confirms it: the share of
 the shorter one's word pairs that the other has. What looks like a licence but isn't confirmed is ``unknown``.
 
-Every paragraph of every whole text is scored. Features that training never saw weigh nothing, so
-paragraphs without any other have the score of the biases, which is that of ``none``; numpy finds those
-that have one in a few passes over the bytes, and only these are looked at in Python. Nothing is shuffled.
+Every paragraph of every whole text is scored. In a long paragraph the prose around a notice would outweigh
+it, so overlapping windows of ``WIDTHS`` words are scored too: a notice of any template fits into one
+wherever it stands. A window counts unless one of the same width that overlaps it has more evidence against
+``none`` (so a notice cut short doesn't stand for the whole one); the confirmed one with most evidence is
+reported, or else the one with most evidence.
+
+Features that training never saw weigh nothing, so windows without any other have the score of the biases,
+which is that of ``none``; numpy finds those that have one in a few passes over the bytes, and only these
+are looked at in Python. Nothing is shuffled.
 
 Defined cases: null and blank texts have no rows; repeated rows are scanned each; a paragraph with several
-notices has the most likely one; lines of any length are scored whole.
+notices has the most likely one; lines of any length are covered by windows from end to end.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +39,12 @@ from corpuslab.llm.shingles import mix, word_hashes
 BITS, LONGEST = 20, 3
 LEAST, CONFIRM = 0.6, 0.6
 NONE, UNKNOWN = "none", "unknown"
+#: Words of a window; each begins a quarter of its width after the one before. Lines of up to the first are scored whole only, up to the last whole too.
+WIDTHS = (12, 24, 48)
+#: A window is one of many of its paragraph, so for ``unknown``, which no template confirms, its probability of being none must be this small.
+CHANCE = 0.05
+#: (window, feature) pairs that are scored at a time.
+SCORED = 1 << 18
 
 #: Notices of each family, as projects commonly word them.
 TEMPLATES = {
@@ -79,18 +92,19 @@ def normal_words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
 
 
-def _buckets(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, lines) of all n-grams of a sequence of word hashes; none crosses a line."""
-    found, lines, total = [], [], np.zeros(len(words), np.uint64)
+def _grams(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, places of the first word, numbers of words) of all n-grams of a sequence of word hashes; none crosses a line."""
+    found, places, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(words), np.uint64)
     for n in range(1, LONGEST + 1):
         last = len(words) - n + 1
         if last <= 0:
             break
         total = total[:last] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :]
-        same = line[:last] == line[n - 1 :]
-        found.append((mix(total + np.uint64(n)) >> np.uint64(64 - BITS))[same])
-        lines.append(line[:last][same])
-    return (np.concatenate(found).astype(np.int64), np.concatenate(lines)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        same = np.flatnonzero(line[:last] == line[n - 1 :])
+        found.append((mix(total + np.uint64(n)) >> np.uint64(64 - BITS))[same].astype(np.int64))
+        places.append(same)
+    sizes = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    return np.concatenate(found), np.concatenate(places), sizes
 
 
 #: Bytes as the features see them: lower case, anything but ASCII letters, digits, line ends and bytes of longer code points as blanks.
@@ -112,14 +126,39 @@ def plain_bytes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, lines, first line of each text): lines are numbered through all texts."""
-    raw = plain_bytes(np.frombuffer(b"\n".join([*texts, b""]) or b"\n", np.uint8))
-    ends = raw == 0x0A
+def _words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, lines) of the words of texts that end in a line end each."""
+    raw = plain_bytes(np.frombuffer(joined, np.uint8))
     starts, words = word_hashes(raw)
-    line = np.cumsum(ends)[starts] if len(starts) else np.zeros(0, np.int64)
+    return starts, words, np.cumsum(raw == 0x0A)[starts]
+
+
+def _join(texts: list[bytes]) -> bytes:
+    return b"\n".join([*texts, b""]) or b"\n"
+
+
+def _first_lines(texts: list[bytes]) -> np.ndarray:
     sizes = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
-    return (*_buckets(words, line), np.cumsum(sizes) - sizes)
+    return np.cumsum(sizes) - sizes
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, lines, first line of each text): lines are numbered through all texts."""
+    _, words, line = _words(_join(texts))
+    buckets, places, _ = _grams(words, line)
+    return buckets, line[places], _first_lines(texts)
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Windows that may hold a notice: line, words [begin, end) and the probabilities of the classes."""
+
+    line: np.ndarray
+    width: np.ndarray  # 0: the whole line
+    begin: np.ndarray
+    end: np.ndarray
+    odds: np.ndarray  # logarithm of the odds against none
+    p: np.ndarray  # (windows, classes)
 
 
 @dataclass(frozen=True)
@@ -142,6 +181,83 @@ class Model:
         return found, softmax(logits / self.temperature)
 
 
+def likely_windows(model: Model, words: np.ndarray, line: np.ndarray) -> Windows:
+    """The windows whose odds against none are those of ``LEAST`` and more, or whose best class isn't none."""
+    buckets, place, size = _grams(words, line)
+    feature = model.column[buckets]
+    own = feature >= 0
+    feature, place, size = feature[own].astype(np.int64), place[own], size[own]
+    lines, first, length = np.unique(line, return_index=True, return_counts=True)
+    at = np.repeat(np.arange(len(lines)), length)[place]
+    gain = np.delete(model.weights, 0, axis=1).max(axis=1) - model.weights[:, 0]
+    lead = float(model.bias[1:].max() - model.bias[0])
+    # no class can lead none by more than the sum of the features' best leads
+    least = (np.log(LEAST / (1 - LEAST)) - np.log(max(1, len(model.classes) - 1))) * model.temperature
+    parts = []
+    for width in (0, *WIDTHS):
+        if width:
+            step = width // 4
+            number = np.where(length > width, -(-(length - width) // step) + 1, 0)
+        else:
+            step, number = 1, (length <= WIDTHS[-1]).astype(np.int64)
+        base = np.cumsum(number) - number
+        found = []
+        for back in range(4 if width else 1):
+            k = (place - first[at]) // step - back if width else np.zeros(len(place), np.int64)
+            inside = (k >= 0) & (k < number[at])
+            if width:
+                inside &= place - first[at] + size <= k * step + width
+            found.append((base[at[inside]] + k[inside]) * len(model.weights) + feature[inside])
+        pairs = np.unique(np.concatenate(found))
+        window = pairs // max(1, len(model.weights))
+        bound = np.bincount(window, gain[pairs % max(1, len(model.weights))], int(number.sum())) + lead
+        pairs = pairs[bound[window] >= least]
+        window = pairs // max(1, len(model.weights))
+        cuts = np.flatnonzero(np.diff(window, prepend=-1))
+        while len(pairs):
+            # whole windows, as many as have SCORED pairs, but one
+            n = max(1, int(np.searchsorted(cuts, SCORED, side="right")) - 1) if len(pairs) > SCORED else len(cuts)
+            stop = int(cuts[n]) if n < len(cuts) else len(pairs)
+            logits = (np.add.reduceat(model.weights[pairs[:stop] % len(model.weights)], cuts[:n], axis=0) + model.bias) / model.temperature
+            p = softmax(logits)
+            other = logits[:, 1:].max(axis=1)
+            odds = other + np.log(np.exp(logits[:, 1:] - other[:, None]).sum(axis=1)) - logits[:, 0]
+            keep = np.flatnonzero((p.argmax(axis=1) != 0) | (odds >= np.log(LEAST / (1 - LEAST))))
+            ids = window[cuts[:n]][keep]
+            which = np.searchsorted(base, ids, side="right") - 1
+            begin = first[which] + (ids - base[which]) * step
+            end = np.minimum(begin + (width or length[which]), first[which] + length[which])
+            parts.append((lines[which], np.full(len(keep), width), begin, end, odds[keep], p[keep]))
+            pairs, window, cuts = pairs[stop:], window[stop:], cuts[n:] - stop
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Windows(none, none, none, none, np.zeros(0), np.zeros((0, len(model.classes))))
+    return Windows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def best_notice(model: Model, found: Windows, of_line: np.ndarray, text: Callable[[int, int], str]) -> tuple[str, float, float, bool, str] | None:
+    """(licence, probability, similarity, confirmed, template) of a line with these windows."""
+    taken: dict[int, list[tuple[int, int]]] = {}
+    unknown = None
+    for i in of_line[np.argsort(-found.odds[of_line], kind="stable")].tolist():
+        begin, end = int(found.begin[i]), int(found.end[i])
+        stronger = taken.setdefault(int(found.width[i]), [])
+        at = bisect_left(stronger, (begin, end))
+        if any(a < end and begin < b for a, b in stronger[max(0, at - 1) : at + 1]):
+            continue
+        stronger.insert(at, (begin, end))
+        best = int(found.p[i].argmax())
+        family, probability = model.classes[best], float(found.p[i, best])
+        if family == NONE:
+            continue
+        similarity, template = confirm(family, text(begin, end)) if family != UNKNOWN else (0.0, "")
+        if family != UNKNOWN and probability >= LEAST and similarity >= CONFIRM:
+            return family, probability, similarity, True, template
+        if unknown is None and probability >= LEAST and (not found.width[i] or found.p[i, 0] <= CHANCE):
+            unknown = (UNKNOWN, probability, similarity, False, template)
+    return unknown
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -243,19 +359,25 @@ def scan(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "t
         ready = Model(classes, column, weights, bias, temperature)
         for batch in pieces(batches, weight=2 << 20):
             texts = [x or b"" for x in utf8(batch.column(1))]
-            buckets, lines, first = line_features(texts)
-            at, p = ready.probabilities(buckets, lines)
-            best = p.argmax(axis=1) if len(p) else np.zeros(0, np.int64)
+            first, joined = _first_lines(texts), _join(texts)
+            starts, words, line = _words(joined)
+            found = likely_windows(ready, words, line)
             keys, out = batch.column(0).to_pylist(), []
-            for i in np.flatnonzero(best != 0):
-                doc = int(np.searchsorted(first, at[i], side="right")) - 1
-                n = int(at[i] - first[doc])
-                notice = texts[doc].split(b"\n")[n].decode("utf-8", "replace")
-                family, probability = classes[best[i]], float(p[i, best[i]])
-                similarity, template = confirm(family, notice) if family != UNKNOWN else (0.0, "")
-                sure = family != UNKNOWN and probability >= LEAST and similarity >= CONFIRM
-                if sure or probability >= LEAST:
-                    out.append((keys[doc], n, family if sure else UNKNOWN, probability, similarity, sure, template, notice))
+
+            def window(begin: int, end: int, joined: bytes = joined, starts: np.ndarray = starts, line: np.ndarray = line) -> str:
+                """Words of a line, with what follows the last one in it."""
+                stop = int(starts[end]) if end < len(starts) and line[end] == line[begin] else joined.index(b"\n", starts[end - 1])
+                return joined[starts[begin] : stop].decode("utf-8", "replace")
+
+            by_line = np.argsort(found.line, kind="stable")
+            cuts = np.flatnonzero(np.diff(found.line[by_line], prepend=-1))
+            for of_line in np.split(by_line, cuts[1:]) if len(cuts) else []:
+                best = best_notice(ready, found, of_line, window)
+                if best:
+                    at = found.line[of_line[0]]
+                    doc = int(np.searchsorted(first, at, side="right")) - 1
+                    n = int(at - first[doc])
+                    out.append((keys[doc], n, *best, texts[doc].split(b"\n")[n].decode("utf-8", "replace")))
             if out:
                 arrays = [pa.array(c, batch.column(0).type if k is None else k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)

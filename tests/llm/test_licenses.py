@@ -67,3 +67,31 @@ def test_features_are_those_of_the_plain_words():
 def test_empty(spark, tmp_path):
     write(documents(spark, []), tmp_path)
     assert queries()["op4_license_scan"](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("n", [30, 100, 1000, 20_000])
+def test_notices_inside_paragraphs(spark, model, n):
+    rng = random.Random(n)
+    prose = lambda k: [rng.choice(licenses.FUNCTION_WORDS) if rng.random() < 0.6 else f"zqx{rng.randint(0, 10**6)}" for _ in range(k)]
+    notices = [(family, t) for family, texts in licenses.TEMPLATES.items() for t in texts]
+    texts, want = [], {}
+    for i, (family, t) in enumerate(notices):
+        before = rng.randint(0, n)
+        texts += [" ".join([*prose(before), t, *prose(n - before)]), " ".join(prose(n))]
+        want[100_000 + 2 * i] = family
+    rows = licenses.scan(documents(spark, texts), model).collect()
+    assert {r["doc_id"]: r["license"] for r in rows} == want
+    assert all(r["confirmed"] and r["paragraph"] == 0 for r in rows) and len(rows) == len(want)
+
+
+def test_paragraph_of_many_notices_has_one_row(spark, model):
+    between = " ".join(licenses.FUNCTION_WORDS[:60])
+    rows = licenses.scan(documents(spark, [f"Released under the MIT License. {between} Licensed under CC BY-NC 4.0. {between} Released under bail."]), model).collect()
+    assert [r["confirmed"] for r in rows] == [True]
+    assert rows[0]["license"] in ("MIT", "CC-BY-NC")
+
+
+def test_prose_of_near_features_has_no_row(spark, model):
+    prose = " ".join(licenses.FUNCTION_WORDS[40:90])
+    text = f"{prose} by nd edhein erhe ston a isoringnd rendor tiou anor orlyon haly {prose}"
+    assert licenses.scan(documents(spark, [text]), model).count() == 0
