@@ -5,7 +5,8 @@ only, hashed) of each paragraph go to a multinomial logistic regression over lic
 (a licence of no listed family) and ``none``. It is trained on variants of notice templates; probabilities
 are calibrated by a temperature fitted on variants that the training didn't see. A family is reported if
 its calibrated probability is the largest and at least ``LEAST``, and a template of the family confirms it: the share of
-the shorter one's word pairs that the other has. What looks like a licence but isn't confirmed is ``unknown``.
+the shorter one's word pairs that the other has. What looks like a licence (a class has ``LEAST``, or all but ``none``
+together all but ``CHANCE``) but isn't confirmed is ``unknown``, with the probability of being any licence.
 
 Every paragraph of every whole text is scored. In a long paragraph the prose around a notice would outweigh
 it, so overlapping windows of ``WIDTHS`` words are scored too: a notice of any template fits into one
@@ -41,7 +42,8 @@ LEAST, CONFIRM = 0.6, 0.6
 NONE, UNKNOWN = "none", "unknown"
 #: Words of a window; each begins a quarter of its width after the one before. Lines of up to the first are scored whole only, up to the last whole too.
 WIDTHS = (12, 24, 48)
-#: A window is one of many of its paragraph, so for ``unknown``, which no template confirms, its probability of being none must be this small.
+#: Where no class has LEAST, or in a window, which is one of many of its paragraph, ``unknown`` needs a probability of none this small:
+#: a few words of prose that training knows from a notice spread LEAST over many families as well.
 CHANCE = 0.05
 #: (window, feature) pairs that are scored at a time.
 SCORED = 1 << 18
@@ -182,7 +184,7 @@ class Model:
 
 
 def likely_windows(model: Model, words: np.ndarray, line: np.ndarray) -> Windows:
-    """The windows whose odds against none are those of ``LEAST`` and more, or whose best class isn't none."""
+    """The windows whose odds against none are those of ``LEAST`` and more."""
     buckets, place, size = _grams(words, line)
     feature = model.column[buckets]
     own = feature >= 0
@@ -222,7 +224,7 @@ def likely_windows(model: Model, words: np.ndarray, line: np.ndarray) -> Windows
             p = softmax(logits)
             other = logits[:, 1:].max(axis=1)
             odds = other + np.log(np.exp(logits[:, 1:] - other[:, None]).sum(axis=1)) - logits[:, 0]
-            keep = np.flatnonzero((p.argmax(axis=1) != 0) | (odds >= np.log(LEAST / (1 - LEAST))))
+            keep = np.flatnonzero(odds >= np.log(LEAST / (1 - LEAST)))
             ids = window[cuts[:n]][keep]
             which = np.searchsorted(base, ids, side="right") - 1
             begin = first[which] + (ids - base[which]) * step
@@ -246,15 +248,14 @@ def best_notice(model: Model, found: Windows, of_line: np.ndarray, text: Callabl
         if any(a < end and begin < b for a, b in stronger[max(0, at - 1) : at + 1]):
             continue
         stronger.insert(at, (begin, end))
-        best = int(found.p[i].argmax())
-        family, probability = model.classes[best], float(found.p[i, best])
-        if family == NONE:
-            continue
+        # what isn't none may be spread over families; the largest one is named only if it has LEAST itself
+        best = 1 + int(found.p[i, 1:].argmax())
+        family, probability, licensed = model.classes[best], float(found.p[i, best]), 1 - float(found.p[i, 0])
         similarity, template = confirm(family, text(begin, end)) if family != UNKNOWN else (0.0, "")
         if family != UNKNOWN and probability >= LEAST and similarity >= CONFIRM:
             return family, probability, similarity, True, template
-        if unknown is None and probability >= LEAST and (not found.width[i] or found.p[i, 0] <= CHANCE):
-            unknown = (UNKNOWN, probability, similarity, False, template)
+        if unknown is None and (licensed >= 1 - CHANCE or probability >= LEAST and not found.width[i]):
+            unknown = (UNKNOWN, licensed, similarity, False, template)
     return unknown
 
 

@@ -95,3 +95,10 @@ def test_prose_of_near_features_has_no_row(spark, model):
     prose = " ".join(licenses.FUNCTION_WORDS[40:90])
     text = f"{prose} by nd edhein erhe ston a isoringnd rendor tiou anor orlyon haly {prose}"
     assert licenses.scan(documents(spark, [text]), model).count() == 0
+
+
+def test_mass_split_over_families_is_unknown(spark, model):
+    texts = ["Licensed under either Apache-2.0 or MIT", "CC BY SA ND NC 4.0", "Thinly this erth und der y que."]
+    rows = licenses.scan(documents(spark, texts), model).collect()
+    assert [(r["doc_id"], r["license"], r["confirmed"]) for r in rows] == [(100_000, "unknown", False), (100_001, "unknown", False)]
+    assert min(r["probability"] for r in rows) > 0.95
