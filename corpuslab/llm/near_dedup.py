@@ -3,9 +3,10 @@
 Similarity is the weighted Jaccard similarity of five-word shingles: a shingle weighs its count in the
 text times an inverse document frequency in (1/2, 1], which is 1 up to a share of ``RARE`` of all
 documents and falls with the logarithm beyond, so that passages which many documents share count less.
+Documents with equal word sequences count as one there.
 
-1. Frequencies: every task adds its texts' shingles to a count-mean-min sketch; sketches are summed by
-   segment as a stream. Only counters above RARE of the documents matter (every other shingle weighs its count),
+1. Frequencies: texts with equal word sequences collapse (128-bit digests), so that exact copies make nothing
+   common; every task adds its texts' shingles to a count-mean-min sketch; sketches are summed by segment as a stream. Only counters above RARE of the documents matter (every other shingle weighs its count),
    which are a few hundred times the mean text length at any corpus size, and they alone reach the driver.
 2. Signatures: improved consistent weighted sampling, ``K`` samples a text, in ``BANDS`` bands. A sample's
    triple (r, c, beta) is drawn from a pool by the shingle's hash. The pool is ordered by what its triples
@@ -75,7 +76,7 @@ def columns(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Weights:
-    """Document counts above the rare share, 0 elsewhere, and the number of documents."""
+    """Document counts above the rare share, 0 elsewhere, and the number of documents; those with equal words are one."""
 
     counters: np.ndarray  # (DEPTH, 2**COLUMN_BITS)
     documents: int
@@ -90,14 +91,21 @@ class Weights:
 
 
 def document_frequencies(documents: DataFrame, text: str = "text") -> Weights:
-    """Count shingles in all documents."""
+    """Count shingles in all distinct word sequences."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, weight=PIECE_BYTES):
+            found = shingle([x or b"" for x in utf8(batch.column(0))], WIDTH)
+            cuts = np.cumsum([0, *found.sizes])
+            packed = [found.hashes[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.digest[:, 0]), pa.array(found.digest[:, 1]), pa.array(packed, pa.binary())], ["d1", "d2", "shingles"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, n = np.zeros((DEPTH, 1 << COLUMN_BITS), np.int64), 0
         for batch in pieces(batches, weight=PIECE_BYTES):
-            found = shingle([x or b"" for x in utf8(batch.column(0))], WIDTH)
+            hashes = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
             n += batch.num_rows
-            for i, own in enumerate(columns(found.hashes)):
+            for i, own in enumerate(columns(hashes)):
                 sketch[i] += np.bincount(own, minlength=1 << COLUMN_BITS)
         parts = sketch.reshape(SEGMENTS, -1).astype(np.int32 if n < 1 << 31 else np.int64)
         yield pa.RecordBatch.from_pylist([{"segment": i, "width": parts.itemsize, "n": n if i == 0 else 0, "counts": x.tobytes()} for i, x in enumerate(parts)])
@@ -116,7 +124,9 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array(at + segment * size), pa.array(own[at])], ["counter", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([n], pa.int64())], ["counter", "n"])
 
-    sketches = documents.select(text).mapInArrow(count, "segment bigint, width bigint, n bigint, counts binary")
+    packed = documents.select(text).mapInArrow(pack, "d1 bigint, d2 bigint, shingles binary")
+    once = packed.dropDuplicates(["d1", "d2"]).select("shingles")
+    sketches = once.mapInArrow(count, "segment bigint, width bigint, n bigint, counts binary")
     # the same segment of all tasks meets in one task, which adds them up as they come
     summed = materialise(sketches.repartition(SEGMENTS, "segment").mapInArrow(add, "counter bigint, n bigint"), "frequencies")
     of_documents = F.col("counter") == -1

@@ -149,3 +149,13 @@ def test_clashing_columns(spark):
     kept = near_dedup.dedup(df)
     assert kept.columns == df.columns
     assert [(r["doc_id"], r["place"]) for r in kept.collect()] == [(1, 6)]
+
+
+def test_exact_copies_do_not_lower_weights(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = text(204)
+    near = [*base[:20], "new0", *base[21:60], "new1", *base[61:100], "new2", *base[101:140], "new3", *base[141:]]  # 180 of 220 shingles: 0.818
+    texts = [" ".join(base)] * 300 + [" ".join(near)] + [" ".join(text(20)) for _ in range(600)]
+    out = near_dedup.classes(documents(spark, texts)).collect()
+    assert {r["class_id"] for r in out if r["doc_id"] <= 100_300} == {100_000}
