@@ -14,8 +14,7 @@ Byte 0 is padding: its update gate is shut, so states pass it unchanged. Whole t
 many documents run side by side as one matrix, so the cost follows the bytes and nothing is shuffled.
 
 Defined cases: ``und`` with score 0 if text is null or has no letter, or if there is nothing to learn
-from; a sample with one language always answers that; languages beyond the ``LANGUAGES`` most frequent
-are not learned.
+from; a sample with one language always answers that; every language that has a learnable text is learned.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from corpuslab.llm.common import pieces, utf8
 
 WINDOW = 64
-#: Documents a language in the sample, their longest text in characters, and languages at most.
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 400, 20_000, 64
+#: Documents a language in the sample, and their longest text in characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 #: Windows that run side by side.
 BATCH = 2048
 UNDETERMINED = "und"
@@ -221,18 +220,18 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit(documents: DataFrame, learnable: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, most: int = LANGUAGES, seed: int = 5) -> Network | None:
-    """A network from ``rows`` documents a language, drawn by a seeded hash among those that are learnable.
+def fit(documents: DataFrame, learnable: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 5) -> Network | None:
+    """A network of all languages from ``rows`` documents each, drawn by a seeded hash among those that are learnable.
 
-    The draw reads ids and languages only; what it returns is bounded by rows and languages, so the join
-    that fetches the texts broadcasts a bounded table and reads the corpus once.
+    Only texts with a letter and of up to ``chars`` characters are drawn. The draw shuffles ids and languages only;
+    what it returns is bounded by rows * languages, so the join that fetches the texts broadcasts a bounded table.
     """
-    usable = documents.filter(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    known = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).select("lang")
+    has_text = F.col("text").isNotNull() & (F.char_length("text") <= chars) & F.col("text").rlike(r"\p{L}")
+    usable = documents.filter(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_text)
     draw = F.xxhash64("doc_id", F.lit(seed))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
-    drawn = usable.select("doc_id", "lang").join(F.broadcast(known), "lang").withColumn("place", place).filter(F.col("place") <= rows)
-    texts = usable.select("doc_id", "lang", "text").filter(F.col("text").isNotNull() & (F.char_length("text") <= chars))
+    drawn = usable.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= rows)
+    texts = usable.select("doc_id", "lang", "text")
     found = sorted(texts.join(F.broadcast(drawn.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "doc_id", "text").collect())
     found = [r for r in found if has_letter(r["text"].encode())]
     return train([r["text"].encode() for r in found], [r["lang"] for r in found])

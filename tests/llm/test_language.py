@@ -63,3 +63,17 @@ def test_nothing_to_learn(spark, tmp_path):
     assert {(r["lang_pred"], r["score"]) for r in queries()["op9_language_id"](spark, str(tmp_path)).collect()} == {("und", 0.0)}
     write(documents(spark, []), tmp_path)
     assert queries()["op9_language_id"](spark, str(tmp_path)).count() == 0
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "train", lambda texts, languages: sorted(set(languages)))
+    rows = [(i, f"text {i}", f"l{i:03}") for i in range(100)]
+    found = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert found == [f"l{i:03}" for i in range(100)]
+
+
+def test_texts_that_cannot_be_learned_take_no_place(spark, monkeypatch):
+    monkeypatch.setattr(language, "train", lambda texts, languages: sorted(zip(languages, texts, strict=True)))
+    rows = [(i, (None, "long " * 10, "123")[i % 3], "a") for i in range(60)] + [(100, "short", "a"), (101, "brief", "a")]
+    found = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), rows=2, chars=20)
+    assert found == [("a", b"brief"), ("a", b"short")]
