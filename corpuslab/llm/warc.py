@@ -9,12 +9,17 @@ Payloads that repeat are written once. Of the records with equal payloads (SHA-1
 with the largest id is a ``response``; the others are ``revisit`` records of the identical-payload-digest
 profile, which carry the HTTP headers with the full length, the digest and the response they refer to.
 The choice is an aggregate by digest with partial sums on the map side; only digests that do repeat are
-joined back, and Spark may split a digest's rows over tasks.
+joined back, and Spark may split a digest's rows over tasks. Bundles are read back in as many tasks as there are.
+
+A response is named by its id and its payload's digest, a revisit by its id and its place, so record ids
+are unique unless a row is repeated as a whole.
 
 Defined cases: a null payload is empty; a null url gives no WARC-Target-URI; a null id is written
 without a number and, as the only id of a payload, is not referred to; rows that share the largest id
-of a payload are all responses; payloads below ``min_revisit`` bytes are all responses; control
-characters in a url are percent-encoded; an empty table gives no bundles.
+of a payload are all responses, and such rows with one id are one record written twice; payloads below
+``min_revisit`` bytes are all responses; control characters in a url are percent-encoded; a payload longer
+than a frame has a frame of its own, and is the most that a task holds; an empty table gives no bundles;
+further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -46,28 +51,30 @@ BUNDLE_BYTES = 512 << 20
 INDEX = "record_id bigint, bundle string, frame int, frame_offset bigint, record_length bigint"
 
 
-def _urn(record_id: int | None) -> str:
-    return f"<urn:corpuslab:record:{'' if record_id is None else record_id}>"
+def _urn(record_id: int | None, kind: str, rest: str) -> str:
+    return f"<urn:corpuslab:{kind}:{'' if record_id is None else record_id}:{rest}>"
 
 
 def _id_of(urn: bytes) -> int | None:
-    return int(x) if (x := urn[:-1].rpartition(b":")[2]) else None
+    return int(x) if (x := urn.split(b":")[3]) else None
 
 
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def record(record_id: int | None, url: bytes | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One WARC record: a revisit if it refers to another, else a response."""
+def record(record_id: int | None, url: bytes | None, payload: bytes, refers_to: int | None, date: str, place: str = "") -> bytes:
+    """One WARC record: a revisit if it refers to another, else a response; place names a revisit among those of its id."""
+    digest = sha1_base32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: " + _urn(record_id).encode(), b"WARC-Date: " + date.encode()]
+    kind, urn = ("response", _urn(record_id, "response", digest)) if refers_to is None else ("revisit", _urn(record_id, "revisit", place))
+    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: " + urn.encode(), b"WARC-Date: " + date.encode()]
     if url is not None:
         head.append(b"WARC-Target-URI: " + re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], url))
-    head.append(b"WARC-Payload-Digest: sha1:" + sha1_base32(payload).encode())
+    head.append(b"WARC-Payload-Digest: sha1:" + digest.encode())
     if refers_to is not None:
-        head += [b"WARC-Refers-To: " + _urn(refers_to).encode(), b"WARC-Profile: " + REVISIT_PROFILE.encode()]
+        head += [b"WARC-Refers-To: " + _urn(refers_to, "response", digest).encode(), b"WARC-Profile: " + REVISIT_PROFILE.encode()]
     head += [b"Content-Type: application/http;msgtype=response", b"Content-Length: %d" % len(block)]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -171,7 +178,7 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", min
                 while batch is not None and bundle.written < BUNDLE_BYTES:
                     ids, refers = batch.column(0).to_pylist(), batch.column(3).to_pylist()
                     for record_id, url, payload, refers_to in zip(ids, utf8(batch.column(1)), utf8(batch.column(2)), refers, strict=True):
-                        data = record(record_id, url, payload or b"", refers_to, date)
+                        data = record(record_id, url, payload or b"", refers_to, date, f"{name}:{len(placed)}")
                         placed.append((record_id, name, *bundle.add(data), len(data)))
                     batch = next(rows, None)
                 bundle.close()
@@ -218,25 +225,39 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                             rows.append(row if payloads else row | {"payload": None})
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    # one row per bundle; as many tasks as bundles at most, by Spark's own setting
-    return spark.read.parquet(f"{folder}/index").select("bundle").distinct().mapInArrow(run, RECORDS)
+    # every bundle begins with one record; a number that is given isn't merged by adaptive execution, as these rows are tiny
+    bundles = spark.read.parquet(f"{folder}/index").filter("frame = 0 AND frame_offset = 0").select("bundle")
+    return bundles.repartitionByRange(max(1, bundles.count()), "bundle").mapInArrow(run, RECORDS)
 
 
 def fetch(wanted: DataFrame, folder: str) -> DataFrame:
-    """The records of the ids in ``wanted`` (record_id), by index look-up: one frame is decompressed for each."""
+    """The records of the ids in ``wanted`` (record_id), by index look-up. Places are sorted: a frame that
+    holds any of them is decompressed once, and a bundle's footer is read once in each task."""
     spark = wanted.sparkSession
     schema = pa.schema([("record_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                with open_file(f"{folder}/bundles", row["bundle"]) as file:
-                    headers, block, _ = parse(BundleReader(file).frame(row["frame"]), row["frame_offset"])
-                found = _row(headers, block)
-                yield pa.RecordBatch.from_pylist([{k: found[k] for k in schema.names}], schema)
-
-    index = spark.read.parquet(f"{folder}/index")
-    return index.join(wanted.select("record_id").distinct(), "record_id").mapInArrow(run, "record_id bigint, record_type string, payload_digest string, refers_to bigint, payload binary")
+        now, file, bundle, plain = (None, -1), None, None, b""
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["bundle"] != now[0]:
+                        if file:
+                            file.close()
+                        file = open_file(f"{folder}/bundles", row["bundle"])
+                        bundle = BundleReader(file)
+                    if (row["bundle"], row["frame"]) != now:
+                        now, plain = (row["bundle"], row["frame"]), bundle.frame(row["frame"])
+                    headers, block, _ = parse(plain, row["frame_offset"])
+                    found = _row(headers, block)
+                    yield pa.RecordBatch.from_pylist([{k: found[k] for k in schema.names}], schema)
+        finally:
+            if file:
+                file.close()
+
+    index = spark.read.parquet(f"{folder}/index").join(wanted.select("record_id").distinct(), "record_id")
+    places = index.repartitionByRange("bundle", "frame").sortWithinPartitions("bundle", "frame", "frame_offset")
+    return places.mapInArrow(run, "record_id bigint, record_type string, payload_digest string, refers_to bigint, payload binary")
 
 
 def round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ import io
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from corpuslab.llm import topk, warc
 
@@ -20,6 +21,31 @@ def test_records_by_index(spark, tmp_path):
     assert (got[3]["record_type"], got[3]["refers_to"], got[3]["payload"]) == ("revisit", 59, None)
 
 
+def test_bundles_are_read_in_as_many_tasks(spark, monkeypatch, tmp_path):
+    """Every task writes a bundle here: the tiny rows that name bundles must not be merged into few tasks."""
+    folder = f"file://{tmp_path}/many"
+    rows = spark.range(0, 1000, 1, 250).selectExpr("id AS record_id", "'u' AS url", "encode(CAST(id AS STRING), 'utf-8') AS payload", "CAST(NULL AS BIGINT) AS refers_to")
+    monkeypatch.setattr(warc, "with_references", lambda pages, least: pages)
+    index = warc.write(rows, folder)
+    bundles = index.select("bundle").distinct().count()
+    assert bundles >= 200
+    out = warc.read(spark, folder).withColumn("task", F.spark_partition_id())
+    assert out.count() == 1000
+    assert out.select("task").distinct().count() >= 0.9 * bundles
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    rows = [(i % 3 if i % 4 else None, "u", f"p{i // 4}".encode()) for i in range(24)]
+    rows = list(dict.fromkeys(rows))
+    folder = f"file://{tmp_path}/ids"
+    index = warc.write(spark.createDataFrame(rows, "record_id long, url string, payload binary"), folder)
+    ids = []
+    for r in index.collect():
+        with warc.open_file(f"{folder}/bundles", r["bundle"]) as file:
+            ids.append(warc.parse(warc.BundleReader(file).frame(r["frame"]), r["frame_offset"])[0][b"WARC-Record-ID"])
+    assert len(set(ids)) == len(rows)
+
+
 def test_bundles_are_plain_zstandard_and_seekable():
     out = io.BytesIO()
     bundle = warc.BundleWriter(out)
