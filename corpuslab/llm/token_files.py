@@ -15,7 +15,11 @@ Files are written by range of doc_id, in ascending order inside, and named in a
 their numbers of ids; ``start`` follows from the manifest. The rank table is a Parquet table beside it.
 
 Defined cases: null text is empty and gets the end id alone; a null doc_id comes first; rows that share
-a doc_id follow one another in the order of their ids; an empty table gives no files.
+a doc_id follow one another in the order of a digest of their ids; rows that are equal in both follow one
+another in any order, which can't be told apart, and may lie in several files; the strings of the
+tokenizer's added tokens are those tokens, as the library has it; a long text is encoded whole, and its
+ids (four bytes each) are the most that a task holds; an empty table gives no files; further columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import pieces, utf8
+from corpuslab.llm.common import fresh, pieces, utf8
 from corpuslab.llm.files import create, make_dir, open_file
 from corpuslab.session import work_dir
 
@@ -64,7 +68,8 @@ class WordTokenizer:
     The library encodes everything; this class only decides what it is asked. New words made of plain
     letters, with or without a final mark, are sent to it as lines, whose ids are cut where a token
     ends a pre-token (``</w>``); all others are sent one by one. Texts with the control characters on
-    which Python and Unicode disagree about white space are sent whole. Words have numbers in a bounded
+    which Python and Unicode disagree about white space, and texts that may hold an added token, which the
+    library cuts out first, are sent whole. Words have numbers in a bounded
     dictionary, and their ids lie in one flat array, from which numpy gathers those of a batch.
     """
 
@@ -76,13 +81,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer, normalizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        # what every text with an added token holds: the signs that the token begins with, which no normaliser makes or takes away
+        added = {re.match(r"[!-/:-@\[-`{-~]*", t.content)[0] for t in self._tokenizer.get_added_tokens_decoder().values()}
+        self._whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, sorted(added))])).search
         # on plain letters the file's normaliser only folds case; where that holds, lines are folded here instead
         letters = [chr(c) for c in range(0x100) if self._PLAIN.fullmatch(chr(c))]
         self._folded = None
         if self._tokenizer.normalizer and all(self._tokenizer.normalizer.normalize_str(x) == x.lower() for x in letters):
             self._folded = Tokenizer.from_file(path)
-            self._folded.encode_special_tokens = True
             self._folded.normalizer = normalizers.Sequence([])
         self.size = self._tokenizer.get_vocab_size()
         self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
@@ -127,7 +133,7 @@ class WordTokenizer:
         """(all ids, number of ids of each text): each text's ids and the end id behind them."""
         if len(self._numbers) > CACHE:
             self._clear()
-        odd = {i: self._ids([t])[0] for i, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
+        odd = {i: self._ids([t])[0] for i, t in enumerate(texts) if self._whole(t)}
         cut = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         number, known = self._numbers.__getitem__, len(self._numbers)
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
@@ -239,7 +245,8 @@ def _block(rows: list[tuple[int | None, np.ndarray]], rank_of: np.ndarray) -> by
 def write(encoded: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Write (key, width, ids) as files below ``folder``; returns the manifest and the rank table, both stored there.
 
-    The driver holds the rank table: one number for each id of the vocabulary.
+    ``encoded`` is a written table, so that its rows have the same places whenever they are read. The driver
+    holds the rank table: one number for each id of the vocabulary.
     """
     spark = encoded.sparkSession
     make_dir(spark, f"{folder}/files")
@@ -265,7 +272,10 @@ def write(encoded: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
                 stream.write(_block(rows, rank_of))
         yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n_docs": n_docs, "n_ids": n_ids}])
 
-    ordered = encoded.repartitionByRange(key).sortWithinPartitions(key, "ids")
+    # rows of one key are dealt by a digest of their ids, and equal rows by their place in the encoded table
+    digest, place = fresh("digest", encoded.columns), fresh("place", encoded.columns)
+    placed = encoded.withColumn(digest, F.xxhash64("ids")).withColumn(place, F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(key, digest, place).sortWithinPartitions(key, digest, place).select(*encoded.columns)
     ordered.mapInArrow(run, "shard bigint, name string, n_docs bigint, n_ids bigint").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest"), spark.read.parquet(f"{folder}/ranks")
 

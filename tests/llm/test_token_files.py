@@ -12,14 +12,14 @@ from corpuslab.llm.queries import queries
 from tests.llm.tables import ODD_TEXTS, SF, documents, write
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+SPECIAL = ["one <|endoftext|> two", "a<|startoftext|>b c<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <| |> <|x", "x<|endoftext|>", "we<|endoftext|>'ll\x1cgo"]
 
 
 def test_whole_tables(spark, tmp_path):
-    base = documents(spark, ODD_TEXTS).unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
+    base = documents(spark, [*ODD_TEXTS, *SPECIAL]).unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
     base = base.unionByName(spark.createDataFrame([(None, "no id here", "en", None, 0)], base.schema))
     write(base, tmp_path)
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"] or "") for r in base.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     got = {r["doc_id"]: r for r in queries()["op3_token_files"](spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
@@ -57,6 +57,22 @@ def test_repeated_ids_and_blocks(spark, tmp_path, monkeypatch):
     assert [len(r["ids"]) // 4 for r in out] in ([3, 6, 2], [6, 3, 2])
 
 
+def test_rows_of_one_id_lie_in_many_files(spark, tmp_path, request):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows are one partition
+    spark.conf.set(setting, "false")
+    request.addfinalizer(lambda: spark.conf.unset(setting))
+    folder, n = f"file://{tmp_path}/hot", 4000
+    texts = spark.range(0, n, 1, 4).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "IF(id % 2 = 0, 'same words', CONCAT('w', id)) AS text")
+    token_files.encode(texts, PATH, 1).write.parquet(f"{folder}/encoded")
+    manifest, _ = token_files.write(spark.read.parquet(f"{folder}/encoded"), folder)
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert sum(sizes) == n
+    assert max(sizes) < 0.5 * n
+    out = token_files.read(spark, folder).orderBy("start").collect()
+    ends = [r["start"] + len(r["ids"]) // 4 for r in out]
+    assert [r["start"] for r in out] == [0, *ends[:-1]]
+
+
 def test_empty_table(spark, tmp_path):
     write(documents(spark, []), tmp_path)
     assert queries()["op3_token_files"](spark, str(tmp_path)).count() == 0
