@@ -14,7 +14,11 @@ Byte 0 is padding: its update gate is shut, so states pass it unchanged. Whole t
 many documents run side by side as one matrix, so the cost follows the bytes and nothing is shuffled.
 
 Defined cases: ``und`` with score 0 if text is null or has no letter, or if there is nothing to learn
-from; a sample with one language always answers that; every language that has a learnable text is learned.
+from; a sample with one language always answers that; every language that has a text with a letter is
+learned, of long texts an excerpt; languages of equal probability give the first by name; repeated rows
+are predicted alike, and teach once; texts of any length are read whole, window by window (a piece of
+windows at a time, beside four bytes a byte for the whole); an empty table gives no rows; further columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.llm import labelled
 from corpuslab.llm.common import pieces, utf8
 
 WINDOW = 64
-#: Documents a language in the sample, and their longest text in characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
+#: Documents a language in the sample, the characters of one that are taken at most, and the documents of all languages together,
+#: beyond which each has fewer, but LEAST_ROWS.
+SAMPLE_ROWS, SAMPLE_CHARS, ALL_ROWS, LEAST_ROWS = 400, 8_000, 25_600, 16
 #: Windows that run side by side.
 BATCH = 2048
 UNDETERMINED = "und"
@@ -223,17 +229,29 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 def fit(documents: DataFrame, learnable: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 5) -> Network | None:
     """A network of all languages from ``rows`` documents each, drawn by a seeded hash among those that are learnable.
 
-    Only texts with a letter and of up to ``chars`` characters are drawn. The draw shuffles ids and languages only;
-    what it returns is bounded by rows * languages, so the join that fetches the texts broadcasts a bounded table.
+    Texts with a letter are drawn; of those longer than ``chars`` characters, an excerpt with a letter. Counts by
+    language give a bound of the hash below which a few times ``rows`` texts of each are expected, so only those are
+    shuffled and ranked, whatever share of the corpus a language has. What the draw returns is bounded by rows *
+    languages, so the join that fetches the texts broadcasts a bounded table.
     """
-    has_text = F.col("text").isNotNull() & (F.char_length("text") <= chars) & F.col("text").rlike(r"\p{L}")
-    usable = documents.filter(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_text)
-    draw = F.xxhash64("doc_id", F.lit(seed))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
-    drawn = usable.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= rows)
-    texts = usable.select("doc_id", "lang", "text")
-    found = sorted(texts.join(F.broadcast(drawn.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "doc_id", "text").collect())
-    found = [r for r in found if has_letter(r["text"].encode())]
+    letter = r"\p{L}"
+    usable = documents.filter(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(letter))
+    drawn_by = usable.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("draw"))
+    counts = drawn_by.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()
+    each = max(min(LEAST_ROWS, rows), min(rows, ALL_ROWS // max(1, len(counts))))
+    # draws are even over 64 bits; the least of a language is always drawn, and rows repeated as a whole have one draw
+    span = 1 << 64
+    bounds = [(lang, max(least, min((1 << 63) - 1, -(1 << 63) + span * 4 * each // n)) if n > 4 * each else (1 << 63) - 1) for lang, n, least in counts]
+    if not bounds:
+        return None
+    bound = documents.sparkSession.createDataFrame(bounds, "bound_lang string, bound long")
+    below = drawn_by.select("lang", "draw").join(F.broadcast(bound), (F.col("lang") == F.col("bound_lang")) & (F.col("draw") <= F.col("bound"))).select("lang", "draw").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = below.withColumn("place", place).filter(F.col("place") <= each).select(F.col("lang").alias("drawn_lang"), F.col("draw").alias("drawn"))
+    run = labelled.excerpt("text", chars, seed)
+    run = F.when(run.rlike(letter), run).otherwise(F.substring(F.col("text"), F.regexp_instr("text", F.lit(letter)), F.lit(chars)))
+    fetched = drawn_by.join(F.broadcast(drawn), (F.col("lang") == F.col("drawn_lang")) & (F.col("draw") == F.col("drawn")))
+    found = sorted(fetched.groupBy("lang", "draw").agg(F.min(run).alias("text")).collect())
     return train([r["text"].encode() for r in found], [r["lang"] for r in found])
 
 

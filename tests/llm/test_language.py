@@ -72,8 +72,62 @@ def test_all_languages_are_learned(spark, monkeypatch):
     assert found == [f"l{i:03}" for i in range(100)]
 
 
-def test_texts_that_cannot_be_learned_take_no_place(spark, monkeypatch):
+def test_texts_without_a_letter_take_no_place(spark, monkeypatch):
     monkeypatch.setattr(language, "train", lambda texts, languages: sorted(zip(languages, texts, strict=True)))
-    rows = [(i, (None, "long " * 10, "123")[i % 3], "a") for i in range(60)] + [(100, "short", "a"), (101, "brief", "a")]
+    rows = [(i, (None, "", "123")[i % 3], "a") for i in range(60)] + [(100, "short", "a"), (101, "brief", "a")]
     found = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), rows=2, chars=20)
     assert found == [("a", b"brief"), ("a", b"short")]
+
+
+def test_languages_of_long_texts_are_learned(spark, monkeypatch):
+    rows = [(i, f"{'the house and the garden ' * 400}{i}", "en") for i in range(60)] + [(i, f"{'das Haus und der Garten ' * 1200}{i}", "de") for i in range(60, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.fit(docs, F.lit(True))
+    assert net.languages == ["de", "en"]
+    assert {(r["lang"], r["lang_pred"]) for r in docs.join(language.predict(docs, net), "doc_id").select("lang", "lang_pred").distinct().collect()} == {("en", "en"), ("de", "de")}
+    monkeypatch.setattr(language, "train", lambda texts, languages: texts)
+    digits = spark.createDataFrame([(1, "1" * 50_000 + "abc", "a")], "doc_id long, text string, lang string")
+    assert language.fit(digits, F.lit(True), chars=10) == [b"abc"]
+
+
+def test_draw_has_the_least_hashes(spark, monkeypatch):
+    """The bound of the hash changes nothing: the draw is that of a window over all rows."""
+    monkeypatch.setattr(language, "train", lambda texts, languages: sorted(zip(languages, texts, strict=True)))
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "CONCAT('text ', id) AS text", "IF(id % 10 = 0, 'b', 'a') AS lang")
+    docs = docs.unionByName(docs.limit(0).sparkSession.createDataFrame([(7, "text 7", "a")] * 5 + [(1, "once", "c")] * 900, docs.schema))
+    got = language.fit(docs, F.lit(True), rows=50)
+    order = [(r["lang"], r["draw"], r["text"]) for r in docs.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("draw")).distinct().collect()]
+    want = [(lang, text.encode()) for lang in "abc" for _, _, text in sorted(r for r in order if r[0] == lang)[:50]]
+    assert got == sorted(want)
+
+
+def test_against_the_network_step_by_step(spark):
+    """Scores by a plain loop over the fitted weights: one byte and one direction at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    net = language.fit(docs, F.lit(True))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h = net.candidate.shape[1]
+
+    def states(window, d):
+        state, out = np.zeros(h), []
+        for b in window if d == 0 else window[::-1]:
+            x = net.inputs[d, b].astype(float)
+            r, z = np.split(sigmoid(state @ net.gates[d] + x[: 2 * h]), 2)
+            state = state + z * (np.tanh((r * state) @ net.candidate[d] + x[2 * h :]) - state)
+            out.append(state)
+        return out if d == 0 else out[::-1]
+
+    texts = ["ein Haus im Garten, drei Vögel", "12 le chat noir " * 6]
+    got = {r["doc_id"]: r for r in language.predict(documents(spark, texts), net).collect()}
+    for i, text in enumerate(texts):
+        raw, pooled = text.encode(), []
+        for at in range(0, len(raw), language.WINDOW):
+            window = raw[at : at + language.WINDOW]
+            for b, f, g in zip(window, states(window, 0), states(window, 1), strict=True):
+                if b >= 0x80 or chr(b).isalpha():
+                    p = np.exp(f @ net.output[0] + g @ net.output[1] + net.bias)
+                    pooled.append(p / p.sum())
+        p = np.mean(pooled, axis=0)
+        r = got[100_000 + i]
+        assert r["lang_pred"] == net.languages[int(p.argmax())]
+        assert abs(r["score"] - p.max()) < 1e-4
