@@ -13,7 +13,9 @@ mapping; the bytes come back exactly.
 A worker keeps the ids of matches, and of blank-separated units of matches, in bounded dictionaries.
 They only save repeated work: what is not in them is encoded anew.
 
-Defined cases: null text encodes to no ids; any Unicode text, long or empty, is encoded whole.
+Defined cases: null text encodes to no ids; any Unicode text, long or empty, is encoded whole (a text
+and its ids are the most that a task holds at a time, beside the dictionaries); repeated rows are encoded
+alike; a null key stays; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations

@@ -9,7 +9,11 @@ logits is linear in the mean, so each bucket has one number, and each distinct w
 texts are scored in Arrow batches; nothing is shuffled.
 
 Defined cases: null and empty texts have the mean 0 and get the score of the biases alone; without
-labels of both kinds every score is 0.5; labels of fold 1 of 3 (crc32 of doc_id) are never learned.
+labels of both kinds every score is 0.5; labels of fold 1 of 3 (crc32 of doc_id) are never learned;
+documents whose labels conflict teach nothing, and the order of rows doesn't change the model; a text
+longer than the sample takes teaches by an excerpt from any of its places and is scored whole (a text is
+the least piece that a task holds, with its words); repeated rows are scored alike; a score of exactly
+0.5 is predicted 1; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations

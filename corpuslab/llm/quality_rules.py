@@ -10,7 +10,11 @@ The model becomes one weight for each bucket (1 MB), sent with the task; Arrow b
 numpy, and nothing is shuffled.
 
 Defined cases: null and blank texts have no words and fail the base rules; without labels of both
-kinds every text that passes the base rules is kept; repeated rows are judged alike.
+kinds every text that passes the base rules is kept; documents whose labels conflict teach nothing, and
+the order of rows doesn't change the model; a text longer than the sample takes teaches by an excerpt
+from any of its places and is counted and scored whole (a text is the least piece that a task holds, with
+its words); a probability of exactly ``KEEP`` is kept; repeated rows are judged alike; an empty table
+gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
