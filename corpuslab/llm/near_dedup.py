@@ -5,26 +5,34 @@ text times an inverse document frequency in (1/2, 1], which is 1 up to a share o
 documents and falls with the logarithm beyond, so that passages which many documents share count less.
 Documents with equal word sequences count as one there.
 
-1. Frequencies: texts with equal word sequences collapse (128-bit digests), so that exact copies make nothing
-   common; every task adds its texts' shingles to a count-mean-min sketch; sketches are summed by segment as a stream. Only counters above RARE of the documents matter (every other shingle weighs its count),
-   which are a few hundred times the mean text length at any corpus size, and they alone reach the driver.
-2. Signatures: improved consistent weighted sampling, ``K`` samples a text, in ``BANDS`` bands. A sample's
+1. Every text is shingled once. Texts with equal word sequences collapse into one node (128-bit digests);
+   documents are rows that point at nodes until the very end, so ids may repeat or be missing.
+2. Frequencies: every task adds its nodes' shingles to a count-mean-min sketch; sketches are summed by
+   segment, in two levels. Only counters above RARE of the nodes matter (every other shingle weighs its
+   count), which are a few hundred times the mean text length at any corpus size, and they alone reach the driver.
+3. Signatures: improved consistent weighted sampling, ``K`` samples a node, in ``BANDS`` bands. A sample's
    triple (r, c, beta) is drawn from a pool by the shingle's hash. The pool is ordered by what its triples
    give for weight 1, so among shingles of weight 1 the sample is the one with the least hash, and the
    full formula is needed only for the others.
-3. Texts with equal word sequences collapse into one representative (128-bit digests). Those that share
-   a band are compared by signature, in tiles of bounded size; pairs whose estimate is within four
-   standard deviations of the threshold join a family, and a tile gives the edges of a spanning forest.
-4. Inside each family, in tiles of bounded size again, the pairs that pass the same estimate are verified
-   by their exact weighted Jaccard similarity, unless links already join them; a forest of links remains.
-5. Classes are the connected components of the links.
-
-A bucket or family of any size is cut into blocks and all pairs of blocks are compared, so large ones
-spread over tasks and nothing is dropped. Nothing of document size reaches the driver.
-
-Defined cases: a text without words (null, empty, blank) is in no class but its own; a null doc_id has a
-null class; rows that share a doc_id count as one document; a text of fewer than five words is one
-shingle; classes are named by their smallest doc_id.
+4. Nodes that share a band are compared by signature; pairs whose estimate is within four standard
+   deviations of the threshold join a family.
+5. Inside each family, the pairs that pass the same estimate are verified by their exact weighted Jaccard
+   similarity, unless links already join them; a forest of links remains.
+6. Classes are the connected components of the links.
+
+Groups (buckets of a band, families) of up to a block are compared in one tile. In larger ones, every
+block is first compared with a few leaders, the same for the whole group. Nodes whose leaders are linked
+with each other need no further comparison among themselves. Those outside the largest such part of
+their group are compared with all its nodes, block by block; so a group of similar texts costs its size
+times the number of leaders, nothing is dropped, and only what leaders don't join costs more.
+Nothing of document size reaches the driver.
+
+Defined cases: a text without words (null, empty, blank) is in no class but its own; a null doc_id has the
+class of its text; texts that share a doc_id are compared each for itself; a text of fewer than five words
+is one shingle; classes are named by the smallest doc_id of their rows, null if none has one; a pair of
+exactly the threshold is linked; repeated rows are one document for ``dedup``; long texts are shingled in
+chunks, with up to eight bytes a byte beside them, and make blocks smaller; an empty table gives no rows;
+further columns are kept by ``dedup`` and not looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -34,13 +42,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from corpuslab.llm.common import fresh, pieces, utf8
 from corpuslab.llm.components import connected_components
-from corpuslab.llm.shingles import Shingled, mix, shingle
+from corpuslab.llm.shingles import distinct, mix, shingle, unpack
 from corpuslab.session import materialise
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -48,12 +57,14 @@ BANDS, ROWS = 24, 6
 K = BANDS * ROWS
 #: Share of documents up to which a shingle has full weight.
 RARE = 1 / 256
-#: Rows and columns of the sketch, and the segments in which sketches are summed.
-DEPTH, COLUMN_BITS, SEGMENTS = 2, 18, 64
+#: Rows and columns of the sketch, the segments in which sketches are summed, and the parts of all tasks that are summed first.
+DEPTH, COLUMN_BITS, SEGMENTS, PARTS = 2, 18, 64, 64
 #: Bytes of text that a task shingles at a time, unless one text has more.
 PIECE_BYTES = 2 << 20
-#: Texts of a block; two blocks at most are compared at a time.
-BLOCK = 1024
+#: Nodes of a block and bytes of their shingles, unless one node has more; two blocks at most are compared at a time.
+BLOCK, BLOCK_BYTES = 1024, 64 << 20
+#: Leaders of a group of several blocks, on average; fewer where nodes are so long that these would fill half a block.
+LEADERS = 32
 #: Estimates of pairs at the threshold fall below this once in some 30,000 times.
 LEAST_ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
 
@@ -90,45 +101,65 @@ class Weights:
         return weight
 
 
-def document_frequencies(documents: DataFrame, text: str = "text") -> Weights:
-    """Count shingles in all distinct word sequences."""
+def pack(documents: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The columns to keep (bigint), and d1, d2 (digest of the word sequence), n_words and the packed shingles of each text."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, weight=PIECE_BYTES):
-            found = shingle([x or b"" for x in utf8(batch.column(0))], WIDTH)
-            cuts = np.cumsum([0, *found.sizes])
-            packed = [found.hashes[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found.digest[:, 0]), pa.array(found.digest[:, 1]), pa.array(packed, pa.binary())], ["d1", "d2", "shingles"])
+            found = shingle([x or b"" for x in utf8(batch.column(len(keep)))], WIDTH)
+            columns = [pa.array(found.digest[:, 0]), pa.array(found.digest[:, 1]), pa.array(found.n_words), pa.array(found.packed(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, "d1", "d2", "n_words", "shingles"])
+
+    schema = ", ".join([*(f"{c} bigint" for c in keep), "d1 bigint, d2 bigint, n_words bigint, shingles binary"])
+    return documents.select(*keep, text).mapInArrow(run, schema)
+
+
+def document_frequencies(nodes: DataFrame) -> Weights:
+    """Count the shingles (packed) of all nodes."""
+    part_size = DEPTH * (1 << COLUMN_BITS) // SEGMENTS
+    dense = "segment bigint, part bigint, n bigint, counts binary"
+
+    def sketched(segments: dict[tuple[int, int], np.ndarray], n: dict[int, int]) -> pa.RecordBatch:
+        # the number of nodes goes with segment 0
+        rows = [{"segment": s, "part": p, "n": n.get(p, 0) if s == 0 else 0, "counts": x.astype("<i8").tobytes()} for (s, p), x in segments.items()]
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("segment", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, n = np.zeros((DEPTH, 1 << COLUMN_BITS), np.int64), 0
+        sketch, n, part = np.zeros((DEPTH, 1 << COLUMN_BITS), np.int64), 0, TaskContext.get().partitionId() % PARTS
         for batch in pieces(batches, weight=PIECE_BYTES):
-            hashes = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
+            hashes, _, _ = unpack(batch.column(0).to_pylist())
             n += batch.num_rows
             for i, own in enumerate(columns(hashes)):
                 sketch[i] += np.bincount(own, minlength=1 << COLUMN_BITS)
-        parts = sketch.reshape(SEGMENTS, -1).astype(np.int32 if n < 1 << 31 else np.int64)
-        yield pa.RecordBatch.from_pylist([{"segment": i, "width": parts.itemsize, "n": n if i == 0 else 0, "counts": x.tobytes()} for i, x in enumerate(parts)])
+        yield sketched({(i, part): x for i, x in enumerate(sketch.reshape(SEGMENTS, -1))}, {part: n})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        n = 0
+    def sums(batches: Iterator[pa.RecordBatch]) -> tuple[dict[tuple[int, int], np.ndarray], dict[int, int]]:
+        found: dict[tuple[int, int], np.ndarray] = {}
+        n: dict[int, int] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                n += row["n"]
-                own = np.frombuffer(row["counts"], f"<i{row['width']}")
-                sums[row["segment"]] = sums.get(row["segment"], 0) + own.astype(np.int64)
-        size = DEPTH * (1 << COLUMN_BITS) // SEGMENTS
-        for segment, own in sums.items():
+                key = row["segment"], row["part"]
+                n[key[1]] = n.get(key[1], 0) + row["n"]
+                found[key] = found.get(key, 0) + np.frombuffer(row["counts"], "<i8")
+        return found, n
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = sums(batches)
+        if found:
+            yield sketched(found, n)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = sums(batches)
+        for segment in sorted({s for s, _ in found}):
+            own = sum(x for (s, _), x in found.items() if s == segment)
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(at + segment * size), pa.array(own[at])], ["counter", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([n], pa.int64())], ["counter", "n"])
-
-    packed = documents.select(text).mapInArrow(pack, "d1 bigint, d2 bigint, shingles binary")
-    once = packed.dropDuplicates(["d1", "d2"]).select("shingles")
-    sketches = once.mapInArrow(count, "segment bigint, width bigint, n bigint, counts binary")
-    # the same segment of all tasks meets in one task, which adds them up as they come
-    summed = materialise(sketches.repartition(SEGMENTS, "segment").mapInArrow(add, "counter bigint, n bigint"), "frequencies")
+            yield pa.RecordBatch.from_arrays([pa.array(at + segment * part_size), pa.array(own[at])], ["counter", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([sum(n.values())], pa.int64())], ["counter", "n"])
+
+    sketches = nodes.select("shingles").mapInArrow(count, dense)
+    # a segment of a part of the tasks meets in one task, then a segment of all parts
+    parts = sketches.repartition("segment", "part").mapInArrow(add, dense)
+    summed = materialise(parts.repartition(SEGMENTS, "segment").mapInArrow(finish, "counter bigint, n bigint"), "frequencies")
     of_documents = F.col("counter") == -1
     n, total = (x or 0 for x in summed.agg(F.sum(F.when(of_documents, F.col("n"))), F.sum(F.when(~of_documents, F.col("n")))).first())
     counters = np.zeros(DEPTH << COLUMN_BITS)
@@ -138,14 +169,14 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> Weights:
     return Weights(counters.reshape(DEPTH, -1), n)
 
 
-def signatures(found: Shingled, weights: Weights) -> np.ndarray:
-    """(texts, K) uint32 sample codes; texts without shingles have zeros."""
-    out = np.zeros((len(found.sizes), K), np.uint32)
-    text_of = np.repeat(np.arange(len(found.sizes)), found.sizes)
-    weight = weights.of(found.hashes, found.counts)
+def signatures(hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, weights: Weights) -> np.ndarray:
+    """(texts, K) uint32 sample codes of texts' distinct shingles; texts without any have zeros."""
+    out = np.zeros((len(sizes), K), np.uint32)
+    text_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    weight = weights.of(hashes, counts)
     unit = weight == 1
-    plain, plain_text = found.hashes[unit], text_of[unit]
-    other, other_text, lnw = found.hashes[~unit], text_of[~unit], np.log(weight[~unit])
+    plain, plain_text = hashes[unit], text_of[unit]
+    other, other_text, lnw = hashes[~unit], text_of[~unit], np.log(weight[~unit])
     plain_texts, plain_starts = np.unique(plain_text, return_index=True)
     other_texts, other_starts, other_sizes = np.unique(other_text, return_index=True, return_counts=True)
     for k in range(K):
@@ -183,18 +214,18 @@ def fingerprints(codes: np.ndarray) -> np.ndarray:
     return ((codes * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
-def sign(documents: DataFrame, weights: Weights, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, d1, d2, n_words, keys, prints) of every document."""
+def sign(nodes: DataFrame, weights: Weights) -> DataFrame:
+    """(node, bytes, keys, prints) of every node (node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, weight=PIECE_BYTES):
-            found = shingle([x or b"" for x in utf8(batch.column(1))], WIDTH)
-            codes = signatures(found, weights)
+            packed = batch.column(1).to_pylist()
+            codes = signatures(*unpack(packed), weights)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(codes).ravel()), BANDS).cast(pa.list_(pa.int64()))
             prints = pa.array([x.tobytes() for x in fingerprints(codes)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.digest[:, 0]), pa.array(found.digest[:, 1]), pa.array(found.n_words), keys, prints], [key, "d1", "d2", "n_words", "keys", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, packed)), pa.int64()), keys, prints], ["node", "bytes", "keys", "prints"])
 
-    return documents.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` bigint, d1 bigint, d2 bigint, n_words bigint, keys array<bigint>, prints binary")
+    return nodes.select("node", "shingles").mapInArrow(run, "node bigint, bytes bigint, keys array<bigint>, prints binary")
 
 
 class Forest:
@@ -208,11 +239,11 @@ class Forest:
             self.parent[i] = i = self.parent[self.parent[i]]
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int, edge: tuple[int, int]) -> None:
         a, b = self.root(i), self.root(j)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
-            self.edges.append((i, j))
+            self.edges.append(edge)
 
 
 def likely_pairs(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,78 +262,128 @@ def likely_pairs(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.nd
     return i[order], j[order], share[order]
 
 
-def tiles(rows: DataFrame, group: str, size: str, node: str) -> DataFrame:
-    """Deal the rows of each group into tiles: adds tile (of a pair of blocks) and side (0, 1; 2 if both are one block).
+#: What a row is in its tile: all nodes of a small group; a node of a block and a leader; a node outside the main part and any node.
+WHOLE, MEMBER, LEADER, OUTSIDE, ANY = range(5)
+
 
-    A group of up to BLOCK rows is one tile. Larger ones have all pairs of their blocks, each a tile.
+def sized(rows: DataFrame, group: str) -> DataFrame:
+    """(group, node, size, blocks, leads) of the nodes in groups of two and more: the group's nodes, its blocks and its number of leaders."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("all_bytes")).filter("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("all_bytes") / F.lit(BLOCK_BYTES)))
+    leads = F.greatest(F.lit(1), F.least(F.lit(LEADERS), F.floor(F.col("size") * F.lit(BLOCK_BYTES // 2) / F.greatest("all_bytes", F.lit(1)))))
+    return rows.join(sizes, group).select(F.col(group).alias("group"), "node", "size", F.least(blocks, "size").cast("int").alias("blocks"), leads.cast("int").alias("leads"))
+
+
+def _hash(n: int, *columns: str) -> Column:
+    return F.xxhash64(F.lit(n), *columns)
+
+
+def first_tiles(rows: DataFrame) -> DataFrame:
+    """(tile, role, group, node, label): a tile for each block of each group, with the group's leaders if it has several; no labels."""
+    block = F.pmod(_hash(17, "node"), F.col("blocks")).cast("int")
+    leader = (F.col("blocks") > 1) & (F.pmod(_hash(23, "node", "group"), F.col("size")) < F.col("leads"))
+    own = F.struct(block.alias("block"), F.when(F.col("blocks") == 1, WHOLE).otherwise(MEMBER).alias("role"))
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(LEADER).alias("role")))
+    dealt = rows.withColumn("at", F.explode(F.when(leader, F.concat(F.array(own), everywhere)).otherwise(F.array(own))))
+    return dealt.select(_hash(1, "group", "at.block").alias("tile"), "at.role", "group", "node", F.lit(None).cast("bigint").alias("label"))
+
+
+def rest_tiles(labelled: DataFrame) -> DataFrame:
+    """(tile, role, group, node, label) of what the leaders left, from (group, node, label) of all nodes of the large groups.
+
+    Nodes of one label are linked. All nodes outside the commonest label of a group meet all nodes of the group.
     """
-    n = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64(node, F.lit(17)), n).cast("int")
-    placed = rows.withColumn("blocks", n).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == low, 0).otherwise(1)
-    tiled = placed.withColumn("tile", F.xxhash64(group, low, high)).withColumn("side", side)
-    return tiled.drop("blocks", "block", "other")
+    main = labelled.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"))
+    sizes = main.select("group", "size", (F.col("size") - F.col("main.n")).alias("outside"), F.col("main.label").alias("main")).filter("outside > 0")
+    here = labelled.join(sizes, "group")
+    rows, columns = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("outside", "size"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outside = here.filter("label <> main").select("group", "node", "label", F.lit(OUTSIDE).alias("role"), F.pmod(_hash(29, "node"), rows).cast("int").alias("row"), every(columns).alias("column"))
+    anyone = here.select("group", "node", "label", F.lit(ANY).alias("role"), every(rows).alias("row"), F.pmod(_hash(31, "node"), columns).cast("int").alias("column"))
+    return outside.unionByName(anyone).select(_hash(2, "group", "row", "column").alias("tile"), "role", "group", "node", "label")
+
+
+Same = Callable[[pa.Table], Callable[[int, int], bool]]
 
 
-def by_tile(tiled: DataFrame, group: str, compare: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
-    """(u, v) of every tile's edges. Tiles are sorted next to each other and handled one at a time.
+def by_tile(tiled: DataFrame, same: Same) -> DataFrame:
+    """(u, v, group): the edges of every tile, and for each MEMBER u of one its group, without v.
 
-    Tiles are named by a hash, so the group is compared as well: equal names of two groups stay apart.
+    Tiles are sorted next to each other and handled one at a time. They are named by a hash, so the group is
+    compared as well: equal names of two groups stay apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now, out = None, []
+        now = None
         for batch in batches:
-            tile, own = batch.column("tile").to_numpy(), batch.column(group).to_numpy()
+            tile, own = batch.column("tile").to_numpy(), batch.column("group").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(tile) != 0) | (np.diff(own) != 0)) + 1).tolist(), len(tile)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
                 if held and (tile[a], own[a]) != now:
-                    out += compare(pa.Table.from_batches(held))
+                    yield from link(pa.Table.from_batches(held), same)
                     held = []
-                    if len(out) > 10_000:
-                        yield _edges(out)
-                        out = []
                 now = tile[a], own[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            out += compare(pa.Table.from_batches(held))
-        if out:
-            yield _edges(out)
-
-    return tiled.repartition("tile").sortWithinPartitions("tile", group).mapInArrow(run, "u bigint, v bigint")
-
-
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    u, v = zip(*pairs, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-
-def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Row numbers of the two blocks of a tile; a block with itself is both. Diagonal tiles come alone."""
-    side = rows["side"].to_numpy()
-    if (side == 2).all():
-        own = np.arange(len(side))
-        return own, own, True
-    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), False
-
-
-def _prints(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows["prints"].to_pylist()), np.uint8).reshape(-1, K)
-
-
-def compare_prints(rows: pa.Table) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs whose estimates pass."""
-    nodes, prints = rows["node"].to_pylist(), _prints(rows)
-    left, right, same = _sides(rows)
-    forest = Forest(len(nodes))
-    i, j, _ = likely_pairs(prints[left], prints[right], same)
-    for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
-        forest.join(a, b)
-    return [(nodes[a], nodes[b]) for a, b in forest.edges]
+            yield from link(pa.Table.from_batches(held), same)
+
+    return tiled.repartition("tile").sortWithinPartitions("tile", "group").mapInArrow(run, "u bigint, v bigint, group bigint")
+
+
+def link(rows: pa.Table, same: Same) -> Iterator[pa.RecordBatch]:
+    """The edges of one tile, as many as join what can be joined, and its members."""
+    node, role = rows["node"].to_numpy(), rows["role"].to_numpy()
+    prints = np.frombuffer(b"".join(rows["prints"].to_pylist()), np.uint8).reshape(-1, K)
+    # a node that is in the tile twice has one place in the forest
+    place = np.unique(node, return_inverse=True)[1]
+    forest, equal = Forest(len(node)), same(rows)
+
+    def compare(left: np.ndarray, right: np.ndarray, own: bool, label: np.ndarray | None = None) -> None:
+        i, j, _ = likely_pairs(prints[left], prints[right], own)
+        i, j = left[i], right[j]
+        new = place[i] != place[j]
+        if label is not None:
+            new &= label[i] != label[j]
+        for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
+            if forest.root(place[a]) != forest.root(place[b]) and equal(a, b):
+                forest.join(place[a], place[b], (a, b))
+
+    if (role == WHOLE).all():
+        compare(np.arange(len(node)), np.arange(len(node)), True)
+    elif (role >= OUTSIDE).all():
+        compare(np.flatnonzero(role == OUTSIDE), np.flatnonzero(role == ANY), False, rows["label"].to_numpy())
+    else:
+        leaders, members = np.flatnonzero(role == LEADER), np.flatnonzero(role == MEMBER)
+        compare(leaders, leaders, True)
+        compare(leaders, members, False)
+        nothing, group = pa.nulls(len(members), pa.int64()), rows["group"][0].as_py()
+        yield pa.RecordBatch.from_arrays([pa.array(node[members]), nothing, pa.array([group] * len(members), pa.int64())], ["u", "v", "group"])
+    if forest.edges:
+        u, v = (node[list(x)] for x in zip(*forest.edges, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "group"])
+
+
+def joined(groups: DataFrame, payloads: list[DataFrame], same: Same, name: str) -> DataFrame:
+    """(node, component): nodes of a group (as sized has it) that are joined by pairs which are the same; payloads are by node."""
+
+    def run(tiled: DataFrame) -> DataFrame:
+        for payload in payloads:
+            tiled = tiled.join(payload, "node")
+        return by_tile(tiled, same)
+
+    first = materialise(run(first_tiles(groups)), name)
+    found = materialise(connected_components(first.filter("group IS NULL")), f"{name}-components")
+    members = first.filter("group IS NOT NULL").select("group", F.col("u").alias("node"))
+    if members.isEmpty():  # no group has several blocks
+        return found
+    labelled = members.join(found, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label"))
+    rest = materialise(run(rest_tiles(labelled)), f"{name}-rest")
+    if rest.isEmpty():  # leaders have joined all that can be joined
+        return found
+    return materialise(connected_components(rest.select("u", "v").unionByName(found.toDF("u", "v"))), f"{name}-components")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -312,79 +393,83 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def compare_texts(weights: Weights) -> Callable[[pa.Table], list[tuple[int, int]]]:
-    def compare(rows: pa.Table) -> list[tuple[int, int]]:
-        """Links of a tile: verified pairs, as many as join what can be joined."""
-        nodes, prints, packed = rows["node"].to_pylist(), _prints(rows), rows["shingles"].to_pylist()
-        left, right, same = _sides(rows)
-        forest, vectors = Forest(len(nodes)), {}
+def any_pair(rows: pa.Table) -> Callable[[int, int], bool]:
+    """The estimate alone decides."""
+    return lambda a, b: True
+
+
+def equal_texts(weights: Weights) -> Same:
+    """The exact similarity of the pair decides; rows have packed shingles."""
+
+    def of(rows: pa.Table) -> Callable[[int, int], bool]:
+        packed, vectors = rows["shingles"], {}
 
         def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
             if i not in vectors:
-                hashes, counts = np.unique(np.frombuffer(packed[i], "<u4"), return_counts=True)
+                hashes = np.frombuffer(packed[i].as_py(), "<u4")
+                hashes, counts, _ = distinct(hashes, np.array([len(hashes)]))
                 vectors[i] = hashes, weights.of(hashes, counts)
             return vectors[i]
 
-        i, j, _ = likely_pairs(prints[left], prints[right], same)
-        for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
-            if forest.root(a) != forest.root(b) and weighted_jaccard(vector(a), vector(b)) >= THRESHOLD:
-                forest.join(a, b)
-        return [(nodes[a], nodes[b]) for a, b in forest.edges]
-
-    return compare
-
-
-def with_shingles(members: DataFrame) -> DataFrame:
-    """(family, size, node, prints, text) with the text replaced by its packed shingles, counts by repetition."""
+        return lambda a, b: weighted_jaccard(vector(a), vector(b)) >= THRESHOLD
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, weight=PIECE_BYTES):
-            found = shingle([x or b"" for x in utf8(batch.column(4))], WIDTH)
-            cuts = np.cumsum([0, *found.sizes])
-            packed = [np.repeat(found.hashes[a:b], found.counts[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], ["family", "size", "node", "prints", "shingles"])
-
-    return members.select("family", "size", "node", "prints", "text").mapInArrow(run, "family bigint, size bigint, node bigint, prints binary, shingles binary")
+    return of
 
 
-def sized(rows: DataFrame, group: str) -> DataFrame:
-    """Rows of groups of two and more, with the group's size."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return rows.join(sizes, group)
+@dataclass(frozen=True)
+class Classed:
+    """rows: place, doc_id, k1, k2, d1, d2, n_words of every document; nodes: d1, d2, class, class_id and the first row of the class."""
+
+    rows: DataFrame
+    nodes: DataFrame
+
+
+def _row_key(key: str, text: str) -> list[Column]:
+    """128 bits that tell rows of different id or text apart."""
+    return [F.xxhash64(F.lit(n), F.col(key).isNull(), F.col(key).cast("long"), F.col(text)) for n in (1, 2)]
+
+
+def classify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Classed:
+    k1, k2 = _row_key(key, text)
+    docs = documents.select(F.col(key).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
+    # the place of a row is fixed by writing it
+    rows = materialise(pack(docs, ["doc_id", "k1", "k2"], "text").withColumn("place", F.monotonically_increasing_id()), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k1", "k2")).alias("first")
+    digests = materialise(rows.filter("n_words > 0").groupBy("d1", "d2").agg(F.min("place").alias("node"), first), "digests")
+    nodes = materialise(rows.select(F.col("place").alias("node"), "shingles").join(digests.select("node"), "node", "left_semi"), "nodes")
+    weights = document_frequencies(nodes)
+    signed = materialise(sign(nodes, weights), "signatures")
+    prints = signed.select("node", "prints")
+    buckets = sized(signed.select("node", F.lit(0).alias("bytes"), F.explode("keys").alias("bucket")), "bucket")
+    families = joined(buckets, [prints], any_pair, "alike")
+    members = families.join(signed.select("node", "bytes"), "node").withColumnRenamed("component", "family")
+    linked = joined(sized(members, "family"), [prints, nodes], equal_texts(weights), "links")
+    named = digests.join(linked, "node", "left").select("d1", "d2", "first", F.coalesce("component", "node").alias("class"))
+    least = named.groupBy("class").agg(F.min("first").alias("first_of_class"))
+    return Classed(rows.drop("shingles"), named.join(least, "class").select("d1", "d2", "class", F.col("first_of_class.doc_id").alias("class_id"), "first_of_class"))
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id) of every row; class_id is the smallest key of its near-duplicate class."""
-    docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    weights = document_frequencies(docs)
-    signed = materialise(sign(docs, weights), "signatures")
-    usable = signed.filter("doc_id IS NOT NULL AND n_words > 0")
-    nodes = materialise(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("keys", "prints"), "doc_id").alias("of")), "nodes")
-    prints = nodes.select("node", F.col("of.prints").alias("prints")).groupBy("node").agg(F.first("prints").alias("prints"))
-    buckets = sized(nodes.select("node", F.explode("of.keys").alias("bucket")), "bucket")
-    alike = by_tile(tiles(buckets.join(prints, "node"), "bucket", "size", "node"), "bucket", compare_prints)
-    families = materialise(connected_components(alike), "families")
-    members = sized(families.withColumnRenamed("component", "family"), "family").join(prints, "node")
-    texts = docs.withColumnRenamed("doc_id", "text_id")
-    members = with_shingles(members.join(texts, F.col("node") == F.col("text_id")))
-    links = by_tile(tiles(members, "family", "size", "node"), "family", compare_texts(weights))
-    linked = connected_components(links).withColumnRenamed("node", "linked")
-    named = nodes.select("d1", "d2", "node").join(linked, F.col("node") == F.col("linked"), "left").select("d1", "d2", F.coalesce("component", "node").alias("class"))
-    rows = signed.select("doc_id", "n_words", "d1", "d2")
-    classed = rows.join(named, ["d1", "d2"], "left")
-    own = (F.col("n_words") == 0) | F.col("doc_id").isNull()
-    return classed.select(F.col("doc_id").alias(key), F.when(own, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"))
+    found = classify(documents, key, text)
+    rows = found.rows.select("doc_id", "n_words", "d1", "d2").join(found.nodes.select("d1", "d2", "class_id"), ["d1", "d2"], "left")
+    return rows.select(F.col("doc_id").alias(key), F.when(F.col("n_words") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, with all its columns: that with the smallest key, and of its rows the first by text.
+    """One row of each class, with all its columns: that with the smallest key (null last).
 
-    Rows without a key stay. The choice among rows needs the partitioning that the join has already made.
+    Rows without words are classes of their own, and rows equal in key and text are one. The choice among
+    those needs the partitioning that the join has already made.
     """
     names = documents.columns
-    place, kept_key = fresh("place", names), fresh("kept_key", names)
-    kept = classes(documents, key, text).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias(kept_key)).distinct()
+    k1, k2, kept1, kept2, place = (fresh(c, names) for c in ("k1", "k2", "kept1", "kept2", "place"))
+    found = classify(documents, key, text)
+    best = found.nodes.select("class", "first_of_class").groupBy("class").agg(F.min("first_of_class").alias("first")).select("first.k1", "first.k2")
+    kept = best.unionByName(found.rows.filter("n_words = 0").select("k1", "k2")).distinct().toDF(kept1, kept2)
+    own1, own2 = _row_key(key, text)
+    keyed = documents.withColumns({k1: own1, k2: own2})
+    chosen = keyed.join(kept, (F.col(k1) == F.col(kept1)) & (F.col(k2) == F.col(kept2)), "left_semi")
     plain = [f.name for f in documents.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in (key, text)]
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(text), *plain))
-    once = documents.join(kept, F.col(key) == F.col(kept_key), "left_semi").withColumn(place, first).filter(F.col(place) == 1)
-    return once.select(*names).unionByName(documents.filter(F.col(key).isNull()))
+    first = F.row_number().over(Window.partitionBy(k1, k2).orderBy(*(F.col(f"`{c}`") for c in plain), F.lit(0)))
+    return chosen.withColumn(place, first).filter(F.col(place) == 1).select(*(f"`{c}`" for c in names))
