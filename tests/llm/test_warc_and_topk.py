@@ -1,8 +1,10 @@
 """Operators 2 and 5 beyond their queries."""
 
 import io
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -83,7 +85,7 @@ def test_products_are_exact(scale):
 
 
 def test_tiles_shards_and_blocks(spark, monkeypatch):
-    for name, n in (("QUERY_ROWS", 3), ("SHARD_ROWS", 7), ("TILE_ROWS", 4)):
+    for name, n in (("QUERY_ROWS", 3), ("SHARD_BYTES", 100), ("TILE_ROWS", 4), ("PARTS", 2)):
         monkeypatch.setattr(topk, name, n)
     rng = np.random.default_rng(3)
     ids, vectors = np.arange(40), rng.integers(-3, 4, (40, 4)).astype(float)
@@ -96,3 +98,53 @@ def test_tiles_shards_and_blocks(spark, monkeypatch):
         others = sorted((-int(vectors[i] @ vectors[j]), int(ids[j])) for j in range(40) if j != i)[:5]
         want += [(int(ids[i]), rank, j, -s) for rank, (s, j) in enumerate(others, 1)]
     assert got == sorted(want)
+
+
+def test_long_vectors_stay_within_bounds():
+    """4,096 dimensions: blocks, shards and tiles are bounded by bytes."""
+    rng, n = np.random.default_rng(5), 4096
+    flat = rng.integers(-999, 999, 40_000 * 32).astype(np.float32) / 256
+
+    def batches():
+        for at in range(0, 40_000, 2000):
+            matrix = np.tile(flat[at * 32 : (at + 2000) * 32].reshape(2000, 32), (1, n // 32))
+            offsets = pa.array(np.arange(0, 2001 * n, n, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + 2000)), pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))], ["id", "v"])
+
+    tracemalloc.start()
+    query = next(topk.blocks(batches(), lambda m: min(topk.QUERY_ROWS, topk.QUERY_BYTES // (8 * m)), topk.SHARD_BYTES, 256))
+    assert 256 < len(query[1]) <= 512
+    seen, best = 0, None
+    for ids, shard in topk.blocks(batches(), lambda m: 1 << 62, topk.SHARD_BYTES, 256):
+        assert shard.dtype == np.int16
+        assert shard.nbytes <= topk.SHARD_BYTES + topk.TILE_ROWS * n * 2
+        seen += len(ids)
+        found = topk.search_shard(query[1][:4], ids, shard, 6)
+        best = found if best is None else topk.merged([best, found], 6)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert seen == 40_000
+    small = np.floor(flat.reshape(-1, 32) * 256).astype(np.int64)
+    for i in range(4):
+        scores = small @ small[i] * (n // 32)
+        assert best[2][best[0] == i].tolist() == np.lexsort((np.arange(40_000), -scores))[:6].tolist()
+
+
+@pytest.mark.parametrize("scale", [1, 10**4, 10**9, 10**12])
+def test_own_scores_are_exact(scale):
+    a = np.floor(np.random.default_rng(2).normal(0, 1, (3, 5)) * scale)
+    assert topk.own_scores(a).tolist() == [min(sum(int(x) * int(x) for x in r), (1 << 63) - 1) for r in a]
+
+
+def test_many_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(-40, 40, (3000, 16)) / 64
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(7)
+    got = sorted(tuple(r) for r in topk.search(df, df.filter("vec_id % 10 = 0"), k=5).collect())
+    whole = np.floor(vectors * 256).astype(np.int64)
+    want = []
+    for i in range(0, 3000, 10):
+        scores = whole @ whole[i]
+        order = [j for j in np.lexsort((np.arange(3000), -scores))[:6].tolist() if j != i][:5]
+        want += [(i, rank, j, int(scores[j])) for rank, j in enumerate(order, 1)]
+    assert got == want
