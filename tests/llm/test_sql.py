@@ -1,6 +1,7 @@
 """Operators whose rows SQL can state, over whole and odd tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.llm.queries import oracle_sql, queries
 from tests.compare import TABLES, assert_same, connect
@@ -31,6 +32,43 @@ def test_mixture_of_odd_sources(spark, tmp_path):
     assert all(r["taken"] <= 3 * r["size"] for r in out.collect())
 
 
+def test_mixture_without_ids_and_with_copies(spark, tmp_path):
+    """All ids null, one source with a third of all rows, texts repeated as a whole: taken in part, near the target, the same each time."""
+    rows = [(None, ("three words here", f"w {i}", f"a longer text number {i}")[i % 3], "en", ("a", "b", None, "c")[i % 7 % 4], 0) for i in range(600)]
+    base = spark.createDataFrame(rows, documents(spark, []).schema)
+    con = _view(spark, tmp_path, "documents", base)
+    query = queries()["op10_mix_sources"]
+    out = query(spark, str(tmp_path))
+    assert_same(out, con, oracle_sql()["op10_mix_sources"])
+    from corpuslab.llm import mixing
+
+    per = mixing.mix(base).groupBy("source").agg({"target": "max", "taken": "sum"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 2.5 for r in per)
+    assert mixing.mix_documents(base).count() == mixing.mix(base).agg({"repetitions": "sum"}).first()[0]
+    assert sorted(query(spark, str(tmp_path)).select("size", "taken").collect()) == sorted(out.select("size", "taken").collect())
+
+
+def test_draws_of_missing_ids_are_spread(spark):
+    from corpuslab.llm import mixing
+
+    docs = documents(spark, [f"text {i}" for i in range(3000)]).withColumn("doc_id", F.lit(None).cast("long"))
+    sizes = []
+    plain = mixing.materialise
+
+    def keep(df, name):
+        if name == "sizes":
+            sizes.append(df)
+        return plain(df, name)
+
+    mixing.materialise = keep
+    try:
+        mixing.mix(docs).count()
+    finally:
+        mixing.materialise = plain
+    bins = [r["count"] for r in sizes[0].groupBy(F.substring("draw", 1, mixing.BIN_DIGITS)).count().collect()]
+    assert max(bins) < 12
+
+
 def test_mixture_hits_its_targets(spark):
     from corpuslab.llm import mixing
 
