@@ -19,22 +19,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     hung = both.join(least, "u")
     if large:
-        out = hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        return hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other at most, and those on none: then each star is a component."""
+    one = F.lit(1)
+    ends = edges.select(F.col("u").alias("node"), one.alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), one.alias("holds")))
+    wrong = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 OR (hangs = 1 AND holds = 1)")
+    return wrong.agg(F.count(one)).first()[0] == 0
+
+
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component) of every node with an edge to another; component is the smallest node."""
-    now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
+    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     while True:
+        # a round leaves every edge with its smaller node second
         now = materialise(_star(_star(now, large=True), large=False), "edges")
-        # in the end every edge leads to its component's smallest node, and a round changes nothing
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if seen == state:
+        if _are_stars(now):
             break
-        state = seen
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

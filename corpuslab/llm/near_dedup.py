@@ -229,21 +229,19 @@ def sign(nodes: DataFrame, weights: Weights) -> DataFrame:
 
 
 class Forest:
-    """Union-find that remembers which unions it made."""
+    """Union-find whose roots are the smallest members."""
 
     def __init__(self, n: int):
-        self.parent, self.edges = list(range(n)), []
+        self.parent = list(range(n))
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
             self.parent[i] = i = self.parent[self.parent[i]]
         return i
 
-    def join(self, i: int, j: int, edge: tuple[int, int]) -> None:
+    def join(self, i: int, j: int) -> None:
         a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.edges.append(edge)
+        self.parent[max(a, b)] = min(a, b)
 
 
 def likely_pairs(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,7 +305,9 @@ Same = Callable[[pa.Table], Callable[[int, int], bool]]
 
 
 def by_tile(tiled: DataFrame, same: Same) -> DataFrame:
-    """(u, v, group): the edges of every tile, and for each MEMBER u of one its group, without v.
+    """(u, v, group, label): the edges of every tile, and for each MEMBER u of one its group and label, without v.
+
+    A member's label is that of the leaders it is linked with, or itself.
 
     Tiles are sorted next to each other and handled one at a time. They are named by a hash, so the group is
     compared as well: equal names of two groups stay apart.
@@ -330,16 +330,16 @@ def by_tile(tiled: DataFrame, same: Same) -> DataFrame:
         if held:
             yield from link(pa.Table.from_batches(held), same)
 
-    return tiled.repartition("tile").sortWithinPartitions("tile", "group").mapInArrow(run, "u bigint, v bigint, group bigint")
+    return tiled.repartition("tile").sortWithinPartitions("tile", "group").mapInArrow(run, "u bigint, v bigint, group bigint, label bigint")
 
 
 def link(rows: pa.Table, same: Same) -> Iterator[pa.RecordBatch]:
-    """The edges of one tile, as many as join what can be joined, and its members."""
+    """The edges of one tile, as many as join what can be joined, and its members with their labels."""
     node, role = rows["node"].to_numpy(), rows["role"].to_numpy()
     prints = np.frombuffer(b"".join(rows["prints"].to_pylist()), np.uint8).reshape(-1, K)
-    # a node that is in the tile twice has one place in the forest
-    place = np.unique(node, return_inverse=True)[1]
-    forest, equal = Forest(len(node)), same(rows)
+    # a node that is in the tile twice has one place in the forest; places are in the order of nodes
+    ordered, place = np.unique(node, return_inverse=True)
+    forest, equal = Forest(len(ordered)), same(rows)
 
     def compare(left: np.ndarray, right: np.ndarray, own: bool, label: np.ndarray | None = None) -> None:
         i, j, _ = likely_pairs(prints[left], prints[right], own)
@@ -349,7 +349,7 @@ def link(rows: pa.Table, same: Same) -> Iterator[pa.RecordBatch]:
             new &= label[i] != label[j]
         for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
             if forest.root(place[a]) != forest.root(place[b]) and equal(a, b):
-                forest.join(place[a], place[b], (a, b))
+                forest.join(place[a], place[b])
 
     if (role == WHOLE).all():
         compare(np.arange(len(node)), np.arange(len(node)), True)
@@ -358,12 +358,30 @@ def link(rows: pa.Table, same: Same) -> Iterator[pa.RecordBatch]:
     else:
         leaders, members = np.flatnonzero(role == LEADER), np.flatnonzero(role == MEMBER)
         compare(leaders, leaders, True)
+        # leaders that are linked without any member have one name, the same in all tiles of the group
+        names: dict[int, int] = {}
+        for i in leaders.tolist():
+            root = forest.root(place[i])
+            names[root] = min(names.get(root, int(node[i])), int(node[i]))
+        named = [(i, names[forest.root(place[i])]) for i in leaders.tolist()]
         compare(leaders, members, False)
-        nothing, group = pa.nulls(len(members), pa.int64()), rows["group"][0].as_py()
-        yield pa.RecordBatch.from_arrays([pa.array(node[members]), nothing, pa.array([group] * len(members), pa.int64())], ["u", "v", "group"])
-    if forest.edges:
-        u, v = (node[list(x)] for x in zip(*forest.edges, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "group"])
+        labels: dict[int, int] = {}
+        for i, name in named:
+            root = forest.root(place[i])
+            labels[root] = min(labels.get(root, name), name)
+        own = [labels.get(forest.root(place[i]), int(node[i])) for i in members.tolist()]
+        yield _batch(node[members], None, rows["group"].take(pa.array(members)), own)
+    # every node hangs on the smallest one that it is joined with
+    root = np.fromiter(map(forest.root, range(len(ordered))), np.int64, len(ordered))
+    hangs = np.flatnonzero(root != np.arange(len(ordered)))
+    if len(hangs):
+        yield _batch(ordered[hangs], ordered[root[hangs]], None, None)
+
+
+def _batch(*columns: np.ndarray | pa.ChunkedArray | list[int] | None) -> pa.RecordBatch:
+    n = len(columns[0])
+    arrays = [pa.nulls(n, pa.int64()) if c is None else c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c, pa.int64()) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, ["u", "v", "group", "label"])
 
 
 def joined(groups: DataFrame, payloads: list[DataFrame], same: Same, name: str) -> DataFrame:
@@ -374,16 +392,12 @@ def joined(groups: DataFrame, payloads: list[DataFrame], same: Same, name: str)
             tiled = tiled.join(payload, "node")
         return by_tile(tiled, same)
 
-    first = materialise(run(first_tiles(groups)), name)
-    found = materialise(connected_components(first.filter("group IS NULL")), f"{name}-components")
-    members = first.filter("group IS NOT NULL").select("group", F.col("u").alias("node"))
-    if members.isEmpty():  # no group has several blocks
-        return found
-    labelled = members.join(found, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label"))
-    rest = materialise(run(rest_tiles(labelled)), f"{name}-rest")
-    if rest.isEmpty():  # leaders have joined all that can be joined
-        return found
-    return materialise(connected_components(rest.select("u", "v").unionByName(found.toDF("u", "v"))), f"{name}-components")
+    found = materialise(run(first_tiles(groups)), name)
+    members = found.filter("group IS NOT NULL").select("group", F.col("u").alias("node"), "label")
+    edges = found.filter("group IS NULL").select("u", "v")
+    if not members.isEmpty():  # else no group has several blocks
+        edges = edges.unionByName(materialise(run(rest_tiles(members)), f"{name}-rest").select("u", "v"))
+    return materialise(connected_components(edges), f"{name}-components")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -418,7 +432,7 @@ def equal_texts(weights: Weights) -> Same:
 
 @dataclass(frozen=True)
 class Classed:
-    """rows: place, doc_id, k1, k2, d1, d2, n_words of every document; nodes: d1, d2, class, class_id and the first row of the class."""
+    """rows: place, doc_id, k1, k2, d1, d2, n_words of every document; nodes: d1, d2, class (a node) and class_id (its smallest doc_id)."""
 
     rows: DataFrame
     nodes: DataFrame
@@ -434,8 +448,8 @@ def classify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> C
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
     # the place of a row is fixed by writing it
     rows = materialise(pack(docs, ["doc_id", "k1", "k2"], "text").withColumn("place", F.monotonically_increasing_id()), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k1", "k2")).alias("first")
-    digests = materialise(rows.filter("n_words > 0").groupBy("d1", "d2").agg(F.min("place").alias("node"), first), "digests")
+    found = rows.filter("n_words > 0").groupBy("d1", "d2").agg(F.min("place").alias("node"), F.min("doc_id").alias("least"))
+    digests = materialise(found, "digests")
     nodes = materialise(rows.select(F.col("place").alias("node"), "shingles").join(digests.select("node"), "node", "left_semi"), "nodes")
     weights = document_frequencies(nodes)
     signed = materialise(sign(nodes, weights), "signatures")
@@ -444,9 +458,9 @@ def classify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> C
     families = joined(buckets, [prints], any_pair, "alike")
     members = families.join(signed.select("node", "bytes"), "node").withColumnRenamed("component", "family")
     linked = joined(sized(members, "family"), [prints, nodes], equal_texts(weights), "links")
-    named = digests.join(linked, "node", "left").select("d1", "d2", "first", F.coalesce("component", "node").alias("class"))
-    least = named.groupBy("class").agg(F.min("first").alias("first_of_class"))
-    return Classed(rows.drop("shingles"), named.join(least, "class").select("d1", "d2", "class", F.col("first_of_class.doc_id").alias("class_id"), "first_of_class"))
+    named = digests.join(linked, "node", "left").select("d1", "d2", "least", F.coalesce("component", "node").alias("class"))
+    least = named.groupBy("class").agg(F.min("least").alias("class_id"))
+    return Classed(rows.drop("shingles"), named.join(least, "class").select("d1", "d2", "class", "class_id"))
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -465,7 +479,8 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     names = documents.columns
     k1, k2, kept1, kept2, place = (fresh(c, names) for c in ("k1", "k2", "kept1", "kept2", "place"))
     found = classify(documents, key, text)
-    best = found.nodes.select("class", "first_of_class").groupBy("class").agg(F.min("first_of_class").alias("first")).select("first.k1", "first.k2")
+    named = found.rows.join(found.nodes, ["d1", "d2"]).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    best = named.groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("first")).select("first.k1", "first.k2")
     kept = best.unionByName(found.rows.filter("n_words = 0").select("k1", "k2")).distinct().toDF(kept1, kept2)
     own1, own2 = _row_key(key, text)
     keyed = documents.withColumns({k1: own1, k2: own2})
