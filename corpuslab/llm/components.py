@@ -34,7 +34,7 @@ def _are_stars(edges: DataFrame) -> bool:
 
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component) of every node with an edge to another; component is the smallest node."""
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
     while True:
         # a round leaves every edge with its smaller node second
         now = materialise(_star(_star(now, large=True), large=False), "edges")
