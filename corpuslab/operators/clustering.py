@@ -21,12 +21,11 @@ def _points(rows: DataFrame, vector: str) -> DataFrame:
 
 def kmeans(rows: DataFrame, k: int = 20, seed: int = 42, starts: int = 10, max_iter: int = 300, vector: str = "embedding"):
     """CLU-01, CLU-02: the best of several starts on unit vectors: (assignments with cluster_id, unit centroids, cost)."""
-    points = _points(rows, vector).cache()
+    points = materialise(_points(rows, vector), "points")
     models = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(points) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     centers = [c / n if (n := float((c @ c) ** 0.5)) else c for c in best.clusterCenters()]
     assigned = best.transform(points).drop("features").withColumnRenamed("prediction", "cluster_id")
-    points.unpersist()
     return assigned, centers, best.summary.trainingCost
 
 

@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.functions import vectors as V
+from corpuslab.session import fingerprint, materialise, work_dir
 
 RRF_K = 60
 TOKEN = "[a-z]{2,}"
@@ -49,27 +53,51 @@ def top(scored: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:
     return scored.orderBy(F.desc(score), key).limit(k)
 
 
-def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 1024) -> DataFrame:
-    """RET-03 for up to ``most`` queries in one job: (query_id, <key>, score, rank).
+#: Queries that are compared at a time, and vectors that a task holds for them (in bytes).
+QUERY_ROWS, SHARD_BYTES = 1024, 64 << 20
 
-    The queries are one matrix in the task's closure. Arrow batches are multiplied by it, and only each batch's
-    k best a query leave Python; a ranked window, which Spark limits before its shuffle too, merges them.
-    Vectors must have the queries' length.
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the rows of a task, so many bytes at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    join = lambda: tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if sum(m.nbytes for _, m in held) >= SHARD_BYTES:
+            yield join()
+            held = []
+        held.append((batch.column(0).to_numpy(), np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)))
+    if held:
+        yield join()
+
+
+def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """RET-03 for any number of queries in one job: (query_id, <key>, score, rank). Vectors have one length.
+
+    Queries are written to the shared folder; every task streams them past its own vectors, block by block, so
+    neither side is collected or broadcast, and emits k rows for each query and shard of its vectors.
     """
-    asked = queries.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).orderBy(key).limit(most).collect()
-    if not asked:
-        return vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(key).cast("long").alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    ids, matrix = np.array([r[0] for r in asked]), np.array([r[1] for r in asked])
+    plain = lambda df: df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull())
+    stored = materialise(plain(queries), "queries")
+    files = sorted(unquote(urlsplit(f).path) if urlsplit(f).scheme == "file" else f for f in stored.inputFiles())
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for name in files:
+            store, path = (fs.LocalFileSystem(), name) if name.startswith("/") else fs.FileSystem.from_uri(name)
+            with store.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(QUERY_ROWS):
+                    yield batch.column(0).to_numpy(), np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            scores = np.asarray(batch.column(1).flatten(), float).reshape(len(own), -1) @ matrix.T
-            order = np.lexsort((np.broadcast_to(own[:, None], scores.shape), -scores), axis=0)[:k]
-            columns = [np.repeat(ids[None], len(order), 0).ravel(), own[order].ravel(), np.take_along_axis(scores, order, 0).ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", key, "score"])
-
-    lists = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()).mapInArrow(run, f"query_id long, `{key}` long, score double")
+        for own, shard in _shards(batches):
+            for ids, matrix in blocks():
+                scores = shard @ matrix.T
+                order = np.lexsort((np.broadcast_to(own[:, None], scores.shape), -scores), axis=0)[:k]
+                columns = [np.repeat(ids[None], len(order), 0).ravel(), own[order].ravel(), np.take_along_axis(scores, order, 0).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", key, "score"])
+
+    lists = plain(vectors).mapInArrow(run, f"query_id long, `{key}` long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return lists.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -114,29 +142,48 @@ def bm25_scores(docs: DataFrame, query_terms: Sequence[str], key: str = "doc_id"
 
 
 def bm25_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", terms: Terms = default_terms) -> None:
-    """SNK-04: the index as three Parquet tables."""
-    rows = postings(docs, key, text, terms)
-    rows.write.parquet(f"{folder}/postings")
-    lengths(docs, key, text, terms).write.parquet(f"{folder}/docs")
-    docs.sparkSession.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{folder}/terms")
+    """SNK-04: the index as Parquet tables. Postings carry their document's length and lie in the order of terms, so that
+    a query reads the row groups of its terms only; document frequencies lie likewise; the statistics are one row."""
+    spark = docs.sparkSession
+    tokens = docs.select(F.col(key), terms(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+    found = tokens.select(key, "dl", F.explode("tokens").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    found.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{folder}/postings")
+    spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    tokens.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/stats")
 
 
 def bm25_from_index(spark, folder: str, query_terms: Sequence[str], key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """SRC-10: the same scores from the stored tables; the term filter reaches the scans."""
     wanted = sorted(set(query_terms))
-    docs = spark.read.parquet(f"{folder}/docs")
-    stats = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     hits = spark.read.parquet(f"{folder}/postings").filter(F.col("term").isin(wanted))
-    df = spark.read.parquet(f"{folder}/terms").filter(F.col("term").isin(wanted))
-    scored = hits.join(F.broadcast(df), "term").join(docs, key).join(F.broadcast(stats))
+    # a row for each query term, and one row
+    df, stats = spark.read.parquet(f"{folder}/terms").filter(F.col("term").isin(wanted)), spark.read.parquet(f"{folder}/stats")
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return scored.groupBy(key).agg(F.sum(idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("score"))
+    return scored.groupBy(key).agg(F.sum(idf * (F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))).alias("score"))
+
+
+_INDEXES: dict[tuple[str, str, str, str], str] = {}
+
+
+def stored_index(docs: DataFrame, scan: DataFrame, key: str = "doc_id", text: str = "text") -> str:
+    """The folder of the index of a table, built by the application's first question and again when the table's files change."""
+    spark = docs.sparkSession
+    name = spark.sparkContext.applicationId, fingerprint(scan), key, text
+    if name not in _INDEXES:
+        folder = work_dir(spark, "bm25")
+        bm25_index(docs, folder, key, text)
+        _INDEXES[name] = folder
+    return _INDEXES[name]
 
 
 def ranked(scored: DataFrame, k: int, key: str, ranker: int) -> DataFrame:
-    """WIN-01: (id, ranker, place) of the k best, places from 1. The window sees k rows."""
+    """WIN-01: (id, ranker, place) of the k best, places from 1. The window sees k rows.
+
+    Scores are compared to six decimals, so that equal texts tie whatever the order their terms were added in.
+    """
     place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-    return top(scored.select(F.col(key).alias("id"), "score"), k, "id").withColumn("place", place).select("id", F.lit(ranker).alias("ranker"), "place")
+    return top(scored.select(F.col(key).alias("id"), F.round("score", 6).alias("score")), k, "id").withColumn("place", place).select("id", F.lit(ranker).alias("ranker"), "place")
 
 
 def fuse(rankers: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -184,6 +231,7 @@ def retrieve_passages(
     within = lambda df: base(df).join(chosen, chapter, "left_semi")
     dense, sparse = dense_scores(chunk_vectors, query_vector), bm25_scores(chunks, query_terms)
     sparse = sparse.join(chunks.select("doc_id", chapter), "doc_id")
+    dense, sparse = (x.withColumn("score", F.round("score", 6)) for x in (dense, sparse))
     if prefilter:
         dense, sparse = top(within(dense), p.dense_wide, "vec_id"), top(within(sparse), p.sparse_wide, "doc_id")
     else:

@@ -326,13 +326,6 @@ def first_samples(spark, sf_dir):
     return retrieval.samples(_docs(spark, sf_dir).select("doc_id", "source"), 12, "source", "doc_id")
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS place, row_number() OVER (ORDER BY doc_id) || '. Book ' || source || ', Ch ' || lang || ': ' || trim(replace(substr(text, 1, 200), chr(10), ' ')) AS line FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 8)")
-def sources_panel(spark, sf_dir):
-    """RET-10, RET-16."""
-    hits = _docs(spark, sf_dir).orderBy("doc_id").limit(8).select("doc_id", F.col("source").alias("book"), F.col("lang").alias("chapter"), "text")
-    return retrieval.sources_panel(hits, "doc_id")
-
-
 @query()
 def silhouette_of_labels(spark, sf_dir):
     """AGG-32."""

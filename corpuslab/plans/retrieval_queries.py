@@ -47,7 +47,9 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25_scores(texts(spark, sf_dir), query_terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    """BM25 of the stored index: the corpus is split into terms by the first question only."""
+    folder = R.stored_index(texts(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return R.bm25_from_index(spark, folder, query_terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +79,29 @@ def dense_topk_batch(spark, sf_dir):
     return R.dense_topk_batch(vectors, R.first_match(vectors, ["label"], "vec_id"), 5).withColumn("score", F.round("score", 6))
 
 
+@query("""
+SELECT query_id, vec_id, score, rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score,
+         CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.vec_id) AS INTEGER) AS rank
+  FROM embeddings c JOIN embeddings q ON true) WHERE rank <= 5""")
+def dense_topk_all(spark, sf_dir):
+    """RET-03: every vector is a question, in one job."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return R.dense_topk_batch(vectors, vectors, 5).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm25 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf_dir):
-    """RET-04, RET-05, TOP-03."""
+    """RET-04, RET-05, TOP-03, SNK-04, SRC-10: from the stored index."""
     return R.top(_sparse(spark, sf_dir), 10, "doc_id").select("doc_id", "score")
 
 
+@query(f"WITH {_BM25} SELECT doc_id, score FROM bm25")
+def bm25_scan(spark, sf_dir):
+    """RET-04, RET-05: without an index: scores of all documents with a query term, from one pass over the texts."""
+    return R.bm25_scores(texts(spark, sf_dir), query_terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{2,}')) AS BIGINT) AS dl FROM documents")
 def bm25_lengths(spark, sf_dir):
     """RET-04: document lengths of the index."""
@@ -150,10 +169,10 @@ def last_turns(spark, sf_dir):
 
 @query(f"""
 WITH {_BM25}, best AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM bm25 QUALIFY place <= 5)
-SELECT string_agg('[Passage ' || place || '] Book ' || source || ', Ch ' || lang || ': ' || substr(text, 1, 80), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM best JOIN documents USING (doc_id)""")
+SELECT string_agg('[Passage ' || place || '] Book ' || source || ', Ch ' || lang || ': ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM best JOIN documents USING (doc_id)""")
 def context_block(spark, sf_dir):
     """FN-32."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 80).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     best = R.ranked(_sparse(spark, sf_dir), 5, "doc_id", 0).join(docs.withColumnRenamed("doc_id", "id"), "id").withColumnRenamed("place", "at")
     return R.context(best, "at", "source", "lang", "text")
 
@@ -244,10 +263,10 @@ def citation_vectors(spark, sf_dir):
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    """CLU-01: sizes of the clusters of the best of three starts."""
+    """CLU-01: sizes of the clusters of the best start."""
     from corpuslab.operators.clustering import kmeans
 
-    assigned, _, _ = kmeans(table(spark, sf_dir, "embeddings"), k=10, starts=3, max_iter=50)
+    assigned, _, _ = kmeans(table(spark, sf_dir, "embeddings"))
     return assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -256,3 +275,63 @@ def extractive_answer(spark, sf_dir):
     """RET-15, UDF-04: the offline answer from the best passages."""
     hits = R.with_texts(R.best_fused(_fused(spark, sf_dir), 8), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return R.extractive_answer(query_terms(spark, sf_dir), hits, "first_seen")
+
+
+#: Chapters are the labels of the vectors; a chapter's summary is the text of its first document.
+_CHAPTERS = f"""
+terms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS term FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+chunks AS (SELECT doc_id, text, label FROM documents JOIN embeddings ON vec_id = doc_id),
+summaries AS (SELECT label AS doc_id, arg_min(text, doc_id) AS text FROM chunks GROUP BY label),
+cm AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos),
+sv AS (SELECT label AS vec_id, list(x ORDER BY pos) AS v FROM cm GROUP BY label),
+st AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{2,}}') AS t FROM summaries),
+stf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM st) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+sdf AS (SELECT term, count(*) AS df FROM stf GROUP BY term),
+ss AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM stf JOIN sdf USING (term), (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM st) GROUP BY doc_id),
+sd AS (SELECT vec_id AS id, 0 AS ranker, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM (SELECT vec_id, round(list_dot_product(v, CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS score FROM sv) QUALIFY place <= 18),
+sl AS (SELECT doc_id AS id, 1 AS ranker, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM ss QUALIFY place <= 18),
+chosen AS (SELECT id AS label, sum(1.0::DOUBLE / (60.0::DOUBLE + place)) AS rrf, min(ranker * 1000000 + place) AS first_seen FROM (SELECT * FROM sd UNION ALL SELECT * FROM sl) GROUP BY id ORDER BY rrf DESC, first_seen LIMIT 3)
+"""
+
+
+def _chosen_chapters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, R.Parameters]:
+    p, vectors = R.Parameters(chapters=3), table(spark, sf_dir, "embeddings")
+    chunks = table(spark, sf_dir, "documents").select("doc_id", "text").join(vectors.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    summaries = chunks.groupBy("label").agg(F.min_by("text", "doc_id").alias("text")).withColumnRenamed("label", "doc_id")
+    means = V.mean_vectors(vectors, ["label"], "embedding").withColumnsRenamed({"label": "vec_id", "centroid": "embedding"})
+    return R.retrieve_chapters(means, summaries, query_vector(spark, sf_dir), query_terms(spark, sf_dir), p), chunks, p
+
+
+@query(f"WITH {_CHAPTERS} SELECT label, round(rrf, 9) AS rrf FROM chosen")
+def retrieved_chapters(spark, sf_dir):
+    """RET-07: the best chapters by vector and BM25 over their summaries, fused."""
+    return _chosen_chapters(spark, sf_dir)[0].select(F.col("id").cast("int").alias("label"), F.round("rrf", 9).alias("rrf"))
+
+
+@query(f"""
+WITH {_CHAPTERS},
+ct AS (SELECT doc_id, label, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{2,}}') AS t FROM chunks),
+ctf AS (SELECT doc_id, label, dl, term, count(*) AS tf FROM (SELECT doc_id, label, len(t) AS dl, unnest(t) AS term FROM ct) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+cdf AS (SELECT term, count(*) AS df FROM ctf GROUP BY term),
+cs AS (SELECT doc_id, any_value(label) AS label, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM ctf JOIN cdf USING (term), (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM ct) GROUP BY doc_id),
+wide AS (SELECT * FROM (SELECT vec_id AS id, label, {_SIM} AS score, 0 AS ranker FROM embeddings QUALIFY row_number() OVER (ORDER BY score DESC, vec_id) <= 400)
+         UNION ALL SELECT * FROM (SELECT doc_id, label, score, 1 FROM cs QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 200)),
+kept AS (SELECT id, ranker, row_number() OVER (PARTITION BY ranker ORDER BY score DESC, id) AS place FROM wide WHERE label IN (SELECT label FROM chosen))
+SELECT id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + place)), 9) AS rrf, CAST(min(ranker * 1000000 + place) AS BIGINT) AS first_seen FROM kept GROUP BY id ORDER BY sum(1.0::DOUBLE / (60.0::DOUBLE + place)) DESC, min(ranker * 1000000 + place) LIMIT 8""")
+def retrieved_passages(spark, sf_dir):
+    """RET-07, RET-08, JN-04: passages of the chosen chapters, from over-fetched lists that the chapters filter."""
+    chosen, chunks, p = _chosen_chapters(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    chapters = chosen.select(F.col("id").cast("int").alias("label"))
+    best = R.retrieve_passages(vectors, chunks, chapters, query_vector(spark, sf_dir), query_terms(spark, sf_dir), "label", p)
+    return best.select("id", F.round("rrf", 9).alias("rrf"), F.col("first_seen").cast("long").alias("first_seen"))
+
+
+@query(f"""
+WITH {_BM25}, {_RANKS}, best AS (SELECT * FROM fused ORDER BY rrf DESC, first_seen LIMIT 8), placed AS (SELECT *, row_number() OVER (ORDER BY first_seen) AS place FROM best)
+SELECT CAST(place AS INTEGER) AS place, place || '. Book ' || source || ', Ch ' || lang || ': ' || trim(replace(substr(text, 1, 200), chr(10), ' ')) AS line FROM placed JOIN documents ON id = doc_id""")
+def sources_panel(spark, sf_dir):
+    """RET-10, RET-16: the sources of a search, as lines of a panel."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), F.col("lang").alias("chapter"), "text")
+    hits = R.with_texts(R.best_fused(_fused(spark, sf_dir), 8), docs, "doc_id")
+    return R.sources_panel(hits, "first_seen").filter("line IS NOT NULL")

@@ -213,14 +213,17 @@ def interval_page(spark, sf_dir):
     return joins.page_of(probes, pages, "doc_id").withColumn("probe_id", F.col("probe_id").cast("int"))
 
 
-@query("SELECT doc_id, CAST(greatest(1, ceil(least(n_chars, 1200) / 500.0) - 0) AS BIGINT) AS n_pages FROM documents WHERE n_chars > 0")
+@query("""
+SELECT doc_id, i AS segment_id, greatest(1, CAST((least(1200 * (i + 1), n_chars) - 1) // 500 - (1200 * i) // 500 + 1 AS BIGINT)) AS n_pages
+FROM (SELECT doc_id, n_chars, unnest(range(0, (n_chars + 1199) // 1200)) AS i FROM documents WHERE n_chars > 0)""")
 def pages_spanned(spark, sf_dir):
-    """JN-11: pages of 500 characters under a segment of 1,200."""
+    """JN-11: pages of 500 characters under each segment of 1,200."""
     docs = _docs(spark, sf_dir).filter("n_chars > 0").select("doc_id", F.col("n_chars").cast("int").alias("n"))
     pages = docs.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(500))).alias("i", "start_pos"))
     pages = pages.select("doc_id", (F.col("i") + 1).alias("page_number"), "start_pos", F.least(F.col("start_pos") + 500, F.col("n")).alias("end_pos"))
-    segments = docs.select("doc_id", F.lit(0).alias("segment_id"), F.lit(0).alias("start"), F.least(F.col("n"), F.lit(1200)).alias("end"))
-    return joins.pages_spanned(segments, pages, "doc_id").select("doc_id", F.col("n_pages").cast("long").alias("n_pages"))
+    segments = docs.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(1200))).alias("i", "start"))
+    segments = segments.select("doc_id", F.col("i").cast("long").alias("segment_id"), "start", F.least(F.col("start") + 1200, F.col("n")).alias("end"))
+    return joins.pages_spanned(segments, pages, "doc_id").select("doc_id", "segment_id", F.col("n_pages").cast("long").alias("n_pages"))
 
 
 @query("""
@@ -296,13 +299,13 @@ def lead_summaries(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT lang, source, string_agg(array_to_string(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')[1:5], ' '), chr(10) || chr(10) ORDER BY doc_id) AS joined, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY 1, 2),
+WITH l AS (SELECT lang, source, string_agg(array_to_string(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')[1:100], ' '), chr(10) || chr(10) ORDER BY doc_id) AS joined, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY 1, 2),
 w AS (SELECT *, regexp_extract_all(joined, '[^ \\t\\n\\r\\f\\v]+') AS ws FROM l)
-SELECT lang, source, n, CASE WHEN len(ws) > 30 THEN array_to_string(ws[1:30], ' ') || '...' ELSE array_to_string(ws, ' ') END AS summary FROM w""")
+SELECT lang, source, n, CASE WHEN len(ws) > 150 THEN array_to_string(ws[1:150], ' ') || '...' ELSE array_to_string(ws, ' ') END AS summary FROM w""")
 def rolled_up_summaries(spark, sf_dir):
-    """SUM-01, SUM-03, SUM-04: one level of a roll-up."""
-    heads = _docs(spark, sf_dir).filter(F.trim("text") != "").select("lang", "source", "doc_id", T.first_words(F.col("text"), 5).alias("head"))
-    return summarise.roll_up(heads, ["lang", "source"], ["doc_id"], "head", 30)
+    """SUM-01, SUM-03, SUM-04: one level of a roll-up, over summaries of 100 words each."""
+    heads = _docs(spark, sf_dir).filter(F.trim("text") != "").select("lang", "source", "doc_id", T.first_words(F.col("text"), 100).alias("head"))
+    return summarise.roll_up(heads, ["lang", "source"], ["doc_id"], "head", 150)
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -16,11 +17,14 @@ _SHIPPED: set[str] = set()
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where nothing is set (tests, a laptop) a local folder is made and set.
+    Only where nothing is set and driver and executors are one process (tests, a laptop) a local folder is made
+    and set; a cluster has to name its own.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -52,6 +56,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(scan: DataFrame) -> str:
+    """What the files of a table are now: names, lengths, times of change."""
+    spark = scan.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    digest = hashlib.sha256()
+    for name in sorted(scan.inputFiles()):
+        path = hadoop.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan of fewer splits than the session has cores, dealt out over all of them; others as they are.
 
