@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import vectors as V
@@ -29,8 +31,54 @@ def kmeans(rows: DataFrame, k: int = 20, seed: int = 42, starts: int = 10, max_i
     return assigned, centers, best.summary.trainingCost
 
 
+#: Rows of a chapter-level table: what compares all pairs takes no more.
+MOST_CHAPTERS = 2048
+
+
+def chapter_level(rows: DataFrame) -> DataFrame:
+    """The rows, if they are few enough for all their pairs; else a ValueError, before any pair is made."""
+    if rows.limit(MOST_CHAPTERS + 1).count() > MOST_CHAPTERS:
+        raise ValueError(f"all pairs are compared for up to {MOST_CHAPTERS} rows; use kmeans or bisecting for more")
+    return rows
+
+
+def ward(points: np.ndarray, k: int) -> np.ndarray:
+    """Clusters of the rows: the two whose union adds least to the squared distances from the means merge, until k are left.
+
+    Clusters are numbered in the order of their first rows; of equal merges that of the first rows comes first.
+    """
+    n = len(points)
+    sizes, label = np.ones(n), np.arange(n)
+    norms = (points * points).sum(axis=1)
+    cost = norms[:, None] + norms[None] - 2 * points @ points.T
+    np.fill_diagonal(cost, np.inf)
+    for _ in range(n - k):
+        i, j = sorted(np.unravel_index(np.argmin(cost), cost.shape))
+        both = ((sizes[i] + sizes) * cost[i] + (sizes[j] + sizes) * cost[j] - sizes * cost[i, j]) / (sizes[i] + sizes[j] + sizes)
+        both[[i, j]] = np.inf
+        both[np.isinf(cost[i])] = np.inf  # clusters that are gone
+        cost[i], cost[:, i] = both, both
+        cost[j], cost[:, j] = np.inf, np.inf
+        sizes[i] += sizes[j]
+        label[label == j] = i
+    return np.unique(label, return_inverse=True)[1]
+
+
+def agglomerative(rows: DataFrame, k: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """CLU-06: adds cluster_id, by Ward's merges over a chapter-level table in one task; null without a vector."""
+    held = chapter_level(rows.select(F.col(key).alias("own"), F.col(vector).alias("vector")).filter("vector IS NOT NULL"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(frames) or [pd.DataFrame({"own": [], "vector": []})]).sort_values("own")
+        if len(found):
+            yield pd.DataFrame({"own": found["own"], "cluster_id": ward(np.stack(found["vector"]).astype(float), k)})
+
+    labels = held.repartition(1).mapInPandas(run, f"own {held.schema['own'].dataType.simpleString()}, cluster_id int")
+    return rows.join(labels, rows[key] == F.col("own"), "left").drop("own")
+
+
 def bisecting(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding") -> DataFrame:
-    """CLU-06: a hierarchical clustering that scales; divisive, so not equal to an agglomerative one."""
+    """A hierarchical clustering that scales beyond chapter level; divisive, so not equal to an agglomerative one."""
     return BisectingKMeans(k=k, seed=seed).fit(points := _points(rows, vector)).transform(points).drop("features").withColumnRenamed("prediction", "cluster_id")
 
 
@@ -39,6 +87,7 @@ def density(rows: DataFrame, eps: float = 0.3, least: int = 2, key: str = "vec_i
 
     All pairs are compared: for chapter-level tables.
     """
+    chapter_level(rows)
     a, b = rows.select(F.col(key).alias("a"), F.col(vector).alias("va")), rows.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
     near = a.join(b, F.col("a") != F.col("b")).filter(1 - V.cosine(F.col("va"), F.col("vb")) <= eps).select("a", "b")
     core = near.groupBy("a").count().filter(F.col("count") + 1 >= least).select(F.col("a").alias("core"))
@@ -72,6 +121,13 @@ def parse_label(answer: str | None, cluster: int) -> tuple[str, str]:
     return (label[1].strip() if label else f"Cluster {cluster}", why[1].strip() if why else "")
 
 
+def parsed_label(answer: Column, cluster: Column) -> tuple[Column, Column]:
+    """CLU-04 for columns: (label, explanation) of an answer."""
+    label = F.trim(F.regexp_extract(answer, r"(?im)^\s*LABEL:\s*(.+)$", 1))
+    why = F.trim(F.regexp_extract(answer, r"(?ims)^\s*EXPLANATION:\s*(.+)", 1))
+    return F.coalesce(F.nullif(label, F.lit("")), F.concat(F.lit("Cluster "), cluster.cast("string"))), F.coalesce(why, F.lit(""))
+
+
 def chapter_vectors(vectors: DataFrame, chapter: str, vector: str = "embedding") -> DataFrame:
     """CLU-07: unit mean vector of each chapter."""
     return V.mean_vectors(vectors, [chapter], vector, "mean").select(chapter, V.unit(F.col("mean")).alias("embedding"))
@@ -79,6 +135,7 @@ def chapter_vectors(vectors: DataFrame, chapter: str, vector: str = "embedding")
 
 def similar_chapters(chapters: DataFrame, key: str, k: int = 20, vector: str = "embedding") -> DataFrame:
     """CLU-08, JN-12, TOP-08: the most similar pairs. Every pair is a result row's candidate, so the input is chapter-level."""
+    chapter_level(chapters)
     a = chapters.select(F.col(key).alias("a"), F.col(vector).alias("va"))
     b = chapters.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("similarity")).orderBy(F.desc("similarity"), "a", "b").limit(k)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from pyspark.sql.functions import pandas_udf
 
 from corpuslab.functions import text as T
 
@@ -67,6 +68,12 @@ def overview_after_separator(report: str | None) -> str:
     return ""
 
 
+@pandas_udf(ST.StringType())
+def overview(report: pd.Series) -> pd.Series:
+    """TXT-23 for a column of reports."""
+    return report.map(overview_after_separator)
+
+
 def keywords_in(block: str) -> list[str]:
     """The list behind "Keywords:", over following lines until one is blank or the list has ended."""
     found, open_ = "", False
@@ -154,6 +161,18 @@ def numbered_chapters(report: str | None) -> list[dict]:
     return out
 
 
+def parse_numbered(reports: DataFrame, key: str, text: str) -> DataFrame:
+    """TXT-25: (key, pos, title, paragraphs) of every report, in Arrow batches."""
+    rows = reports.select(key, text)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(k, i, c["title"], c["paragraphs"]) for k, t in frame.itertuples(index=False, name=None) for i, c in enumerate(numbered_chapters(t))]
+            yield pd.DataFrame(found, columns=[key, "pos", "title", "paragraphs"])
+
+    return rows.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, pos int, title string, paragraphs array<string>")
+
+
 def prompts(files: DataFrame, text: str) -> DataFrame:
     """TXT-26: (stem, prompt): each paragraph under its first word."""
     paragraphs = files.select(F.explode(F.split(text, r"\n\n")).alias("p")).select(F.trim("p").alias("prompt")).filter("prompt <> ''")

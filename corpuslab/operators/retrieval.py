@@ -294,6 +294,13 @@ def rewrite_query(question: str, history: Sequence[str]) -> str:
     return question if not history else f"{question} {history[-1][:300]}"
 
 
+def rewritten(conversations: DataFrame, longest: int = 300) -> DataFrame:
+    """RET-14: (conv_id, turn, question): every user message as ``rewrite_query`` gives it after those before it."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    asked = conversations.select("conv_id", "turn", "role", "text", F.substring(before, 1, longest).alias("before")).filter("role = 'user'")
+    return asked.select("conv_id", "turn", F.concat("text", F.coalesce(F.concat(F.lit(" "), "before"), F.lit(""))).alias("question"))
+
+
 def chapter_summary(summaries: DataFrame, keys: Sequence[str], preferred: str) -> DataFrame:
     """RET-17: of each chapter's summaries (pos, author, text), the first by a preferred author, else the first; blank ones don't count."""
     filled = summaries.filter(F.trim("text") != "")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.plans import analytics_queries, more_queries, retrieval_queries, text_queries
+from corpuslab.plans import analytics_queries, file_queries, more_queries, retrieval_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_REGISTRIES = (retrieval_queries.registry, analytics_queries.registry, text_queries.registry, more_queries.registry)
+_REGISTRIES = (retrieval_queries.registry, analytics_queries.registry, text_queries.registry, more_queries.registry, file_queries.registry)
 
 
 def queries() -> dict[str, Query]:

@@ -55,12 +55,12 @@ def page_intervals(pages: DataFrame, doc: str, number: str, text: str) -> DataFr
     return pages.select(doc, F.col(number).alias("page_number"), (end - F.length(text)).alias("start_pos"), end.alias("end_pos"), F.col(text).alias("text"))
 
 
-def page_ranges(spark: SparkSession, pages: DataFrame, ranges: list[tuple[int, str, int, int]]) -> DataFrame:
-    """SRC-06: (num, title, text): texts of page ranges from a literal table of (num, title, first, last)."""
+def page_ranges(spark: SparkSession, pages: DataFrame, ranges: list[tuple[int, str, int, int]], keys: tuple[str, ...] = ()) -> DataFrame:
+    """SRC-06: (keys, num, title, text): texts of page ranges, of each document by its keys, from a literal table of (num, title, first, last)."""
     table = spark.createDataFrame(ranges, "num int, title string, first int, last int")
     hit = pages.join(F.broadcast(table), F.col("page_number").between(F.col("first"), F.col("last")))
     parts = F.array_sort(F.collect_list(F.struct("page_number", "text")))
-    return hit.groupBy("num", "title").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+    return hit.groupBy(*keys, "num", "title").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
 
 
 def name_parts(name: Column) -> Column:
