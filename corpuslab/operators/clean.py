@@ -54,19 +54,13 @@ def strip_logs(text: Column) -> Column:
 
 
 def strip_turn_runs(text: Column) -> Column:
-    """TXT-05, WIN-09: three turn lines or more in a row go. One fold: kept lines, and the run that is still open."""
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("run"))
-
-    def step(s: Column, line: Column) -> Column:
-        settled = F.when(F.size(s["run"]) >= LEAST_RUN, s["kept"]).otherwise(F.concat(s["kept"], s["run"]))
-        turn = line.rlike(TURN_LINE)
-        none = F.array().cast("array<string>")
-        return F.struct(F.when(turn, s["kept"]).otherwise(F.concat(settled, F.array(line))).alias("kept"), F.when(turn, F.concat(s["run"], F.array(line))).otherwise(none).alias("run"))
-
-    finish = lambda s: F.array_join(F.when(F.size(s["run"]) >= LEAST_RUN, s["kept"]).otherwise(F.concat(s["kept"], s["run"])), "\n")
-    folded = F.aggregate(F.split(text, "\n"), start, step, finish)
-    # most texts have no turn line: they don't pay for the fold
-    return F.when(text.rlike("(?m)" + TURN_LINE), folded).otherwise(text)
+    """TXT-05, WIN-09: three turn lines or more in a row go.
+
+    Every line is given the break before it, so a run is one match; it is possessive, so a run of any length
+    is matched in a loop, without stack and without going back.
+    """
+    run = rf"(?:\n{TURN_LINE.removeprefix('^')}[^\n]*+){{{LEAST_RUN},}}+"
+    return F.substr(F.regexp_replace(F.concat(F.lit("\n"), text), run, ""), F.lit(2))
 
 
 def strip_captions(text: Column) -> Column:

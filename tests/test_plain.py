@@ -75,6 +75,26 @@ def test_cleaning(spark):
     assert sum(got[k] != t for k, t in rows) > 250
 
 
+def test_runs_of_turns(spark):
+    """Runs of every length at every place, and one of very many lines."""
+    rng = random.Random(8)
+    turns, other = ("1 a: x", "22. Bo (y", "3 12:30 d", "4 c:"), ("prose", "", "1 2 3", "1234 a: x", " 1 a: x")
+    texts = ["\n".join(line for _ in range(rng.randint(0, 6)) for line in rng.choices(rng.choice((turns, other)), k=rng.randint(1, 5))) for _ in range(300)]
+    texts += ["before\n" + "7 name: words\n" * 200_000 + "after", "\n".join(["8 n: w"] * 100_000), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: r["c"] for r in df.select("id", clean.strip_turn_runs(F.col("t")).alias("c")).collect()}
+    for i, text in enumerate(texts[:-1]):
+        kept, run = [], []
+        for line in text.split("\n"):
+            if re.search(clean.TURN_LINE, line):
+                run.append(line)
+                continue
+            kept += [*(run if len(run) < clean.LEAST_RUN else []), line]
+            run = []
+        assert got[i] == "\n".join(kept + (run if len(run) < clean.LEAST_RUN else [])), text[:200]
+    assert got[len(texts) - 1] is None
+
+
 def test_cleaned_texts_are_those_of_50_words(spark):
     got = {r["doc_id"]: r["narrative_words"] for r in catalog.queries()["cleaned_texts"](spark, SF).collect()}
     words = {k: len(plain_clean(t).split()) for k, t in documents(spark)}
