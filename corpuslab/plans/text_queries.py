@@ -264,7 +264,12 @@ def parsed_pages(spark, sf_dir):
     return readers.parse_pages(texts(spark, sf_dir, "pages")).select("page_id", "title", F.size("headings").alias("n_headings"))
 
 
-@query()
+@query("""
+WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(?:p|br|div|li|h\\d|tr|article|footer|nav|ul)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '[\\s\\v]*\\n[\\s\\v]*', chr(10), 'g'), ' ') AS text FROM c)
+SELECT page_id, text, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS BIGINT) AS words FROM d""")
 def page_texts(spark, sf_dir):
     """SRC-05: visible text of each page."""
     return readers.parse_pages(texts(spark, sf_dir, "pages")).select("page_id", "text", T.word_count(F.col("text")).alias("words"))
