@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import byte_bpe, language, licenses, mixing, near_dedup, quality_classifier, quality_rules, token_files, topk, warc
+from corpuslab.llm import byte_bpe, divergence, language, licenses, mixing, near_dedup, packing, quality_classifier, quality_rules, token_files, topk, warc, whitening
 from corpuslab.llm.common import fold, table
 from corpuslab.session import spread
 
@@ -89,6 +89,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(texts(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    whitened = whitening.apply(vectors, whitening.fit(vectors, k=4, scale=256), scale=256)
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(texts(spark, sf_dir), least=30, top=50)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(texts(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=1, capacity=2048)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -101,8 +116,11 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_language_id": op9_language_id,
         "op10_mix_sources": op10_mix_sources,
+        "op11_whitening": op11_whitening,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_packing": op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op5_topk_search": topk.ORACLE, "op10_mix_sources": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op5_topk_search": topk.ORACLE, "op10_mix_sources": mixing.ORACLE, "op12_source_divergence": divergence.ORACLE}
