@@ -113,7 +113,7 @@ def _identity_error(fit: DataFrame, model: Whitening) -> float:
 
 def fit(vectors: DataFrame, k: int = 4, scale: int = 256, vector: str = "embedding") -> Whitening | None:
     """The first k components of the distinct integer vectors; None where nothing varies."""
-    x = vectors.select(entries(vector, scale).alias("x")).filter(takes_part(vector) & (F.size(vector) > 0)) if vector != "x" else vectors.filter(takes_part("x") & (F.size("x") > 0)).select(entries("x", scale).alias("x"))
+    x = vectors.select(F.col(vector).alias("vector")).filter(takes_part("vector") & (F.size("vector") > 0)).select(entries("vector", scale).alias("x"))
     distinct = materialise(x.distinct(), "fit")
     width = distinct.groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
     if width is None:
