@@ -11,9 +11,9 @@ Documents with equal word sequences count as one there.
    segment, in two levels. Only counters above RARE of the nodes matter (every other shingle weighs its
    count), which are a few hundred times the mean text length at any corpus size, and they alone reach the driver.
 3. Signatures: improved consistent weighted sampling, ``K`` samples a node, in ``BANDS`` bands. A sample's
-   triple (r, c, beta) is drawn from a pool by the shingle's hash. The pool is ordered by what its triples
-   give for weight 1, so among shingles of weight 1 the sample is the one with the least hash, and the
-   full formula is needed only for the others.
+   triple (r, c, beta) is made from all bits of the shingle's hash, in such an order that what it gives for
+   weight 1 grows with the hash. So among shingles of weight 1 the sample is the one with the least hash, and
+   the full formula is needed only for the others.
 4. Nodes that share a band are compared by signature; pairs whose estimate is within four standard
    deviations of the threshold join a family.
 5. Inside each family, the pairs that pass the same estimate are verified by their exact weighted Jaccard
@@ -29,7 +29,9 @@ Nothing of document size reaches the driver.
 
 Defined cases: a text without words (null, empty, blank) is in no class but its own; a null doc_id has the
 class of its text; texts that share a doc_id are compared each for itself; a text of fewer than five words
-is one shingle; classes are named by the smallest doc_id of their rows, null if none has one; a pair of
+is one shingle; ``class_id`` is the smallest doc_id of a class, null if none of its rows has one, so where ids repeat or
+are missing classes may share it, and ``class`` (a digest of a text of the class, or the place of a row without words) tells
+all of them apart; a pair of
 exactly the threshold is linked; repeated rows are one document for ``dedup``; long texts are shingled in
 chunks, with up to eight bytes a byte beside them, and make blocks smaller; an empty table gives no rows;
 further columns are kept by ``dedup`` and not looked at, whatever they are called.
@@ -69,16 +71,36 @@ LEADERS = 32
 LEAST_ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
 
 _rng = np.random.default_rng(4711)
-_POOL = 1 << 16
-_r, _lnc, _beta = _rng.gamma(2.0, 1.0, _POOL), np.log(_rng.gamma(2.0, 1.0, _POOL)), _rng.uniform(0, 1, _POOL)
-_order = np.argsort(_lnc + _r * _beta - _r, kind="stable")
-_R, _LNC, _BETA = _r[_order], _lnc[_order], _beta[_order]
-#: ln a of a shingle of weight 1, for which t is 0.
-_UNIT = _LNC + _R * _BETA - _R
 _XOR = _rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)
 _ODD = (_rng.integers(0, 1 << 32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
+def _uniform(v: np.ndarray, salt: int) -> np.ndarray:
+    """In (0, 1), from all bits of v."""
+    v = v ^ np.uint32(salt)
+    v = (v ^ (v >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    v = (v ^ (v >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return ((v ^ (v >> np.uint32(16))).astype(np.float64) + 0.5) / 2.0**32
+
+
+def unit_samples(v: np.ndarray) -> np.ndarray:
+    """ln a of shingles of weight 1, for which a is exponential; it grows with v."""
+    return np.log(-np.log1p(-(v.astype(np.float64) + 0.5) / 2.0**32))
+
+
+def samples(v: np.ndarray, lnw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ln a, t) of shingles of other weights, from the triple (r, c, beta) that belongs to v.
+
+    r * beta and r * (1 - beta) are independent and exponential, as r is of shape 2 and beta uniform. For weight 1, a is
+    c * exp(-r * (1 - beta)). So v gives a for weight 1, and given that, exp(r * (1 - beta)) - 1 is exponential with the mean 1 / a.
+    """
+    unit = unit_samples(v)
+    s, p = np.log1p(-np.log(_uniform(v, 0x3C6EF372)) * np.exp(-unit)), -np.log(_uniform(v, 0x1B873593))
+    r = p + s
+    t = np.floor((lnw + p) / r)
+    return unit + s + p - r * (t + 1), t
+
+
 def columns(hashes: np.ndarray) -> np.ndarray:
     """(DEPTH, n): the counter of a shingle in each row of the sketch."""
     shift = np.uint32(32 - COLUMN_BITS)
@@ -184,14 +206,11 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, weight
         code = out[:, k]
         if len(plain):
             least = np.minimum.reduceat((plain ^ _XOR[k]) * _ODD[k], plain_starts)
-            best[plain_texts] = _UNIT[least >> np.uint32(16)]
+            best[plain_texts] = unit_samples(least)
             code[plain_texts] = least
         if len(other):
             v = (other ^ _XOR[k]) * _ODD[k]
-            at = v >> np.uint32(16)
-            r, beta = _R[at], _BETA[at]
-            t = np.floor(lnw / r + beta)
-            lna = _LNC[at] - r * (t - beta) - r
+            lna, t = samples(v, lnw)
             lowest = np.minimum.reduceat(lna, other_starts)
             first = np.flatnonzero(lna == np.repeat(lowest, other_sizes))
             first = first[np.unique(other_text[first], return_index=True)[1]]
@@ -432,7 +451,7 @@ def equal_texts(weights: Weights) -> Same:
 
 @dataclass(frozen=True)
 class Classed:
-    """rows: place, doc_id, k1, k2, d1, d2, n_words of every document; nodes: d1, d2, class (a node) and class_id (its smallest doc_id)."""
+    """rows: place, doc_id, k1, k2, d1, d2, n_words of every document; nodes: d1, d2, class (a node), class_id (its smallest doc_id) and class_name."""
 
     rows: DataFrame
     nodes: DataFrame
@@ -459,15 +478,17 @@ def classify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> C
     members = families.join(signed.select("node", "bytes"), "node").withColumnRenamed("component", "family")
     linked = joined(sized(members, "family"), [prints, nodes], equal_texts(weights), "links")
     named = digests.join(linked, "node", "left").select("d1", "d2", "least", F.coalesce("component", "node").alias("class"))
-    least = named.groupBy("class").agg(F.min("least").alias("class_id"))
-    return Classed(rows.drop("shingles"), named.join(least, "class").select("d1", "d2", "class", "class_id"))
+    digest = F.concat(F.hex(F.col("least_digest.d1")), F.lit("-"), F.hex(F.col("least_digest.d2")))
+    least = named.groupBy("class").agg(F.min("least").alias("class_id"), F.min(F.struct("d1", "d2")).alias("least_digest")).select("class", "class_id", digest.alias("class_name"))
+    return Classed(rows.drop("shingles"), named.join(least, "class").select("d1", "d2", "class", "class_id", "class_name"))
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id) of every row; class_id is the smallest key of its near-duplicate class."""
+    """(key, class_id, class) of every row: the smallest key of its near-duplicate class, and a name that no other class has."""
     found = classify(documents, key, text)
-    rows = found.rows.select("doc_id", "n_words", "d1", "d2").join(found.nodes.select("d1", "d2", "class_id"), ["d1", "d2"], "left")
-    return rows.select(F.col("doc_id").alias(key), F.when(F.col("n_words") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    rows = found.rows.select("doc_id", "n_words", "d1", "d2", "place").join(found.nodes.select("d1", "d2", "class_id", "class_name"), ["d1", "d2"], "left")
+    alone = F.col("n_words") == 0
+    return rows.select(F.col("doc_id").alias(key), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.concat(F.lit("row-"), "place")).otherwise(F.col("class_name")).alias("class"))
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

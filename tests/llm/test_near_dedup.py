@@ -286,3 +286,49 @@ def test_exact_copies_do_not_lower_weights(spark):
     texts = [" ".join(base)] * 300 + [" ".join(near)] + [" ".join(text(20)) for _ in range(600)]
     out = near_dedup.classes(documents(spark, texts)).collect()
     assert {r["class_id"] for r in out if r["doc_id"] <= 100_300} == {100_000}
+
+
+def test_classes_that_share_an_id_have_names_of_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, "six other words in this text"), (None, "quite another text of seven words"), (None, ""), (None, None)]
+    out = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = [sorted((r["doc_id"] for r in out if r["class"] == c), key=repr) for c in {r["class"] for r in out}]
+    assert len({r["class"] for r in out}) == 6
+    assert sorted(map(repr, names)) == sorted(map(repr, [[1, 2], [1, 3], [None], [None], [None], [None]]))
+
+
+def weighted(shared, own, times, repeat_shared):
+    """Two texts' shingles: ``shared`` in common, ``own`` of each; the last (or, of the first, another) tenth counts ``times``."""
+    rng = np.random.default_rng(shared + times)
+    pool = rng.choice(1 << 32, shared + 2 * own, replace=False).astype(np.uint32)
+    texts = [np.sort(np.concatenate([pool[:shared], pool[shared + i * own : shared + (i + 1) * own]])) for i in range(2)]
+    heavy = set(pool[: shared // 100].tolist()) if repeat_shared else set(pool[shared : shared + own].tolist())
+    counts = [np.array([times if h in heavy else 1 for h in t.tolist()]) for t in texts]
+    return np.concatenate(texts), np.concatenate(counts), np.array(list(map(len, texts)))
+
+
+@pytest.mark.parametrize("shared", [20_000, 200_000, 2_000_000])
+@pytest.mark.parametrize("repeat_shared", [True, False])
+def test_samples_hold_for_any_length(shared, repeat_shared):
+    """The share of equal samples lies within four standard deviations of the similarity, whatever the number of shingles."""
+    hashes, counts, sizes = weighted(shared, shared // 10 if repeat_shared else shared // 100, 10, repeat_shared)
+    weights = near_dedup.Weights(np.zeros((near_dedup.DEPTH, 1 << near_dedup.COLUMN_BITS)), 1000)
+    a, b = (dict(zip(h.tolist(), c.tolist(), strict=True)) for h, c in zip(np.split(hashes, [sizes[0]]), np.split(counts, [sizes[0]]), strict=True))
+    low = sum(min(n, b[h]) for h, n in a.items() if h in b)
+    true = low / (sum(a.values()) + sum(b.values()) - low)
+    codes = near_dedup.signatures(hashes, counts, sizes, weights)
+    agree = np.mean(codes[0] == codes[1])
+    assert 0.7 < true < 0.95
+    assert abs(agree - true) < 4 * (true * (1 - true) / near_dedup.K) ** 0.5
+
+
+def test_triples_have_their_distributions():
+    """What v gives is exponential with the weight as its rate, and the sample of one weight is often that of a near one."""
+    v = np.random.default_rng(3).integers(0, 1 << 32, 200_000, dtype=np.uint64).astype(np.uint32)
+    for w in (0.6, 1.0, 3.0, 50.0):
+        lna, t = near_dedup.samples(v, np.full(len(v), np.log(w)))
+        a = np.sort(np.exp(lna)) * w
+        grid = (np.arange(len(a)) + 0.5) / len(a)
+        assert np.abs(1 - np.exp(-a) - grid).max() < 0.006
+        if w == 1:
+            assert np.allclose(lna, near_dedup.unit_samples(v)) and not t.any()
