@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslab.functions import fuzzy
 from corpuslab.functions import text as T
 from corpuslab.operators import analytics as A
+from corpuslab.operators import sentences as boundaries
 from corpuslab.operators import chunking, citations, clean, joins, reports, style, summarise
 from corpuslab.plans.registry import Registry, table, texts
 from corpuslab.sources import readers
@@ -345,8 +345,10 @@ def fuzzy_pairs(spark, sf_dir):
 
 @query()
 def sentence_counts(spark, sf_dir):
-    """FN-22."""
-    return _docs(spark, sf_dir).select("doc_id", F.size(fuzzy.sentences(F.col("text"))).alias("n"))
+    """FN-22: by boundaries learned from all documents."""
+    docs = _docs(spark, sf_dir)
+    split = boundaries.splitter(boundaries.learn(docs))
+    return docs.select("doc_id", F.size(split(F.col("text"))).alias("n"))
 
 
 @query("SELECT CAST(json_object('type', 'entity', 'name', source, 'entityType', 'book', 'observations', [CAST(count(*) AS VARCHAR)]) AS VARCHAR) AS value FROM documents GROUP BY source UNION ALL SELECT CAST(json_object('type', 'relation', 'from', source, 'to', lang, 'relationType', 'has') AS VARCHAR) FROM (SELECT DISTINCT source, lang FROM documents)")
