@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.functions.fuzzy import sequence_ratio
+from corpuslab.session import materialise
 
 
 def equi_or_default(left: DataFrame, right: DataFrame, on: Sequence[str], defaults: dict[str, Column]) -> DataFrame:
@@ -99,25 +101,36 @@ def chapter_sections(sections: DataFrame, title: str, body: str, book_title: str
     return sections.filter(own).filter(sequence_ratio(form, T.match_form(F.col(book_title))) <= SAME_AS_BOOK)
 
 
+#: Parts into which a block's right titles are dealt, so that a large block is compared by as many tasks.
+BLOCK_PARTS = 32
+
+
 def greedy_pairs(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float = 0.45) -> DataFrame:
     """JN-13: fuzzy 1:1 assignment inside each block: best ratio first, each title once. left (block, a), right (block, b).
 
-    Ratios are computed in Arrow batches; the greedy choice is sequential, so a block is one group.
+    A pair that is the best of all that are left for both of its titles is what the sequential choice takes, too, whatever it takes before. So
+    rounds take all such pairs at once and drop what shares a title with them, until none is left. Rounds aggregate by title and are
+    written to the shared folder; their number is that of the longest chain of pairs in which each is beaten by the next.
+
+    Every pair of a block is a candidate by meaning: the right side is dealt into parts, and a pair whose lengths alone
+    keep its ratio below ``least`` isn't compared. Titles repeated in a block are one; null titles and blocks have no pairs;
+    of equal ratios the smaller titles go first.
     """
-    pairs = left.join(right, block).withColumn("ratio", sequence_ratio(T.match_form(F.col(a)), T.match_form(F.col(b)))).filter(F.col("ratio") >= least)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, kept = set(), set(), []
-        for row in pdf.sort_values(["ratio", a, b], ascending=[False, True, True]).itertuples(index=False):
-            x, y = getattr(row, a), getattr(row, b)
-            if x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    columns = [block, a, b, "ratio"]
-    return pairs.select(*columns).groupBy(block).applyInPandas(choose, pairs.select(*columns).schema)
+    form = lambda c: T.match_form(F.col(c))
+    x = left.select(F.col(block).alias("block"), F.col(a).alias("a")).distinct().withColumn("form_a", form("a"))
+    y = right.select(F.col(block).alias("block"), F.col(b).alias("b")).distinct().withColumn("form_b", form("b"))
+    x = x.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_PARTS - 1))))
+    y = y.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(BLOCK_PARTS)).cast("int"))
+    short, both = F.least(F.length("form_a"), F.length("form_b")), F.length("form_a") + F.length("form_b")
+    near = x.join(y, ["block", "part"]).filter((both == 0) | (2 * short >= least * both))
+    pairs = materialise(near.select("block", "a", "b", sequence_ratio(F.col("form_a"), F.col("form_b")).alias("ratio")).filter(F.col("ratio") >= least), "pairs")
+    taken = []
+    while not pairs.isEmpty():
+        best = lambda own, other: pairs.groupBy("block", own).agg(F.min(F.struct((-F.col("ratio")).alias("ratio"), other))[other].alias(other))  # noqa: B023, E731
+        taken.append(materialise(best("a", "b").join(best("b", "a"), ["block", "a", "b"]).join(pairs, ["block", "a", "b"]), "taken"))
+        pairs = materialise(pairs.join(taken[-1].select("block", "a"), ["block", "a"], "left_anti").join(taken[-1].select("block", "b"), ["block", "b"], "left_anti"), "pairs")
+    out = reduce(DataFrame.unionByName, taken) if taken else pairs
+    return out.select(F.col("block").alias(block), F.col("a").alias(a), F.col("b").alias(b), "ratio")
 
 
 def fuzzy_lookup(titles: DataFrame, index: DataFrame, title: str, target: str) -> DataFrame:

@@ -6,6 +6,7 @@ meaning (over-fetch, then filter); ``prefilter=True`` turns it round.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.functions import vectors as V
-from corpuslab.session import fingerprint, materialise, work_dir
+from corpuslab.session import materialise, stamps, work_dir
 
 RRF_K = 60
 TOKEN = "[a-z]{2,}"
@@ -53,49 +54,78 @@ def top(scored: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:
     return scored.orderBy(F.desc(score), key).limit(k)
 
 
-#: Queries that are compared at a time, and vectors that a task holds for them (in bytes).
-QUERY_ROWS, SHARD_BYTES = 1024, 64 << 20
+#: Queries that are compared at a time, vectors that a task holds for them (in bytes), and vectors of a tile: its scores take 32 MB.
+QUERY_ROWS, SHARD_BYTES, TILE_ROWS = 1024, 64 << 20, 4096
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, matrix) of the vectors of each length."""
+    lengths = np.asarray(batch.column(1).value_lengths(), np.int64)
+    starts, flat, ids = np.cumsum(lengths) - lengths, np.asarray(batch.column(1).flatten(), float), batch.column(0).to_numpy()
+    for n in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == n)
+        yield n, ids[own], flat[starts[own][:, None] + np.arange(n)]
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the rows of a task, so many bytes at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    join = lambda: tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    """(ids, matrix) of the rows of a task that have one length; so many bytes are held at a time."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        if sum(m.nbytes for _, m in held) >= SHARD_BYTES:
-            yield join()
-            held = []
-        held.append((batch.column(0).to_numpy(), np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)))
-    if held:
-        yield join()
+        for n, ids, matrix in _by_length(batch):
+            held.setdefault(n, []).append((ids, matrix))
+        if sum(m.nbytes for parts in held.values() for _, m in parts) >= SHARD_BYTES:
+            yield from map(join, held.values())
+            held = {}
+    yield from map(join, held.values())
+
+
+def _best(lists: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """Of (query row, score, id) the k best of each query, ties by id."""
+    query, score, ids = lists
+    order = np.lexsort((ids, -score, query))
+    query, score, ids = query[order], score[order], ids[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], score[kept], ids[kept]
+
+
+def topk_of_shard(own: np.ndarray, shard: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query row, score, id) of the k best rows of a shard for each query, tile by tile: a tile gives what is not below its k-th score."""
+    found = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    for at in range(0, len(own), TILE_ROWS):
+        scores = shard[at : at + TILE_ROWS] @ queries.T
+        n = len(scores)
+        least = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(len(queries), -np.inf)
+        row, query = np.nonzero(scores >= least)
+        found = _best(tuple(np.concatenate(x) for x in zip(found, (query, scores[row, query], own[at + row]), strict=True)), k)
+    return found
 
 
 def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """RET-03 for any number of queries in one job: (query_id, <key>, score, rank). Vectors have one length.
+    """RET-03 for any number of queries in one job: (query_id, <key>, score, rank).
 
     Queries are written to the shared folder; every task streams them past its own vectors, block by block, so
-    neither side is collected or broadcast, and emits k rows for each query and shard of its vectors.
+    neither side is collected or broadcast, and emits k rows for each query and shard of its vectors. Vectors that are null or
+    hold null or non-finite components take no part; a vector is compared with those of its own length.
     """
-    plain = lambda df: df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull())
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    plain = lambda df: df.filter(F.col(vector).isNotNull() & finite).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).filter(F.col(key).isNotNull())
     stored = materialise(plain(queries), "queries")
     files = sorted(unquote(urlsplit(f).path) if urlsplit(f).scheme == "file" else f for f in stored.inputFiles())
 
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def blocks() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for name in files:
             store, path = (fs.LocalFileSystem(), name) if name.startswith("/") else fs.FileSystem.from_uri(name)
             with store.open_input_file(path) as file:
                 for batch in pq.ParquetFile(file).iter_batches(QUERY_ROWS):
-                    yield batch.column(0).to_numpy(), np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
+                    yield from _by_length(batch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, shard in _shards(batches):
-            for ids, matrix in blocks():
-                scores = shard @ matrix.T
-                order = np.lexsort((np.broadcast_to(own[:, None], scores.shape), -scores), axis=0)[:k]
-                columns = [np.repeat(ids[None], len(order), 0).ravel(), own[order].ravel(), np.take_along_axis(scores, order, 0).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", key, "score"])
+            for n, ids, matrix in blocks():
+                if n == shard.shape[1]:
+                    query, score, found = topk_of_shard(own, shard, matrix, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(found), pa.array(score)], ["query_id", key, "score"])
 
     lists = plain(vectors).mapInArrow(run, f"query_id long, `{key}` long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
@@ -141,40 +171,108 @@ def bm25_scores(docs: DataFrame, query_terms: Sequence[str], key: str = "doc_id"
     return scored.groupBy(key).agg(F.sum(idf * saturated).alias("score"))
 
 
-def bm25_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", terms: Terms = default_terms) -> None:
-    """SNK-04: the index as Parquet tables. Postings carry their document's length and lie in the order of terms, so that
-    a query reads the row groups of its terms only; document frequencies lie likewise; the statistics are one row."""
+def _segments(spark, folder: str) -> list[str]:
+    """The whole segments of an index, oldest first. A segment's statistics are written last and make it whole."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/segments/*/stats/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f"{folder}/segments/{s.getPath().getParent().getParent().getName()}" for s in found or [])
+
+
+def _new_segment(spark, folder: str) -> tuple[int, str]:
+    """(number, path) of the next segment. Attempts that fail leave a folder that no reader looks at."""
+    number = max((int(s.rpartition("/")[2].partition("-")[0]) for s in _segments(spark, folder)), default=-1) + 1
+    return number, f"{folder}/segments/{number:08d}-{uuid.uuid4().hex}"
+
+
+def _parts(spark, folder: str, name: str) -> DataFrame | None:
+    """A table of all segments that have it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{s}/{name}") for s in _segments(spark, folder)]
+    there = [p.toString() for p in paths if p.getFileSystem(conf).exists(p)]
+    return spark.read.parquet(*there) if there else None
+
+
+def bm25_append(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", terms: Terms = default_terms) -> None:
+    """SNK-04: add documents as a segment of their own; only their texts are split.
+
+    A segment has postings, which carry their document's length and lie in the order of terms, so that a query reads the row groups of its
+    terms only; document frequencies, likewise; documents with their lengths; and one row of statistics. Nothing is rewritten.
+    """
     spark = docs.sparkSession
-    tokens = docs.select(F.col(key), terms(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
-    found = tokens.select(key, "dl", F.explode("tokens").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    found.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{folder}/postings")
-    spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term").write.parquet(f"{folder}/terms")
-    tokens.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/stats")
+    number, segment = _new_segment(spark, folder)
+    tokens = docs.select(F.col(key), terms(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens").cast("long")).withColumn("segment", F.lit(number))
+    found = tokens.select(key, "dl", "segment", F.explode("tokens").alias("term")).groupBy("term", key, "dl", "segment").agg(F.count(F.lit(1)).alias("tf"))
+    found.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{segment}/postings")
+    spark.read.parquet(f"{segment}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term").write.parquet(f"{segment}/terms")
+    tokens.select(key, "dl", "segment").write.parquet(f"{segment}/docs")
+    spark.read.parquet(f"{segment}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).write.parquet(f"{segment}/stats")
+
+
+def bm25_delete(keys: DataFrame, folder: str, key: str = "doc_id") -> None:
+    """Take documents out of an index: a segment with their keys, which hold for the segments before it, and what they leave of the
+    statistics. Keys that aren't there do nothing; a document that is appended again later counts again."""
+    spark = keys.sparkSession
+    number, segment = _new_segment(spark, folder)
+    keys.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("until", F.lit(number)).write.parquet(f"{segment}/deleted")
+    gone = spark.read.parquet(f"{segment}/deleted").select(key)
+    docs = _parts(spark, folder, "docs")
+    if docs is not None:
+        left = _alive(spark, folder, docs, key).join(gone, key, "left_semi").agg((-F.count(F.lit(1))).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("total"))
+    else:
+        left = spark.range(1).select(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
+    left.write.parquet(f"{segment}/stats")
+
+
+def _alive(spark, folder: str, rows: DataFrame, key: str) -> DataFrame:
+    """Rows of documents that no later segment deletes."""
+    deleted = _parts(spark, folder, "deleted")
+    if deleted is None:
+        return rows
+    until = deleted.groupBy(key).agg(F.max("until").alias("until"))
+    return rows.join(until, key, "left").filter(F.col("until").isNull() | (F.col("segment") >= F.col("until"))).drop("until")
+
+
+def bm25_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", terms: Terms = default_terms) -> None:
+    """SNK-04: a new index of all documents, as one segment; ``bm25_append`` and ``bm25_delete`` change it."""
+    bm25_append(docs, folder, key, text, terms)
 
 
 def bm25_from_index(spark, folder: str, query_terms: Sequence[str], key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """SRC-10: the same scores from the stored tables; the term filter reaches the scans."""
+    """SRC-10: the same scores from the stored segments; the term filter reaches the scans. Statistics are those of all segments together."""
     wanted = sorted(set(query_terms))
-    hits = spark.read.parquet(f"{folder}/postings").filter(F.col("term").isin(wanted))
+    hits = _alive(spark, folder, _parts(spark, folder, "postings").filter(F.col("term").isin(wanted)), key)
+    stats = _parts(spark, folder, "stats").agg(F.sum("n").cast("double").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
+    if _parts(spark, folder, "deleted") is None:
+        df = _parts(spark, folder, "terms").filter(F.col("term").isin(wanted)).groupBy("term").agg(F.sum("df").alias("df"))
+    else:
+        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # a row for each query term, and one row
-    df, stats = spark.read.parquet(f"{folder}/terms").filter(F.col("term").isin(wanted)), spark.read.parquet(f"{folder}/stats")
     scored = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return scored.groupBy(key).agg(F.sum(idf * (F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))).alias("score"))
 
 
-_INDEXES: dict[tuple[str, str, str, str], str] = {}
+#: By application, key, text and schema: the files of each table indexed, as they were, and the index's folder.
+_INDEXES: dict[tuple[str, str, str, str], list[tuple[dict[str, str], str]]] = {}
 
 
 def stored_index(docs: DataFrame, scan: DataFrame, key: str = "doc_id", text: str = "text") -> str:
-    """The folder of the index of a table, built by the application's first question and again when the table's files change."""
+    """The folder of the index of a table, built by the application's first question. Where the table has got new files since, and those it
+    had are as they were, the new ones are appended; where files have changed or gone, or the index has been cleaned away, it is built again."""
     spark = docs.sparkSession
-    name = spark.sparkContext.applicationId, fingerprint(scan), key, text
-    if name not in _INDEXES:
-        folder = work_dir(spark, "bm25")
-        bm25_index(docs, folder, key, text)
-        _INDEXES[name] = folder
-    return _INDEXES[name]
+    files = stamps(scan)
+    known = _INDEXES.setdefault((spark.sparkContext.applicationId, key, text, scan.schema.simpleString()), [])
+    known[:] = [(old, folder) for old, folder in known if _segments(spark, folder)]
+    for i, (old, folder) in enumerate(known):
+        if old.items() <= files.items() and old:
+            if new := sorted(files.keys() - old.keys()):
+                bm25_append(spark.read.schema(scan.schema).parquet(*new), folder, key, text)
+                known[i] = files, folder
+            return folder
+    folder = work_dir(spark, "bm25")
+    bm25_index(docs, folder, key, text)
+    known.append((files, folder))
+    return folder
 
 
 def ranked(scored: DataFrame, k: int, key: str, ranker: int) -> DataFrame:

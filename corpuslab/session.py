@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 import uuid
@@ -56,16 +55,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fingerprint(scan: DataFrame) -> str:
-    """What the files of a table are now: names, lengths, times of change."""
+def stamps(scan: DataFrame) -> dict[str, str]:
+    """The files of a table as they are now: length and time of change of each."""
     spark = scan.sparkSession
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    digest = hashlib.sha256()
+    found = {}
     for name in sorted(scan.inputFiles()):
         path = hadoop.Path(name)
         status = path.getFileSystem(conf).getFileStatus(path)
-        digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
-    return digest.hexdigest()
+        found[name] = f"{status.getLen()} {status.getModificationTime()}"
+    return found
 
 
 def spread(scan: DataFrame) -> DataFrame:
