@@ -26,11 +26,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,59 +42,120 @@ from corpuslab.session import materialise, work_dir
 WIDTH = 2048
 
 
+#: White space of Unicode and Python, as RE2 takes a class.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 class UnitTokenizer:
     """A byte-level tokenizer whose pre-tokens never reach across a blank between two other characters.
 
-    Texts are cut before such blanks and each unit is encoded by the library once; numbers of units lie in a bounded
-    dictionary and their ids in one flat array, from which numpy gathers those of a batch. Texts that hold an added
-    token go to the library whole, as do all where the file has a normaliser or another way of cutting words.
+    Texts are cut before such blanks, in Arrow, and the distinct units of a batch looked up in a bounded dictionary of
+    their numbers; their ids lie in one flat array, from which numpy gathers those of the batch. New units go to the library as lines of
+    many, whose ids are cut where a token begins with a blank; units with other white space go one by one. Texts that hold an added token go whole,
+    as do all where the file has a normaliser or another way of cutting words.
+
+    A unit that begins with a blank is known by what follows the blank, any other by itself and a blank behind it.
     """
 
-    _ODD = re.compile(r"\s[ ]|[ ]\s|\A[ ]|[ ]\Z").search
+    _ODD = rf"[{_WHITE}] | [{_WHITE}]|\A | \z"
     _CUT = re.compile(r"(?<=\S)(?=[ ]\S)").split
+    _SPACE = re.compile(r"\s").search
+    _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)").fullmatch
+    _LINE = 1024
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        added = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
-        self._added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self._added = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
         words = self._tokenizer.pre_tokenizer
         self._cuts = self._tokenizer.normalizer is None and isinstance(words, pre_tokenizers.ByteLevel) and not words.add_prefix_space
-        self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self._tokenizer.get_vocab_size()
+        self._begins = np.array([(self._tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # how byte-level files write a blank
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self._clear()
 
     def _clear(self) -> None:
         self._numbers: dict[str, int] = {}
         self._starts, self._lengths, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _units(self, text: str) -> list[str]:
-        if not self._cuts or self._added(text):
-            return [text]
-        if self._ODD(text):
-            return self._CUT(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[str]) -> None:
+        """Append new units; of plain letters with marks behind them the ids are those of the letters and then of the marks, as words are cut there."""
+        parts = {k: m.groups() for k in keys if (m := self._PARTS(k))}
+        needed = {w for w, _ in parts.values()} | {marks + " " for _, marks in parts.values()} | {k for k in keys if k not in parts}
+        self._encode(list(needed.difference(self._numbers)))
+        if parts:
+            both = np.array([(self._numbers[w], self._numbers[marks + " "]) for w, marks in parts.values()], np.int64)
+            lengths = self._lengths[both]
+            self._append(list(parts), lengths.sum(axis=1), gather(self._starts[both].ravel(), lengths.ravel(), self._flat))
+
+    def _encode(self, keys: list[str]) -> None:
+        single = [k for k in keys if self._SPACE(k)]
+        plain = [k for k in keys if not self._SPACE(k)]
+        lines, found = [plain[i : i + self._LINE] for i in range(0, len(plain), self._LINE)], []
+        for line, ids in zip(lines, self._ids(["".join([" " + k for k in line]) for line in lines]), strict=True):
+            begins = np.flatnonzero(self._begins[ids])
+            if len(begins) == len(line) and begins[0] == 0:
+                found.append((line, np.diff(begins, append=len(ids)), ids))
+            else:
+                single += line
+        if single:
+            each = self._ids([k[:-1] if k.endswith(" ") else " " + k for k in single])
+            found.append((single, np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)))
+        if found:
+            self._append([k for x in found for k in x[0]], *(np.concatenate(x) for x in list(zip(*found, strict=True))[1:]))
+
+    def _append(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(lengths) - lengths])
+        self._lengths, self._flat = np.concatenate([self._lengths, lengths]), np.concatenate([self._flat, ids])
+        self._numbers.update(zip(keys, range(len(self._numbers), len(self._numbers) + len(keys)), strict=True))
+
+    def _number(self, keys: list[str]) -> np.ndarray:
+        numbers = list(map(self._numbers.get, keys))
+        if None in numbers:
+            self._learn(list({k for k, n in zip(keys, numbers, strict=True) if n is None}))
+            numbers = list(map(self._numbers.get, keys))
+        return np.array(numbers, np.int64)
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all units, number of units of each text)."""
+        if not self._cuts:
+            return self._number([t + " " for t in texts]), np.ones(len(texts), np.int64)
+        column = pa.array(texts, pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        for token in self._added:
+            whole |= np.asarray(pa.compute.match_substring(column, token))
+        odd = np.asarray(pa.compute.match_substring_regex(column, self._ODD)) & ~whole
+        usual = np.flatnonzero(~whole & ~odd)
+        lists = pa.compute.split_pattern(column.take(pa.array(usual)), " ")
+        units = pa.compute.dictionary_encode(lists.flatten())
+        numbers, counts = self._number(units.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(units.indices)], np.zeros(len(texts), np.int64)
+        counts[usual] = np.asarray(lists.value_lengths(), np.int64)
+        firsts = np.cumsum(counts[usual]) - counts[usual]
+        numbers[firsts] = self._number([texts[i].partition(" ")[0] + " " for i in usual])
+        if len(usual) == len(texts):
+            return numbers, counts
+        own = np.flatnonzero(whole | odd)
+        cut = [[texts[i] + " "] if whole[i] else [u[1:] if self._begun(u) else u + " " for u in self._CUT(texts[i])] for i in own]
+        counts[own] = list(map(len, cut))
+        rest = self._number([u for x in cut for u in x])
+        starts = np.zeros(len(texts), np.int64)
+        starts[usual], starts[own] = firsts, len(numbers) + np.cumsum(counts[own]) - counts[own]
+        return gather(starts, counts, np.concatenate([numbers, rest])), counts
+
+    def _begun(self, unit: str) -> bool:
+        """A blank, and then something without blanks at its end, which would read as the mark of the other kind."""
+        return unit.startswith(" ") and not unit.endswith(" ")
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text): each text's ids and the end id behind them."""
         if len(self._numbers) > CACHE:
             self._clear()
-        cut = list(map(self._units, texts))
-        new = list({u for x in cut for u in x}.difference(self._numbers))
-        if new:
-            ids = self._ids(new)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(lengths) - lengths])
-            self._lengths = np.concatenate([self._lengths, lengths])
-            self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), self.dtype, int(lengths.sum()))])
-            self._numbers.update(zip(new, range(len(self._numbers), len(self._numbers) + len(new)), strict=True))
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        numbers = np.fromiter(map(self._numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        numbers, counts = self._cut(texts)
         lengths = self._lengths[numbers]
         stops = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
         ids = np.insert(gather(self._starts[numbers], lengths, self._flat), stops, self.dtype.type(end_id))
@@ -116,7 +177,7 @@ def encode(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        for batch in pieces(batches):
+        for batch in pieces(batches, rows=2048, weight=4 << 20):
             ids, counts = tokenizer.encode([(x or b"").decode("utf-8", "replace") for x in utf8(batch.column(1))], end_id)
             packed = binary(ids, counts)
             digest = pa.array([zlib.crc32(x.as_buffer()) for x in packed], pa.int64())
