@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their words (operator 12).
 
 1. Each text becomes its distinct terms with their numbers, by sorting its words and cutting the sorted array
-   where the word changes; a row a distinct term is added up by (lang, source, term) in the tasks and then overall.
+   where the word changes (splitting leaves empty strings at a text's ends, which go); a row a distinct term is added up by (lang, source, term) in the tasks and then overall.
 2. Each term kept becomes a wide vector: an array with its count in every source of its language, in the order
    of the sources. Totals per source come from the arrays; shares are integers, p = 1 + floor(10**9 * (count + 5) / (N + 5 * V)).
 3. Pair contributions are made from a term's array by higher-order functions, a source at a time, so that no row holds
@@ -25,22 +25,23 @@ from pyspark.sql import functions as F
 
 from corpuslab.session import materialise
 
-#: Runs of ASCII letters and of everything beyond ASCII.
+#: Terms are runs of ASCII letters and of everything beyond ASCII; between them stand the other ASCII characters.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE, SMOOTHING = 1_000_000_000, 5
 
 
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, nothing else. Where all is ASCII, Spark's faster lower() is the same."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+    return F.when(F.octet_length(text) != F.length(text), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents that hold the term."""
-    words = documents.select("lang", "source", F.sort_array(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0))).alias("words"))
+    words = documents.select("lang", "source", F.sort_array(F.split(lower_ascii(F.col("text")), BETWEEN)).alias("words"))
     starts = words.withColumn("starts", F.array_compact(F.transform("words", lambda w, i: F.when((i == 0) | (w != F.get("words", i - 1)), i))))
     runs = F.transform("starts", lambda at, k: F.struct(F.get("words", at).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - at).alias("n")))
-    each = starts.select("lang", "source", F.explode(runs).alias("run")).select("lang", "source", "run.term", "run.n")
+    each = starts.select("lang", "source", F.explode(runs).alias("run")).select("lang", "source", "run.term", "run.n").filter("term <> ''")
     return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
