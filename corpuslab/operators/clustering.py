@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import vectors as V
+from corpuslab.operators.retrieval import TILE_ROWS, block_reader, shards
 from corpuslab.session import materialise
 
 
@@ -105,10 +107,10 @@ def density(rows: DataFrame, eps: float = 0.3, least: int = 2, key: str = "vec_i
     return out.select(*(rows[c] for c in rows.columns), F.coalesce("component", "border", F.lit(-1)).alias("cluster_id"))
 
 
-def silhouette(assigned: DataFrame, vector: str = "embedding", cluster: str = "cluster_id") -> float:
-    """AGG-32: by squared Euclidean distance."""
+def silhouette(assigned: DataFrame, vector: str = "embedding", cluster: str = "cluster_id", distance: str = "squaredEuclidean") -> float:
+    """AGG-32: by squared Euclidean distance of unit vectors, or by cosine distance; either follows from sums over clusters, without pairs."""
     points = _points(assigned, vector)
-    return ClusteringEvaluator(predictionCol=cluster, featuresCol="features").evaluate(points)
+    return ClusteringEvaluator(predictionCol=cluster, featuresCol="features", distanceMeasure=distance).evaluate(points)
 
 
 Labeller = Callable[[int, list[str]], str]
@@ -133,9 +135,53 @@ def chapter_vectors(vectors: DataFrame, chapter: str, vector: str = "embedding")
     return V.mean_vectors(vectors, [chapter], vector, "mean").select(chapter, V.unit(F.col("mean")).alias("embedding"))
 
 
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def best_pairs(found: Pairs, k: int) -> Pairs:
+    """Of (similarity, a, b) the k best, ties by a and b, which may be of any type that has an order."""
+    score, a, b = found
+    rank = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    order = np.lexsort((rank[len(a) :], rank[: len(a)], -score))[:k]
+    return score[order], a[order], b[order]
+
+
+def pairs_of_tile(own: np.ndarray, shard: np.ndarray, keys: np.ndarray, block: np.ndarray, k: int, least: float) -> Pairs:
+    """The pairs a < b, a of the shard and b of the block, that may be among the k best: not below ``least`` nor the tile's k-th."""
+    rank = np.unique(np.concatenate([own, keys]), return_inverse=True)[1]
+    score = np.where(rank[: len(own), None] < rank[None, len(own) :], np.round(shard @ block.T, 12), -np.inf)
+    if score.size > k:
+        least = max(least, float(np.partition(score, score.size - k, axis=None)[score.size - k]))
+    i, j = np.nonzero((score >= least) & (score > -np.inf))
+    return best_pairs((score[i, j], own[i], keys[j]), k) if len(i) else (np.zeros(0), own[:0], keys[:0])
+
+
 def similar_chapters(chapters: DataFrame, key: str, k: int = 20, vector: str = "embedding") -> DataFrame:
-    """CLU-08, JN-12, TOP-08: the most similar pairs. Every pair is a result row's candidate, so the input is chapter-level."""
-    chapter_level(chapters)
-    a = chapters.select(F.col(key).alias("a"), F.col(vector).alias("va"))
-    b = chapters.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("similarity")).orderBy(F.desc("similarity"), "a", "b").limit(k)
+    """CLU-08, JN-12, TOP-08: (a, b, similarity) of the k most similar pairs, a < b, whatever the number of rows.
+
+    Unit vectors are written to the shared folder; each task streams them past its own, tile by tile, with the k-th best similarity so far as the
+    bound, and emits k pairs. So all pairs are compared by matrix products but none is a row unless it may be a result. Vectors that are
+    null, of length zero or with null or non-finite components, and rows without a key, have no pairs; vectors of different length aren't compared;
+    repeated keys have no pair with one another; similarities are rounded to 12 digits, so that copies tie, and ties go to the smaller keys.
+    """
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    usable = chapters.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite).filter(V.norm(F.col(vector)) > 0)
+    stored = materialise(usable.select(F.col(key).alias("key"), V.unit(F.col(vector)).alias("vector")), "chapters")
+    kind, blocks = stored.schema["key"].dataType.simpleString(), block_reader(stored)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, shard in shards(batches):
+            best = (np.zeros(0), own[:0], own[:0])
+            for n, keys, block in blocks():
+                for at in range(0, len(own) if n == shard.shape[1] else 0, TILE_ROWS):
+                    least = best[0][-1] if len(best[0]) == k else -np.inf
+                    more = pairs_of_tile(own[at : at + TILE_ROWS], shard[at : at + TILE_ROWS], keys, block, k, least)
+                    best = best_pairs(tuple(np.concatenate(x) for x in zip(best, more, strict=True)), k)
+            of_kind = batches_type(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(best[1], of_kind), pa.array(best[2], of_kind), pa.array(best[0])], ["a", "b", "similarity"])
+
+    def batches_type(name: str) -> pa.DataType | None:
+        return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(name)
+
+    lists = stored.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return lists.orderBy(F.desc("similarity"), "a", "b").limit(k)

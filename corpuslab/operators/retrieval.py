@@ -61,13 +61,13 @@ QUERY_ROWS, SHARD_BYTES, TILE_ROWS = 1024, 64 << 20, 4096
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, ids, matrix) of the vectors of each length."""
     lengths = np.asarray(batch.column(1).value_lengths(), np.int64)
-    starts, flat, ids = np.cumsum(lengths) - lengths, np.asarray(batch.column(1).flatten(), float), batch.column(0).to_numpy()
+    starts, flat, ids = np.cumsum(lengths) - lengths, np.asarray(batch.column(1).flatten(), float), batch.column(0).to_numpy(zero_copy_only=False)
     for n in np.unique(lengths).tolist():
         own = np.flatnonzero(lengths == n)
         yield n, ids[own], flat[starts[own][:, None] + np.arange(n)]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix) of the rows of a task that have one length; so many bytes are held at a time."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -101,6 +101,20 @@ def topk_of_shard(own: np.ndarray, shard: np.ndarray, queries: np.ndarray, k: in
     return found
 
 
+def block_reader(stored: DataFrame) -> Callable[[], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """For tasks: (length, keys, matrix) of a written table of keys and vectors (array<double>), a block at a time."""
+    files = sorted(unquote(urlsplit(f).path) if urlsplit(f).scheme == "file" else f for f in stored.inputFiles())
+
+    def blocks() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for name in files:
+            store, path = (fs.LocalFileSystem(), name) if name.startswith("/") else fs.FileSystem.from_uri(name)
+            with store.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(QUERY_ROWS):
+                    yield from _by_length(batch)
+
+    return blocks
+
+
 def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """RET-03 for any number of queries in one job: (query_id, <key>, score, rank).
 
@@ -110,18 +124,10 @@ def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str =
     """
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     plain = lambda df: df.filter(F.col(vector).isNotNull() & finite).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).filter(F.col(key).isNotNull())
-    stored = materialise(plain(queries), "queries")
-    files = sorted(unquote(urlsplit(f).path) if urlsplit(f).scheme == "file" else f for f in stored.inputFiles())
-
-    def blocks() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for name in files:
-            store, path = (fs.LocalFileSystem(), name) if name.startswith("/") else fs.FileSystem.from_uri(name)
-            with store.open_input_file(path) as file:
-                for batch in pq.ParquetFile(file).iter_batches(QUERY_ROWS):
-                    yield from _by_length(batch)
+    blocks = block_reader(materialise(plain(queries), "queries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, shard in _shards(batches):
+        for own, shard in shards(batches):
             for n, ids, matrix in blocks():
                 if n == shard.shape[1]:
                     query, score, found = topk_of_shard(own, shard, matrix, k)

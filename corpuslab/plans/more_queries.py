@@ -337,6 +337,17 @@ def silhouette_of_labels(spark, sf_dir):
     return spark.createDataFrame([(round(clustering.silhouette(rows), 6),)], "silhouette double")
 
 
+@query("""
+WITH u AS (SELECT vec_id, label, [x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) for x in CAST(embedding AS DOUBLE[])] AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.label, b.label AS other, sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE 1 - list_dot_product(a.v, b.v) END) AS far, count(*) AS n FROM u a JOIN u b ON true GROUP BY ALL),
+s AS (SELECT vec_id, max(n) FILTER (other = label) AS own_n, max(far / (n - 1)) FILTER (other = label AND n > 1) AS own, min(far / n) FILTER (other <> label) AS nearest FROM d GROUP BY vec_id)
+SELECT round(avg(CASE WHEN own_n = 1 THEN 0 ELSE (nearest - own) / greatest(own, nearest) END), 6) AS silhouette FROM s""")
+def cosine_silhouette_of_labels(spark, sf_dir):
+    """AGG-32 by cosine distance."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("cluster_id", F.col("label").cast("int"))
+    return spark.createDataFrame([(round(clustering.silhouette(rows, distance="cosine"), 6),)], "silhouette double")
+
+
 @query("""
 WITH RECURSIVE m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos),
 v AS (SELECT CAST(label AS BIGINT) AS vec_id, list(x ORDER BY pos) AS v FROM m GROUP BY label),

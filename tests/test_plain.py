@@ -261,7 +261,7 @@ def test_agglomerative(spark, k):
 
 def test_all_pairs_are_for_chapters(spark):
     rows = spark.range(clustering.MOST_CHAPTERS + 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))
-    for compare in (clustering.agglomerative, clustering.density, lambda df: clustering.similar_chapters(df, "vec_id")):
+    for compare in (clustering.agglomerative, clustering.density):
         with pytest.raises(ValueError, match="pairs"):
             compare(rows)
 
