@@ -177,7 +177,7 @@ def encode(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        for batch in pieces(batches, rows=2048, weight=4 << 20):
+        for batch in pieces(batches, rows=1024, weight=2 << 20):
             ids, counts = tokenizer.encode([(x or b"").decode("utf-8", "replace") for x in utf8(batch.column(1))], end_id)
             packed = binary(ids, counts)
             digest = pa.array([zlib.crc32(x.as_buffer()) for x in packed], pa.int64())
