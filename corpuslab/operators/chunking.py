@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions import vectors as V
+from corpuslab.session import materialise
+
 CHUNK_SIZE, OVERLAP, SEPARATORS = 1000, 200, ("\n\n", "\n", " ", "")
 #: Similarity from which neighbours merge at the first level, fall a level, and the least; levels; chunks to go on; characters of a merged chunk.
 FIRST_THRESHOLD, THRESHOLD_STEP, LEAST_THRESHOLD = 0.70, 0.10, 0.20
@@ -105,77 +108,182 @@ def chunk_texts(texts: DataFrame, keys: Sequence[str], text: str = "text", size:
     return rows.mapInPandas(run, schema)
 
 
-@dataclass
-class Node:
-    text: str
-    vector: np.ndarray
-    depth: int = 0
-    start: int = 0
-    end: int = 0
-    children: list[Node] = field(default_factory=list)
-
-
 def threshold(level: int, first: float = FIRST_THRESHOLD) -> float:
     return max(LEAST_THRESHOLD, first - THRESHOLD_STEP * (level - 1))
 
 
-def merge_runs(nodes: list[Node], least: float, embedder: Embedder, max_chars: int = MAX_CHARS) -> list[Node]:
-    """CHK-03, CHK-04, WIN-03: one pass from left to right over runs of similar neighbours.
-
-    A run's first pair is taken whatever its length; further chunks only while the texts stay within the cap.
-    Each merge embeds the joined text anew.
-    """
-    similar = [_cosine(a.vector, b.vector) >= least for a, b in zip(nodes, nodes[1:], strict=False)]
-    out, i = [], 0
-    while i < len(nodes):
-        last = i
-        if i < len(similar) and similar[i]:
-            last = i + 1
-            while last < len(similar) and similar[last] and sum(len(n.text) for n in nodes[i : last + 2]) <= max_chars:
-                last += 1
-        node = nodes[i]
-        for other in nodes[i + 1 : last + 1]:
-            text = f"{node.text}\n\n{other.text}"
-            node = Node(text, embedder.embed_texts([text])[0], max(node.depth, other.depth) + 1, min(node.start, other.start), max(node.end, other.end), [node, other])
-        out.append(node)
-        i = last + 1
-    return out
+HIERARCHY = "level int, chunk_index int, merge_depth int, text string, start_offset int, end_offset int, word_count int"
+#: A level's chunks: ``own`` names the chapter (also where its key is null), ``at`` counts its chunks from 0 without gaps.
+LEVEL = "own string, key {kind}, at bigint, merge_depth int, text string, start_offset int, end_offset int, word_count int, vector array<float>"
 
 
-def _cosine(a: np.ndarray, b: np.ndarray) -> float:
-    n = float(np.linalg.norm(a) * np.linalg.norm(b))
-    return float(a @ b) / n if n else 0.0
+def _tasks(rows: DataFrame) -> int:
+    """As many tasks as shuffles have: the work in Python costs far more than its bytes suggest, by which adaptive execution would join tasks."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hierarchy(nodes: list[Node], embedder: Embedder, levels: int = LEVELS, min_chunks: int = MIN_CHUNKS, first: float = FIRST_THRESHOLD, max_chars: int = MAX_CHARS) -> list[list[Node]]:
-    """CHK-05: a snapshot for each level up to ``levels``, merged chunks beside unmerged ones, until few are left.
+def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str = "at") -> DataFrame:
+    """Rows of each group counted from 0 in their order, whatever a group's size.
 
-    A level where nothing merges counts: the next one asks for less.
+    Rows are sorted by ranges, so a group may lie in several tasks; it has a count for each of those, and only these counts are a window.
     """
-    out = [nodes]
-    for level in range(1, levels + 1):
-        if len(out[-1]) <= min_chunks:
-            break
-        out.append(merge_runs(out[-1], threshold(level, first), embedder, max_chars))
-    return out
+    sorted_rows = rows.repartitionByRange(_tasks(rows), group, *order).sortWithinPartitions(group, *order).withColumn("place", F.monotonically_increasing_id())
+    stored = materialise(sorted_rows, "numbered").withColumn("part", F.shiftright("place", 33))
+    parts = stored.groupBy(group, "part").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(group, "part", (before - F.col("first")).alias("shift"))
+    return stored.join(starts, [group, "part"]).withColumn(name, F.col("place") + F.col("shift")).drop("place", "part", "shift")
 
 
-HIERARCHY = "level int, chunk_index int, merge_depth int, text string, start_offset int, end_offset int, word_count int"
+def _embedded(rows: DataFrame, schema: str, embedder: Embedder, batch: int = 256) -> DataFrame:
+    """Vectors and numbers of words of the chunks that have none yet, in Arrow batches."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch].copy()
+                vectors, words = part["vector"].tolist(), part["word_count"].tolist()
+                new = [i for i, v in enumerate(vectors) if v is None]
+                texts = [part["text"].iat[i] for i in new]
+                for i, text, vector in zip(new, texts, embedder.embed_texts(texts) if new else (), strict=True):
+                    vectors[i], words[i] = np.asarray(vector, np.float32), len(text.split())
+                yield part.assign(vector=vectors, word_count=words)
+
+    return rows.mapInPandas(run, schema)
 
-def build_hierarchy(chunks: DataFrame, key: str, embedder: Embedder | None = None, **options) -> DataFrame:
-    """CHK-05..07: chunks (key, chunk_index, text, start_offset, end_offset) of each chapter to all levels. A chapter is a group."""
-    model = embedder or HashingEmbedder()
-    kind = chunks.schema[key].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("chunk_index")
-        vectors = model.embed_texts(rows["text"].tolist())
-        nodes = [Node(t, v, 0, s, e) for t, v, s, e in zip(rows["text"], vectors, rows["start_offset"], rows["end_offset"], strict=True)]
-        found = [(frame[key].iloc[0], level, i, n.depth, n.text, n.start, n.end, len(n.text.split())) for level, own in enumerate(hierarchy(nodes, model, **options)) for i, n in enumerate(own)]
-        return pd.DataFrame(found, columns=[key, "level", "chunk_index", "merge_depth", "text", "start_offset", "end_offset", "word_count"])
+def next_starts(lengths: np.ndarray, similar: np.ndarray, max_chars: int) -> np.ndarray:
+    """CHK-03, WIN-03: for each chunk, where the next run begins if one begins here.
 
-    return chunks.select(key, "chunk_index", "text", "start_offset", "end_offset").groupBy(key).applyInPandas(run, f"`{key}` {kind}, {HIERARCHY}")
+    A run goes on while neighbours are similar. Its first pair is taken whatever its length, further chunks only while the sum of lengths stays
+    within the cap.
+    """
+    n = len(lengths)
+    at = np.arange(n)
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    fits = np.searchsorted(total, total[:-1] + max_chars, side="right") - 1
+    ends = np.minimum.accumulate(np.where(similar, n, at + 1)[::-1])[::-1]
+    return np.where(similar, np.minimum(np.maximum(fits, at + 2), ends), at + 1)
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by keys, cut anew so that no group lies in two; what a batch ends with waits for the next."""
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        last = (rows[list(keys)] == rows[list(keys)].iloc[-1]).all(axis=1).to_numpy() if len(rows) else np.zeros(0, bool)
+        held = rows[last]
+        if not last.all():
+            yield rows[~last]
+    if held is not None and len(held):
+        yield held
+
+
+def _segments(frames: Iterator[pd.DataFrame], span: int, max_chars: int) -> Iterator[tuple[str, int, int, np.ndarray, pd.DataFrame]]:
+    """(chapter, segment, its number of chunks, where the next run begins counted from its first place, rows) of each segment of a task."""
+    for rows in whole_groups(frames, ["own", "seg"]):
+        owner, seg, at = rows["own"].to_numpy(), rows["seg"].to_numpy(), rows["at"].to_numpy()
+        ends = np.append(np.flatnonzero((owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1])) + 1, len(rows))
+        similar = rows["similar"].to_numpy(bool).copy()
+        similar[ends - 1] = False
+        following = next_starts(rows["length"].to_numpy(np.int64), similar, max_chars)
+        within = at < (seg + 1) * span
+        for start, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            yield owner[start], int(seg[start]), int(within[start:end].sum()), following[start:end] - start, rows.iloc[start:end]
+
+
+def runs_of_level(level: DataFrame, least: float, max_chars: int) -> DataFrame:
+    """CHK-03, CHK-04: (own, at, number): the run that each chunk of a level belongs to, numbered from 0 in each chapter.
+
+    Runs depend on where the one before them ends, so a chapter is a sequence. It is cut into segments of as many chunks as a run can have, at
+    most; a segment is a group of numbers (no texts), with the segment after it to look ahead. As a first step each segment tells, for each place
+    at which a run may begin in it, the place in the next segment at which one then begins. Where neighbours differ anywhere in a segment, that
+    is one place. The others are composed in rounds that double their reach. Then all segments give their runs at once.
+    """
+    span = max(max_chars, 2)
+    following = level.select("own", (F.col("at") - 1).alias("at"), F.col("vector").alias("next"), (F.length("text") > 0).alias("filled"))
+    similar = F.coalesce((F.length("text") > 0) & F.col("filled") & (V.cosine(F.col("vector"), F.col("next")) >= least), F.lit(False))
+    numbers = level.join(following, ["own", "at"], "left").select("own", "at", F.length("text").alias("length"), similar.alias("similar"))
+    seg = F.floor(F.col("at") / span)
+    dealt = materialise(numbers.withColumn("seg", F.explode(F.array(seg, seg - 1))).filter("seg >= 0"), "segments")
+    # A look-ahead has no segment of its own if the chapter ends before it, so a group always has its own chunks.
+    groups = lambda rows: rows.repartition(_tasks(rows), "own", "seg").sortWithinPartitions("own", "seg", "at")
+
+    def exits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for owner, seg, own, following, _ in _segments(frames, span, max_chars):
+            out, following = [0] * own, following.tolist()
+            for i in range(own - 1, -1, -1):
+                out[i] = following[i] - span if following[i] >= own else out[following[i]]
+            if seg == 0 or len(set(out)) == 1:
+                out = out[:1]
+            yield pd.DataFrame({"own": [owner], "seg": [seg], "origin": [seg], "exits": [out]})
+
+    long = dealt.filter("seg > 0").select("own").distinct()
+    last = dealt.groupBy("own").agg(F.max("seg").alias("last"))
+    inner = dealt.join(long, "own", "left_semi").join(last, "own").filter("seg < last").drop("last")
+    maps = materialise(groups(inner).mapInPandas(exits, "own string, seg bigint, origin bigint, exits array<int>"), "exits")
+    while not maps.filter(F.size("exits") > 1).isEmpty():
+        before = maps.select(F.col("own").alias("b_own"), F.col("seg").alias("b_seg"), F.col("origin").alias("b_origin"), F.col("exits").alias("b_exits"))
+        joined = maps.join(before, (F.col("own") == F.col("b_own")) & (F.col("b_seg") == F.col("origin") - 1) & (F.size("exits") > 1), "left")
+        through = F.when(F.col("b_exits").isNull(), F.col("exits")).otherwise(F.transform("b_exits", lambda x: F.get("exits", x)))
+        maps = materialise(joined.select("own", "seg", F.coalesce("b_origin", "origin").alias("origin"), through.alias("exits")), "exits")
+    entries = maps.select("own", (F.col("seg") + 1).alias("seg"), F.get("exits", F.lit(0)).alias("entry"))
+
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, found = ["own", "seg", "place", "start", "last"], []
+        for owner, seg, own, following, rows in _segments(frames, span, max_chars):
+            at, following, first, place = int(rows["entry"].iat[0]), following.tolist(), seg * span, 0
+            while at < own:
+                found.append((owner, seg, place, first + at, first + following[at] - 1))
+                at, place = following[at], place + 1
+            if len(found) >= 10_000:
+                yield pd.DataFrame(found, columns=columns)
+                found = []
+        yield pd.DataFrame(found, columns=columns)
+
+    begun = dealt.join(entries, ["own", "seg"], "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
+    found = materialise(groups(begun).mapInPandas(runs, "own string, seg bigint, place bigint, start bigint, last bigint"), "runs")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("own").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = found.groupBy("own", "seg").agg(F.count(F.lit(1)).alias("n")).select("own", "seg", before.alias("before"))
+    return found.join(sizes, ["own", "seg"]).select("own", (F.col("before") + F.col("place")).alias("number"), F.explode(F.sequence("start", "last")).alias("at"))
+
+
+def merged_level(level: DataFrame, least: float, schema: str, embedder: Embedder, max_chars: int) -> DataFrame:
+    """The next level: each run joined to one chunk, embedded anew; chunks that are a run alone stay as they are."""
+    members = level.join(runs_of_level(level, least, max_chars), ["own", "at"])
+    runs = members.repartition(_tasks(members), "own", "number").groupBy("own", "number")
+    parts = F.array_sort(F.collect_list(F.struct("at", "merge_depth", "text")))
+    lone = lambda c: F.when(F.count(F.lit(1)) == 1, F.first(c))
+    joined = runs.agg(parts.alias("parts"), F.first("key").alias("key"), F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"), lone("word_count").alias("word_count"), lone("vector").alias("vector"))
+    rest = F.slice("parts", F.lit(2), F.size("parts"))
+    depth = F.aggregate(rest, F.get("parts", F.lit(0))["merge_depth"], lambda d, p: F.greatest(d, p["merge_depth"]) + 1)
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
+    rows = joined.select("own", "key", F.col("number").alias("at"), depth.alias("merge_depth"), text.alias("text"), "start_offset", "end_offset", "word_count", "vector")
+    return materialise(_embedded(rows, schema, embedder), "level")
+
+
+def build_hierarchy(chunks: DataFrame, key: str, embedder: Embedder | None = None, levels: int = LEVELS, min_chunks: int = MIN_CHUNKS, first: float = FIRST_THRESHOLD, max_chars: int = MAX_CHARS) -> DataFrame:
+    """CHK-05..07: chunks (key, chunk_index, text, start_offset, end_offset) of each chapter to all levels.
+
+    A snapshot for each level up to ``levels``, merged chunks beside unmerged ones, until a chapter has ``min_chunks`` or fewer. A level where
+    nothing merges counts: the next one asks for less. A chapter of any length is dealt over tasks; a row is one chunk, so it has some
+    ``max_chars`` characters at most, or two of the level before it. Chunks are numbered from 0 in each chapter by chunk_index, then
+    start_offset, end_offset and text. A null text counts as an empty one; empty texts are like no other, so they don't merge. Rows without a key
+    are a chapter of their own. An empty table gives an empty one.
+    """
+    model, kind = embedder or HashingEmbedder(), chunks.schema[key].dataType.simpleString()
+    schema = LEVEL.format(kind=kind)
+    rows = chunks.select(F.to_json(F.struct(F.col(key).alias("key"))).alias("own"), F.col(key).alias("key"), "chunk_index", F.coalesce("text", F.lit("")).alias("text"), F.col("start_offset").cast("int").alias("start_offset"), F.col("end_offset").cast("int").alias("end_offset"))
+    base = numbered(rows, "own", ["chunk_index", "start_offset", "end_offset", "text"])
+    empty = (F.lit(0).alias("merge_depth"), "text", "start_offset", "end_offset", F.lit(None).cast("int").alias("word_count"), F.lit(None).cast("array<float>").alias("vector"))
+    found = [materialise(_embedded(base.select("own", "key", "at", *empty), schema, model), "level")]
+    for level in range(1, levels + 1):
+        going = found[-1].groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_chunks).select("own")
+        if going.isEmpty():
+            break
+        found.append(merged_level(found[-1].join(going, "own", "left_semi"), threshold(level, first), schema, model, max_chars))
+    of_level = [rows.select(F.col("key").alias(key), F.lit(level).alias("level"), F.col("at").cast("int").alias("chunk_index"), *(f.split()[0] for f in HIERARCHY.split(", ")[2:])) for level, rows in enumerate(found)]
+    return reduce(DataFrame.unionByName, of_level)
 
 
 def embed(texts: DataFrame, keys: Sequence[str], text: str = "text", embedder: Embedder | None = None, prefix: str = "passage: ", batch: int = 256) -> DataFrame:

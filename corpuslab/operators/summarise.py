@@ -68,8 +68,9 @@ def three_levels(chunks: DataFrame, section: str, document: str, order: str, tex
 
 def hierarchical(levels: DataFrame, key: str, summarise: Summariser = first_words) -> DataFrame:
     """CHK-08: a summary for each chunk of each level, as long as its level asks for."""
-    n = F.max("level").over(Window.partitionBy(key)) + 1
-    return levels.withColumn("target_words", T.summary_words(F.col("level"), n)).withColumn("summary", summarise(F.col("text"), F.col("target_words")))
+    counts = levels.groupBy(F.col(key).alias("chapter")).agg((F.max("level") + 1).alias("n_levels"))
+    held = levels.join(counts, levels[key].eqNullSafe(F.col("chapter"))).withColumn("target_words", T.summary_words(F.col("level"), F.col("n_levels")))
+    return held.drop("chapter", "n_levels").withColumn("summary", summarise(F.col("text"), F.col("target_words")))
 
 
 def fill_missing(units: DataFrame, done: DataFrame, keys: Sequence[str], text: str, target: int, summarise: Summariser = first_words) -> DataFrame:

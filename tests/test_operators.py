@@ -193,27 +193,6 @@ def test_chunks_are_found_in_the_text():
     assert max(map(len, chunking.split_text("x" * 2500))) <= 1000
 
 
-class Same:
-    def embed_texts(self, texts):
-        return np.ones((len(texts), 2))
-
-
-def nodes(*sizes):
-    return [chunking.Node("x" * n, np.ones(2), start=i, end=i + 1) for i, n in enumerate(sizes)]
-
-
-def test_hierarchy():
-    merged = chunking.merge_runs(nodes(8, 8, 8), 0.7, Same(), max_chars=10)
-    assert [len(n.text) for n in merged] == [18, 8]  # the first pair is taken whatever its length
-    assert (merged[0].start, merged[0].end, merged[0].depth) == (0, 2, 1)
-    assert chunking.threshold(1) == 0.7
-    assert chunking.threshold(7) == pytest.approx(0.2)
-    apart = [chunking.Node("x", np.eye(5)[i]) for i in range(5)]
-    assert [len(lv) for lv in chunking.hierarchy(apart, Same(), levels=2)] == [5, 5, 5]  # levels go on without a merge
-    levels = chunking.hierarchy(nodes(5, 5, 5, 5), Same(), levels=2, max_chars=15)
-    assert [[len(n.text) for n in lv] for lv in levels] == [[5, 5, 5, 5], [19, 5]]  # what isn't merged stays in the snapshot
-
-
 def test_citations():
     assert [c["cited_year"] for c in citations.inline_citations("x (Ander, 2006) y", "Ander")] == [2006]
     assert len(citations.inline_citations("x (Ander, 2006) y", "Ander", compat=True)) == 2
