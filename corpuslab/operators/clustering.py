@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import vectors as V
+from corpuslab.operators import neighbours
 from corpuslab.operators.retrieval import TILE_ROWS, block_reader, shards
 from corpuslab.session import materialise
 
@@ -33,14 +34,14 @@ def kmeans(rows: DataFrame, k: int = 20, seed: int = 42, starts: int = 10, max_i
     return assigned, centers, best.summary.trainingCost
 
 
-#: Rows of a chapter-level table: what compares all pairs takes no more.
+#: Rows of a chapter-level table: what compares all pairs takes no more unless asked to.
 MOST_CHAPTERS = 2048
 
 
-def chapter_level(rows: DataFrame) -> DataFrame:
+def chapter_level(rows: DataFrame, most: int = MOST_CHAPTERS) -> DataFrame:
     """The rows, if they are few enough for all their pairs; else a ValueError, before any pair is made."""
-    if rows.limit(MOST_CHAPTERS + 1).count() > MOST_CHAPTERS:
-        raise ValueError(f"all pairs are compared for up to {MOST_CHAPTERS} rows; use kmeans or bisecting for more")
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"all pairs are compared for up to {most} rows; say most=None, or use kmeans or bisecting, for more")
     return rows
 
 
@@ -84,27 +85,12 @@ def bisecting(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding"
     return BisectingKMeans(k=k, seed=seed).fit(points := _points(rows, vector)).transform(points).drop("features").withColumnRenamed("prediction", "cluster_id")
 
 
-def density(rows: DataFrame, eps: float = 0.3, least: int = 2, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def density(rows: DataFrame, eps: float = 0.3, least: int = 2, key: str = "vec_id", vector: str = "embedding", most: int | None = MOST_CHAPTERS) -> DataFrame:
     """CLU-06: density clusters by cosine distance: components of core rows, borders to their smallest core, -1 for noise.
 
-    All pairs are compared: for chapter-level tables.
+    Tables of more than ``most`` rows are refused; with None any number is taken, by neighbours found with pivots (``neighbours.density``).
     """
-    chapter_level(rows)
-    a, b = rows.select(F.col(key).alias("a"), F.col(vector).alias("va")), rows.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
-    near = a.join(b, F.col("a") != F.col("b")).filter(1 - V.cosine(F.col("va"), F.col("vb")) <= eps).select("a", "b")
-    core = near.groupBy("a").count().filter(F.col("count") + 1 >= least).select(F.col("a").alias("core"))
-    links = near.join(core, F.col("a") == F.col("core")).drop("core").join(core, F.col("b") == F.col("core")).drop("core")
-    labels = core.select(F.col("core").alias("node"), F.col("core").alias("component"))
-    while True:  # chapter-level: a few rounds of smallest neighbours
-        step = links.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
-        joined = labels.join(step, F.col("node") == F.col("a"), "left")
-        new = materialise(joined.select("node", F.least("component", F.coalesce("least", "component")).alias("component")), "labels")
-        if new.agg(F.sum("component")).first() == labels.agg(F.sum("component")).first():
-            break
-        labels = new
-    border = near.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("border"))
-    out = rows.join(labels, rows[key] == F.col("node"), "left").join(border, rows[key] == F.col("a"), "left")
-    return out.select(*(rows[c] for c in rows.columns), F.coalesce("component", "border", F.lit(-1)).alias("cluster_id"))
+    return neighbours.density(rows if most is None else chapter_level(rows, most), eps, least, key, vector)
 
 
 def silhouette(assigned: DataFrame, vector: str = "embedding", cluster: str = "cluster_id", distance: str = "squaredEuclidean") -> float:

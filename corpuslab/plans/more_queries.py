@@ -363,6 +363,21 @@ def density_of_labels(spark, sf_dir):
     return clustering.density(means, 0.95, 3).select("vec_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
+@query("""
+WITH RECURSIVE v AS MATERIALIZED (SELECT CAST(vec_id AS BIGINT) AS vec_id, [x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) for x in CAST(embedding AS DOUBLE[])] AS v FROM embeddings),
+near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE 1 - list_dot_product(a.v, b.v) <= 0.66),
+core AS (SELECT a AS node FROM near GROUP BY a HAVING count(*) + 1 >= 4),
+link AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT node FROM core) AND b IN (SELECT node FROM core)),
+reach AS (SELECT node, node AS other FROM core UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.other),
+comp AS MATERIALIZED (SELECT node, min(other) AS component FROM reach GROUP BY node),
+border AS (SELECT n.a AS node, min(c.component) AS component FROM near n JOIN comp c ON c.node = n.b GROUP BY n.a)
+SELECT vec_id, coalesce(c.component, b.component, -1) AS cluster_id FROM v LEFT JOIN comp c ON c.node = vec_id LEFT JOIN border b ON b.node = vec_id""")
+def density_of_vectors(spark, sf_dir):
+    """CLU-06: density clusters of all vectors, whatever their number; the sphere is wide, as the vectors have few near ones."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.col("vec_id").cast("long"))
+    return clustering.density(rows, 0.66, 4, most=None).select("vec_id", "cluster_id")
+
+
 @query()
 def density_clusters(spark, sf_dir):
     """CLU-06: density and divisive clusters of the labels' mean vectors."""
