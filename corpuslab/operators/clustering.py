@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import vectors as V
-from corpuslab.operators import neighbours
+from corpuslab.operators import merging, neighbours
 from corpuslab.operators.retrieval import TILE_ROWS, block_reader, shards
 from corpuslab.session import materialise
 
@@ -67,9 +67,14 @@ def ward(points: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def agglomerative(rows: DataFrame, k: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """CLU-06: adds cluster_id, by Ward's merges over a chapter-level table in one task; null without a vector."""
-    held = chapter_level(rows.select(F.col(key).alias("own"), F.col(vector).alias("vector")).filter("vector IS NOT NULL"))
+def agglomerative(rows: DataFrame, k: int = 8, key: str = "vec_id", vector: str = "embedding", most: int | None = MOST_CHAPTERS) -> DataFrame:
+    """CLU-06: adds cluster_id, by Ward's merges over a chapter-level table in one task; null without a vector.
+
+    Tables of more than ``most`` rows are refused; with None any number is taken, in rounds over tasks (``merging.agglomerative``).
+    """
+    if most is None:
+        return merging.agglomerative(rows, k, key, vector)
+    held = chapter_level(rows.select(F.col(key).alias("own"), F.col(vector).alias("vector")).filter("vector IS NOT NULL"), most)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(frames) or [pd.DataFrame({"own": [], "vector": []})]).sort_values("own")

@@ -109,6 +109,12 @@ def agglomerated(spark, sf_dir):
     return clustering.agglomerative(means, 3).select("vec_id", "cluster_id")
 
 
+@query()
+def agglomerated_vectors(spark, sf_dir):
+    """CLU-06: all vectors, whatever their number, merged by Ward's rule until ten clusters are left."""
+    return clustering.agglomerative(table(spark, sf_dir, "embeddings"), 10, most=None).select("vec_id", "cluster_id")
+
+
 @query("""
 SELECT label, CASE WHEN n_sources > 0 THEN first_source ELSE 'Cluster ' || label END AS title, n_docs || ' documents' AS explanation
 FROM (SELECT label, min(source) AS first_source, count(source) AS n_sources, count(*) AS n_docs FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY label)""")
