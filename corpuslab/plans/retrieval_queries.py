@@ -188,6 +188,16 @@ def reranked(spark, sf_dir):
     return R.rerank(R.best_fused(_fused(spark, sf_dir), 20), scorer, 8).select("id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+@query()
+def reranked_by_model(spark, sf_dir):
+    """RET-09, TOP-05, UDF-03: twenty candidates ordered by a scorer that learned from the corpus."""
+    from corpuslab.operators import reranker
+
+    docs = table(spark, sf_dir, "documents")
+    scorer = reranker.pair_scorer(reranker.fit(docs), " ".join(query_terms(spark, sf_dir)), docs)
+    return R.rerank(R.best_fused(_fused(spark, sf_dir), 20), scorer, 8).select("id", "rerank_score")
+
+
 @query(f"""
 SELECT vec_id, label, score FROM (SELECT vec_id, label, {_SIM} AS score FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_SIM} DESC, vec_id) <= 4) ORDER BY score DESC, vec_id LIMIT 10""")
 def merged_stores(spark, sf_dir):
