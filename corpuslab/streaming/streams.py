@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,19 +31,57 @@ def remember(messages: list[tuple[str, str]], role: str, text: str, turns: int =
     return [*messages, (role, text)][-2 * turns :]
 
 
-def conversation_state(messages: DataFrame, turns: int = TURNS) -> DataFrame:
-    """STR-02: messages (conv_id, turn, role, text) as a stream to (conv_id, turn, kept): messages remembered after each."""
+def _clears(frame: pd.DataFrame) -> np.ndarray:
+    return ((frame["role"] == "user") & (frame["text"].str.strip().str.lower() == "clear")).to_numpy(bool)
+
+
+def conversation_state(messages: DataFrame, turns: int = TURNS, idle: float | None = None, late: str = "1 minute", time: str = "ts") -> DataFrame:
+    """STR-02: messages (conv_id, turn, role, text) as a stream to (conv_id, turn, kept): messages remembered after each.
+
+    A batch of a session is read a frame at a time: of its texts no more than are remembered are held, of the others only number and
+    whether they clear. With ``idle``, a session without a message for so many seconds of event time (``time``, with a watermark of ``late``) is
+    forgotten, and messages behind the watermark are left out; else state never ends. Messages are in the order of their numbers
+    within a batch (of equal numbers a clear is last), and of batches as they come. Null texts are empty; messages without a number are left out.
+    """
+    most, names = 2 * turns, ["conv_id", "turn", "role", "text"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
-        out = []
-        for row in pd.concat(list(frames)).sort_values("turn").itertuples():
-            kept = remember(kept, row.role, row.text, turns)
-            out.append((key[0], row.turn, len(kept)))
-        state.update(([r for r, _ in kept], [t for _, t in kept]))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "kept"])
-
-    return messages.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, kept long", "roles array<string>, texts array<string>", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *lists, newest = state.get if state.exists else ([], [], 0)
+        before = list(zip(*lists, strict=True))
+        numbers, clears, held = [], [], []
+        for frame in frames:
+            frame = frame.assign(text=frame["text"].fillna(""))
+            clear, turn = _clears(frame), frame["turn"].to_numpy(np.int64)
+            last = np.lexsort((clear, turn))[-most:]
+            # equal numbers of equal kind by role and text, so that the frames' limits don't tell
+            held = sorted([*held, *((int(turn[i]), bool(clear[i]), frame["role"].iloc[i] or "", frame["text"].iloc[i]) for i in last)])[-most:]
+            numbers.append(turn)
+            clears.append(clear)
+            newest = max(newest, int(frame["at"].max())) if idle is not None else newest
+        turn, clear = np.concatenate(numbers), np.concatenate(clears)
+        order = np.lexsort((clear, turn))
+        turn, clear, place = turn[order], clear[order], np.arange(len(order))
+        cleared = np.maximum.accumulate(np.where(clear, place, -1))
+        kept = np.minimum(np.where(cleared >= 0, place - cleared, len(before) + place + 1), most)
+        since = max((i + 1 for i, h in enumerate(held) if h[1]), default=0)
+        memory = ([] if clear.any() else before) + [h[2:] for h in held[since:]]
+        memory = memory[-most:]
+        state.update(([r for r, _ in memory], [t for _, t in memory], newest))
+        if idle is not None:
+            state.setTimeoutTimestamp(max(newest + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
+        for at in range(0, len(turn), 10_000):
+            yield pd.DataFrame({"conv_id": key[0], "turn": turn[at : at + 10_000], "kept": kept[at : at + 10_000]})
+
+    rows = messages.filter("turn IS NOT NULL")
+    if idle is not None:
+        rows = rows.withWatermark(time, late).select(*names, time, F.unix_millis(time).alias("at")).filter(F.col("at").isNotNull())
+    else:
+        rows = rows.select(*names)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, kept long", "roles array<string>, texts array<string>, newest long", "append", timeout)
 
 
 def fill_incrementally(units: DataFrame, target: str, keys: list[str], work: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
