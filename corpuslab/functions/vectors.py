@@ -16,7 +16,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """L2-normalised; the zero vector stays."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(a.cast("array<double>"))
+    # the norm is bound once by an outer lambda: inside the inner one it would be computed for each component
+    by = lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(a.cast("array<double>"))
+    return F.transform(F.array(norm(a)), by)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
