@@ -239,6 +239,13 @@ def test_summaries(spark):
     assert levels["document"].first()["summary"] == "a b... d..."
 
 
+def test_length_guard_at_exactly_seventy_per_cent(spark):
+    at = lambda stop: " ".join(["a" * 9] * 6 + ["b" * (stop - 61) + "."] + ["c"] * 4 + ["d" * (81 - stop)] + ["e"] * 2)
+    long = spark.createDataFrame([(at(64),), (at(65),)], "t string")
+    # the first twelve words have 90 characters, of which 63 are 70 %
+    assert [r[0][-4:] for r in long.select(summarise.guard_length(F.col("t"), 10)).collect()] == ["c...", "bbb."]
+
+
 def test_reports(spark):
     text = "Title\n=====\nPART ONE\n=====\nChapter 1: Alpha\n=====\n" + "Body of alpha with words.\nAnd a second line that is long enough.\nKeywords: x, y\n" + "=====\nOther\nBody of other, long enough to count as one.\n"
     got = reports.report_sections(text)
