@@ -168,9 +168,10 @@ def escape_html(text: Column) -> Column:
 
 
 def html_paragraphs(text: Column) -> Column:
-    """Paragraphs between empty lines in p elements, *x* as emphasis."""
-    kept = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
-    return F.concat_ws("\n", F.transform(kept, lambda p: F.concat(F.lit("<p>"), F.regexp_replace(escape_html(p), r"\*([^*]+)\*", "<em>$1</em>"), F.lit("</p>"))))
+    """Paragraphs between empty lines in p elements, *x* as emphasis; null for null."""
+    # a lambda of its own: F.trim has a second parameter, which transform would give the paragraph's number as what to trim
+    kept = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_join(F.transform(kept, lambda p: F.concat(F.lit("<p>"), F.regexp_replace(escape_html(p), r"\*([^*]+)\*", "<em>$1</em>"), F.lit("</p>"))), "\n")
 
 
 def keyword_list(line: Column) -> Column:

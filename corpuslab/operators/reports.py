@@ -243,7 +243,7 @@ def side_by_side(df: DataFrame, left: str, right: str, width: int) -> Column:
 
 def html_page(sections: DataFrame, key: str, order: str, title: str, body: str) -> DataFrame:
     """SNK-10: (key, html): a page of each document's sections in order."""
-    part = F.concat(F.lit("<h1>"), T.escape_html(F.col(title)), F.lit("</h1>\n"), T.html_paragraphs(F.col(body)))
+    part = F.concat(F.lit("<h1>"), T.escape_html(F.col(title)), F.lit("</h1>\n"), T.html_paragraphs(F.coalesce(body, F.lit(""))))
     parts = F.array_sort(F.collect_list(F.struct(order, part.alias("h"))))
     joined = F.array_join(F.transform(parts, lambda p: p["h"]), "\n<hr>\n")
     return sections.groupBy(key).agg(F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"></head><body>\n'), joined, F.lit("\n</body></html>")).alias("html"))

@@ -51,6 +51,10 @@ def test_small_ones(spark):
     assert values(spark, ["  ", None, "x"], lambda c: T.fill_if_empty(c, F.lit("d"))) == ["d", "d", "x"]
 
 
+def test_html_paragraphs_lose_blanks_only(spark):
+    assert values(spark, ["0 10\n\n 1 at 1 \n \n2.2", "", None], T.html_paragraphs) == ["<p>0 10</p>\n<p>1 at 1</p>\n<p>2.2</p>", "", None]
+
+
 def test_summary_words(spark):
     df = spark.createDataFrame([(0, 2), (1, 2), (0, 4), (3, 4)], "l int, n int")
     assert [r[0] for r in df.select(T.summary_words(F.col("l"), F.col("n"))).collect()] == [100, 200, 50, 200]
