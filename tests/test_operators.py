@@ -266,3 +266,36 @@ def test_reports(spark):
     assert reports.status_page("new", "old\n## Notes\nmine") == "new\n\n## Notes\nmine"
     stems = reports.prompts(spark.createDataFrame([("1.first, tell\n\n2.second say",)], "t string"), "t")
     assert {r["stem"] for r in stems.collect()} == {"1.first", "2.second"}
+
+
+def test_texts_are_split_once_and_not_moved(spark):
+    """Scores read the texts once; the texts of hits are found by the hits' ids, without a shuffle or sort of the table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>", useArrow=False)
+    def counted(t):
+        seen.add(1)
+        return t.split()
+
+    docs = spark.createDataFrame([(i, f"alpha w{i}. Beta {i % 3}.") for i in range(30)], "doc_id long, text string").repartition(3)
+    scored = retrieval.bm25_scores(docs, ["alpha", "Beta"], terms=lambda c: counted(c))
+    assert scored.count() == 30
+    assert seen.value == 30
+    hits = spark.createDataFrame([(3, 0), (5, 1), (99, 2)], "id long, first_seen int")
+    for found in (retrieval.with_texts(hits, docs, "doc_id"), retrieval.overlap_scorer(docs, ["alpha"])(hits)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi, BuildRight" in plan
+        assert sorted(r["id"] for r in found.collect()) == [3, 5, 99]
+    split = spark.sparkContext.accumulator(0)
+    texts = docs.select("doc_id", F.udf(lambda t: split.add(1) or t, "string", useArrow=False)("text").alias("text"))
+    assert retrieval.extractive_answer(["beta"], retrieval.with_texts(hits, texts, "doc_id"), "first_seen").first()["answer"] == "Beta 0. Beta 2."
+
+
+def test_a_question_alone_builds_no_index(spark, tmp_path):
+    spark.createDataFrame([(i, f"red w{i}") for i in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    scan = spark.read.parquet(str(tmp_path / "d"))
+    assert retrieval.ready_index(scan) is None
+    folder = retrieval.stored_index(scan, scan)
+    assert retrieval.ready_index(scan) == folder
+    spark.createDataFrame([(9, "red")], "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "d"))
+    assert retrieval.ready_index(spark.read.parquet(str(tmp_path / "d"))) is None
