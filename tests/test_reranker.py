@@ -84,3 +84,22 @@ def test_order_on_unseen_texts(docs):
     starts = np.flatnonzero(y)
     best = [p[s] > p[s + 1 : e].max() for s, e in zip(starts, [*starts[1:], len(y)], strict=True) if e > s + 1]
     assert len(best) > 20 and np.mean(best) >= 0.9
+
+
+def test_frequencies_read_the_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda t: seen.add(1) or t, "string", useArrow=False)
+    texts = spark.createDataFrame([(1, "alpha beta beta"), (2, None), (3, ""), (4, "beta")], "doc_id long, text string").select("doc_id", counted("text").alias("text"))
+    known = reranker.frequencies(texts)
+    assert (known.texts, known.words, known.table.sum()) == (4, 1.0, 3)
+    assert known.table[reranker.place("beta")] == 2
+    assert seen.value == 4
+    empty = reranker.frequencies(texts.limit(0))
+    assert (empty.texts, empty.words, empty.table.sum()) == (0, 1.0, 0)
+    candidates = spark.createDataFrame([(1, 0)], "id long, first_seen int")
+    plan = reranker.pair_scorer(reranker.Model(known, *reranker_weights()), "alpha", texts)(candidates)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan
+
+
+def reranker_weights():
+    return np.zeros((reranker.FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0
