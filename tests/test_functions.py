@@ -91,3 +91,21 @@ def test_vectors(spark):
     assert means == {"a": [0.5, 0.5], "b": [3.0, 4.0]}
     assert df.filter("k = 'b'").select(V.unit(F.col("v"))).first()[0] == pytest.approx([0.6, 0.8])
     assert df.select(V.cosine(F.col("v"), F.array(F.lit(0.0), F.lit(0.0)))).first()[0] is None
+
+
+def test_a_batch_stems_each_word_once(spark):
+    """Nulls, empty lists and slices of a batch keep their places."""
+    from corpuslab.functions import stemming
+
+    import pyarrow as pa
+
+    lists = pa.array([["never"], ["running", "dogs", "running"], None, [], ["dogs"]], pa.list_(pa.string()))
+    assert stemming.stems.func(lists.slice(1)).to_pylist() == [["run", "dog", "run"], None, [], ["dog"]]
+    seen, before = [], stemming.stem
+    stemming.stem = lambda w: seen.append(w) or before(w)
+    try:
+        stemming.stems.func(lists)
+    finally:
+        stemming.stem = before
+    assert sorted(seen) == ["dogs", "never", "running"]
+    assert values(spark, [["dogs", "dogs"], None], stemming.stems, "array<string>") == [["dog", "dog"], None]
