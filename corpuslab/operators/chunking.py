@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,11 @@ class HashingEmbedder:
         return out / np.where(norms > 0, norms, 1)
 
 
+def vector_lists(vectors: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow column of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.ravel()))
+
+
 def _pack(parts: list[str], joiner: str, size: int, overlap: int) -> list[str]:
     """Parts in order, joined up to the size; the next piece begins with as many of the last parts as fit the overlap."""
     out: list[str] = []
@@ -292,13 +298,15 @@ def embed(texts: DataFrame, keys: Sequence[str], text: str = "text", embedder: E
     rows = texts.select(*keys, text)
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", embedding array<float>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                yield part[list(keys)].assign(embedding=list(model.embed_texts([prefix + (t or "") for t in part[text]])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # only the texts of one batch of the embedder are Python objects
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                vectors = np.asarray(model.embed_texts([prefix + (t or "") for t in part.column(len(keys)).to_pylist()]), np.float32)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], vector_lists(vectors)], [*keys, "embedding"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def chapter_range(chapters: DataFrame, book: str, first: int, last: int) -> DataFrame:
