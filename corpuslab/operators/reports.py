@@ -6,12 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from corpuslab.functions import text as T
+from corpuslab.functions.fuzzy import mapped
 
 #: Lines that separate sections, in the report's and the summary parser's sense.
 SEPARATOR = r"^\s*(?:-{3,}|━{5,}|═{5,}|={5,}|─{5,})\s*$"
@@ -68,10 +70,10 @@ def overview_after_separator(report: str | None) -> str:
     return ""
 
 
-@pandas_udf(ST.StringType())
-def overview(report: pd.Series) -> pd.Series:
+@arrow_udf(ST.StringType())
+def overview(report: pa.Array) -> pa.Array:
     """TXT-23 for a column of reports."""
-    return report.map(overview_after_separator)
+    return mapped(report, overview_after_separator, pa.string())
 
 
 def keywords_in(block: str) -> list[str]:

@@ -109,3 +109,39 @@ def test_a_batch_stems_each_word_once(spark):
         stemming.stem = before
     assert sorted(seen) == ["dogs", "never", "running"]
     assert values(spark, [["dogs", "dogs"], None], stemming.stems, "array<string>") == [["dog", "dog"], None]
+
+
+def test_texts_are_python_objects_a_piece_at_a_time(spark, monkeypatch):
+    """An Arrow column of many values is worked on in pieces; embeddings likewise, in the embedder's batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpuslab.functions import fuzzy
+    from corpuslab.operators import chunking, reports
+
+    sizes = []
+
+    class Column:
+        def __init__(self, column):
+            self.column = column
+
+        def __len__(self):
+            return len(self.column)
+
+        def slice(self, at, n):
+            sizes.append(len(self.column.slice(at, n)))
+            return self.column.slice(at, n)
+
+    column = pa.array([f"Book Overview\n-----\n{i}" for i in range(600)] + [None, ""])
+    assert reports.overview.func(Column(column)).to_pylist() == [*map(str, range(600)), "", ""]
+    assert fuzzy.sentences.func(Column(column[:0])).to_pylist() == []
+    assert max(sizes) == fuzzy.PIECE and sum(sizes) == 602
+
+    class Sized:
+        def embed_texts(self, texts):
+            return np.full((len(texts), 2), len(texts))
+
+    docs = spark.createDataFrame([(i, "x" if i else None) for i in range(25)], "doc_id long, text string").coalesce(1)
+    got = chunking.embed(docs, ["doc_id"], embedder=Sized(), batch=10)
+    assert got.dtypes == [("doc_id", "bigint"), ("embedding", "array<float>")]
+    assert [r["embedding"][0] for r in got.orderBy("doc_id").collect()] == [10.0] * 20 + [5.0] * 5
