@@ -29,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpuslab.llm.common import pieces, utf8
+from corpuslab.llm.common import PIECE_BYTES, pieces, utf8
 
 #: Entries that a worker's dictionary holds before it is emptied.
-CACHE = 400_000
+CACHE = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -159,7 +159,7 @@ def encode(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             texts = [(x or b"").decode("utf-8", "replace") for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode(texts), pa.binary())], [key, "ids"])
 
@@ -172,7 +172,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             ids = batch.column(1)
             decoded = [bpe.decode(x or b"") for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], [key, "ids", "decoded"])
@@ -186,7 +186,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str, key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             ids = bpe.encode([(x or b"").decode("utf-8", "replace") for x in utf8(batch.column(1))])
             decoded = list(map(bpe.decode, ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [key, "ids", "decoded"])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Entries of the dictionary of words before it is emptied.
-CACHE = 400_000
+CACHE = 200_000
 _MIX = np.uint32(0x9E3779B1)
 _PAIR = np.uint32(0x85EBCA6B)
 

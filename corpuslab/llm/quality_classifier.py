@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpuslab.llm import labelled
-from corpuslab.llm.common import fold, pieces, utf8
+from corpuslab.llm.common import PIECE_BYTES, fold, pieces, utf8
 from corpuslab.llm.ngrams import Lexicon, Space, sparse_means
 
 
@@ -100,7 +100,7 @@ def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*parts)
-        for batch in pieces(batches):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer([x or b"" for x in utf8(batch.column(1))]))], [key, "score"])
 
     rows = documents.select(key, text)
@@ -113,7 +113,7 @@ def keep(documents: DataFrame, model: Model | None, least: float = 0.5, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*parts)
-        for batch in pieces(batches):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             yield batch.filter(pa.array(scorer([x or b"" for x in utf8(batch.column(text))]) >= least))
 
     return documents.mapInArrow(run, documents.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpuslab.llm import labelled
-from corpuslab.llm.common import fold, pieces, utf8
+from corpuslab.llm.common import PIECE_BYTES, fold, pieces, utf8
 from corpuslab.llm.ngrams import Lexicon, Space, SparseMeans, segment_sums, sparse_means
 
 MIN_WORDS = 50
@@ -183,7 +183,7 @@ def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(model)
-        for batch in pieces(batches):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             found = judge([x or b"" for x in utf8(batch.column(1))], lexicon, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.values())], [key, *found])
 
@@ -196,7 +196,7 @@ def keep(documents: DataFrame, model: Model | None, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(model)
-        for batch in pieces(batches):
+        for batch in pieces(batches, weight=PIECE_BYTES):
             found = judge([x or b"" for x in utf8(batch.column(text))], lexicon, model)
             yield batch.filter(pa.array(found["kept"]))
 
