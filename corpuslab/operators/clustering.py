@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -25,9 +27,17 @@ def _points(rows: DataFrame, vector: str) -> DataFrame:
 
 
 def kmeans(rows: DataFrame, k: int = 20, seed: int = 42, starts: int = 10, max_iter: int = 300, vector: str = "embedding"):
-    """CLU-01, CLU-02: the best of several starts on unit vectors: (assignments with cluster_id, unit centroids, cost)."""
-    points = materialise(_points(rows, vector), "points")
-    models = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(points) for i in range(starts)]
+    """CLU-01, CLU-02: the best of several starts on unit vectors: (assignments with cluster_id, unit centroids, cost).
+
+    The starts run at the same time, over one cached table: an iteration is a small job, most of which is waiting.
+    """
+    points = materialise(_points(rows, vector), "points").persist()
+    try:
+        fit = inheritable_thread_target(rows.sparkSession)(lambda i: KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(points))
+        with ThreadPool(max(1, starts)) as pool:
+            models = pool.map(fit, range(starts))
+    finally:
+        points.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)
     centers = [c / n if (n := float((c @ c) ** 0.5)) else c for c in best.clusterCenters()]
     assigned = best.transform(points).drop("features").withColumnRenamed("prediction", "cluster_id")

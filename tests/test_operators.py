@@ -299,3 +299,17 @@ def test_a_question_alone_builds_no_index(spark, tmp_path):
     assert retrieval.ready_index(scan) == folder
     spark.createDataFrame([(9, "red")], "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "d"))
     assert retrieval.ready_index(spark.read.parquet(str(tmp_path / "d"))) is None
+
+
+def test_kmeans_starts_run_together(spark, monkeypatch):
+    """All starts are at work at the same time, over one cached table that is released, and the best is taken."""
+    import threading
+
+    from pyspark.ml.clustering import KMeans
+
+    together, own = threading.Barrier(3, timeout=60), KMeans.fit
+    monkeypatch.setattr(clustering.KMeans, "fit", lambda self, points: (together.wait(), own(self, points))[1])
+    rows = spark.createDataFrame([(i, [float(i % 2), 1.0 - i % 2]) for i in range(12)], "vec_id long, embedding array<double>")
+    assigned, centers, cost = clustering.kmeans(rows, k=2, starts=3)
+    assert sorted(r["count"] for r in assigned.groupBy("cluster_id").count().collect()) == [6, 6]
+    assert len(centers) == 2 and cost < 1e-9
