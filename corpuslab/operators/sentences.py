@@ -16,12 +16,13 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
+from corpuslab.functions.fuzzy import mapped
 from corpuslab.session import materialise
 
 _OPEN, _CLOSE = "\"'([“‘«", "\"')\\]”’»"
@@ -69,10 +70,12 @@ def learn(texts: DataFrame, text: str = "text", least: int = 5, share: float = 1
     """The three sets. A member occurs at least ``least`` times and makes up at least ``share`` of all tokens."""
     tokens = texts.select(F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " ").alias("tokens"))
     each = tokens.select(F.explode(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.when(t.contains(".") & t.rlike(STOPPED), F.coalesce(F.get("tokens", i + 1), F.lit(""))).alias("next")))).alias("x"))
-    raw = materialise(each.select("x.token", "x.next").filter("token <> ''").groupBy("token", "next").agg(F.count(F.lit(1)).alias("n")), "tokens")
-    typed = raw.select(word_type(F.col("token")).alias("word"), F.when(F.col("next").isNotNull(), word_type(F.col("next"))).alias("next"), F.col("next").isNotNull().alias("stop"), "n")
+    raw = each.select("x.token", "x.next").filter("token <> ''").groupBy("token", "next").agg(F.count(F.lit(1)).alias("n"))
+    types = raw.select(word_type(F.col("token")).alias("word"), F.when(F.col("next").isNotNull(), word_type(F.col("next"))).alias("next"), F.col("next").isNotNull().alias("stop"), "n")
+    # written by types, of which there are fewer than tokens and which all counts below would make again
+    typed = materialise(types.groupBy("word", "next", "stop").agg(F.sum("n").alias("n")), "tokens")
     counts = typed.groupBy("word").agg(F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("stopped"), F.sum("n").alias("n"))
-    totals = raw.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("next").isNotNull(), F.col("n")).otherwise(0)).alias("stops")).first()
+    totals = typed.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("stops")).first()
     n, stops = totals["n"] or 0, totals["stops"] or 0
     if not 0 < stops < n:
         return Boundaries()
@@ -97,7 +100,8 @@ def learn(texts: DataFrame, text: str = "text", least: int = 5, share: float = 1
     )
 
 
-_MARKED = re.compile(rf"(\S*([.!?])[{_CLOSE}]*)(?=\s+(\S+))")
+#: The last mark of a token that another follows. It is looked for without the token before it, which would be tried from each of its characters.
+_MARKED = re.compile(rf"([.!?])[{_CLOSE}]*(?=\s+(\S+))")
 _ENDS = re.compile(ENDS)
 
 
@@ -112,12 +116,15 @@ def split_by(text: str | None, model: Boundaries) -> list[str]:
         return []
     out, begin = [], 0
     for m in _MARKED.finditer(text):
-        token, mark, following = m.groups()
+        mark, following = m.groups()
         first = following.lstrip(_OPEN)[:1]
         if first.islower():
             continue
         if mark == ".":
-            word, then = _type(token), _type(following)
+            at = m.start()
+            while at and not text[at - 1].isspace():
+                at -= 1
+            word, then = _type(text[at : m.end()]), _type(following)
             if (word in model.abbreviations or (len(word) == 1 and word.isalpha())) and not (then in model.starters and first.isupper() and (word, then) not in model.collocations):
                 continue
         out.append(text[begin : m.end()].strip())
@@ -128,8 +135,18 @@ def split_by(text: str | None, model: Boundaries) -> list[str]:
 def splitter(model: Boundaries) -> Callable[[Column], Column]:
     """Texts to arrays of sentences, an Arrow batch at a time."""
 
-    @pandas_udf(ST.ArrayType(ST.StringType()))
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split_by(t, model))
+    @arrow_udf(ST.ArrayType(ST.StringType()))
+    def run(text: pa.Array) -> pa.Array:
+        return mapped(text, lambda t: split_by(t, model), pa.list_(pa.string()))
+
+    return run
+
+
+def counter(model: Boundaries) -> Callable[[Column], Column]:
+    """Texts to numbers of sentences."""
+
+    @arrow_udf(ST.IntegerType())
+    def run(text: pa.Array) -> pa.Array:
+        return mapped(text, lambda t: len(split_by(t, model)), pa.int32())
 
     return run

@@ -347,8 +347,8 @@ def fuzzy_pairs(spark, sf_dir):
 def sentence_counts(spark, sf_dir):
     """FN-22: by boundaries learned from all documents."""
     docs = _docs(spark, sf_dir)
-    split = boundaries.splitter(boundaries.learn(docs))
-    return docs.select("doc_id", F.size(split(F.col("text"))).alias("n"))
+    count = boundaries.counter(boundaries.learn(docs))
+    return docs.select("doc_id", count(F.col("text")).alias("n"))
 
 
 @query("SELECT CAST(json_object('type', 'entity', 'name', source, 'entityType', 'book', 'observations', [CAST(count(*) AS VARCHAR)]) AS VARCHAR) AS value FROM documents GROUP BY source UNION ALL SELECT CAST(json_object('type', 'relation', 'from', source, 'to', lang, 'relationType', 'has') AS VARCHAR) FROM (SELECT DISTINCT source, lang FROM documents)")

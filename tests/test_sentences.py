@@ -118,3 +118,16 @@ def test_nothing_to_learn(spark):
 def test_texts_of_any_length():
     text = "He came at once. " * 50_000
     assert len(S.split_by(text, S.Boundaries())) == 50_000
+
+
+def test_long_tokens_take_linear_time_and_counts_need_no_sentences(spark):
+    """A token without a mark isn't tried from each of its characters."""
+    import time
+
+    from corpuslab.operators import sentences
+
+    start = time.perf_counter()
+    assert len(sentences.split_by("x" * 100_000 + " Then. End", sentences.Boundaries())) == 2
+    assert time.perf_counter() - start < 5
+    df = spark.createDataFrame([(1, "One. Two? three Dr. X."), (2, None), (3, " ")], "i int, t string")
+    assert [r["n"] for r in df.select("i", sentences.counter(sentences.Boundaries())("t").alias("n")).orderBy("i").collect()] == [3, 0, 0]
