@@ -83,3 +83,44 @@ def test_more_rows_than_one_task_takes(spark):
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["cluster_id"] for r in clustering.agglomerative(df, 12, most=None).collect()}
     assert len({(got[i], own[i]) for i in range(5000)}) == 12 and len(set(got.values())) == 12
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_rough_products_lose_none(kind):
+    """32-bit products only leave out pairs: offsets, ties, numbers they can't hold and clusters of very different spread."""
+    rng = np.random.default_rng(kind)
+    for sizes in (np.ones(300, int), rng.integers(1, 900, 300)):
+        x = rng.normal(size=(300, 5))
+        x = (x, x + 1e6, np.round(2 * x), x * 1e20, np.where(rng.random((300, 1)) < 0.5, x * 1e-7, x * 1e4))[kind]
+        x = np.unique(x, axis=0)
+        points = neighbours.Points(3 * np.arange(len(x)), x, sizes[: len(x)], np.ones(len(x), bool))
+        i, j = np.nonzero(~np.eye(len(x), dtype=bool))
+        _, cost, node, near = merging.first_pairs(i, merging.merge_cost(x[i], x[j], sizes[i], sizes[j]), points.node[i], points.node[j])
+        got = merging.nearest_of_shard(points, iter([points.part(slice(at, at + 37)) for at in range(0, len(x), 37)]))
+        assert [g.tolist() for g in got] == [node.tolist(), near.tolist(), cost.tolist()]
+
+
+def test_rounds_compare_what_changed(spark):
+    """A cluster that knows its nearest meets new clusters only; one that doesn't meets all."""
+    at = {0: 0.0, 1: 1.0, 2: 10.0, 3: 11.5, 4: 12.0}
+    kind = "node long, vector array<double>, weight long, core boolean, near long, cost double"
+    # 0 isn't told of 1, which is nearer than what it knows but not new; 2 is told of 3, and 4 is new but farther; 3 finds 4
+    rows = [(n, [x], 1, n == 4, {0: 2, 2: 3}.get(n), {0: 100.0, 2: 2.25}.get(n)) for n, x in at.items()]
+    stored = neighbours.materialise(spark.createDataFrame(rows, kind), "clusters")
+    got = sorted((r["node"], r["near"], r["cost"]) for r in merging.nearest(stored, 2).collect())
+    assert got == [(0, 2, 100.0), (1, 0, 1.0), (2, 3, 2.25), (3, 4, 0.25), (4, 3, 0.25)]
+
+
+def test_rest_of_tree_with_ties():
+    rng = np.random.default_rng(8)
+    x = np.unique(rng.integers(0, 6, (90, 2)).astype(float), axis=0)
+    node, means, sizes = 2 * np.arange(len(x)), x.copy(), np.ones(len(x))
+    want, left = [], list(range(len(x)))
+    while len(left) > 1:
+        pairs = [(float(merging.merge_cost(means[[i]], means[[j]], sizes[[i]], sizes[[j]])[0]), int(merging.tie(node[[i]], node[[j]])[0]), i, j) for i in left for j in left if i < j]
+        cost, _, i, j = min(pairs)
+        want.append((int(node[i]), int(node[j]), cost))
+        means[i] = (sizes[i] * means[i] + sizes[j] * means[j]) / (sizes[i] + sizes[j])
+        sizes[i] += sizes[j]
+        left.remove(j)
+    assert merging.rest_of_tree(node, x, np.ones(len(x))) == want
