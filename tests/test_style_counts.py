@@ -35,4 +35,4 @@ def test_counts(spark):
 
 
 def test_sentences_stay_numbers():
-    assert style.rhythm_of("Is it so? Yes\x1cno. It is one word.") == {"lengths": [3, 1, 3], "questions": 1}
+    assert style.rhythm_of("Is it so? Yes\x1cnay. It is one word.") == {"lengths": [3, 1, 4], "questions": 1}
