@@ -19,6 +19,8 @@ CHUNK_SIZE, OVERLAP, SEPARATORS = 1000, 200, ("\n\n", "\n", " ", "")
 #: Similarity from which neighbours merge at the first level, fall a level, and the least; levels; chunks to go on; characters of a merged chunk.
 FIRST_THRESHOLD, THRESHOLD_STEP, LEAST_THRESHOLD = 0.70, 0.10, 0.20
 LEVELS, MIN_CHUNKS, MAX_CHARS = 5, 3, 20_000
+#: Chunks of a chapter whose neighbours are compared in one group.
+BLOCK = 64
 
 
 class Embedder(Protocol):
@@ -129,7 +131,7 @@ def _tasks(rows: DataFrame) -> int:
 
 
 def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str = "at") -> DataFrame:
-    """Rows of each group counted from 0 in their order, whatever a group's size.
+    """Rows of each group counted from 0 in their order, whatever a group's size, and how many it has (n).
 
     Rows are sorted by ranges, so a group may lie in several tasks; it has a count for each of those, and only these counts are a window.
     """
@@ -137,7 +139,7 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str = "at"
     stored = materialise(sorted_rows, "numbered").withColumn("part", F.shiftright("place", 33))
     parts = stored.groupBy(group, "part").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select(group, "part", (before - F.col("first")).alias("shift"))
+    starts = parts.select(group, "part", (before - F.col("first")).alias("shift"), F.sum("n").over(Window.partitionBy(group)).alias("n"))
     return stored.join(starts, [group, "part"]).withColumn(name, F.col("place") + F.col("shift")).drop("place", "part", "shift")
 
 
@@ -199,7 +201,7 @@ def _segments(frames: Iterator[pd.DataFrame], span: int, max_chars: int) -> Iter
 
 
 def runs_of_level(level: DataFrame, least: float, max_chars: int) -> DataFrame:
-    """CHK-03, CHK-04: (own, at, number): the run that each chunk of a level belongs to, numbered from 0 in each chapter.
+    """CHK-03, CHK-04: (own, at, number, size, n): the run that each chunk of a level belongs to, numbered from 0 in each chapter, its chunks and the chapter's runs.
 
     Runs depend on where the one before them ends, so a chapter is a sequence. It is cut into segments of as many chunks as a run can have, at
     most; a segment is a group of numbers (no texts), with the segment after it to look ahead. As a first step each segment tells, for each place
@@ -207,9 +209,13 @@ def runs_of_level(level: DataFrame, least: float, max_chars: int) -> DataFrame:
     is one place. The others are composed in rounds that double their reach. Then all segments give their runs at once.
     """
     span = max(max_chars, 2)
-    following = level.select("own", (F.col("at") - 1).alias("at"), F.col("vector").alias("next"), (F.length("text") > 0).alias("filled"))
-    similar = F.coalesce((F.length("text") > 0) & F.col("filled") & (V.cosine(F.col("vector"), F.col("next")) >= least), F.lit(False))
-    numbers = level.join(following, ["own", "at"], "left").select("own", "at", F.length("text").alias("length"), similar.alias("similar"))
+    # neighbours meet in blocks of a chapter, each with the chunk behind it, so vectors are moved once
+    block, before = F.floor(F.col("at") / BLOCK), F.floor((F.col("at") - 1) / BLOCK)
+    dealt = level.select("own", "at", F.length("text").alias("length"), "vector").withColumn("block", F.explode(F.array_distinct(F.array(block, before)))).filter("block >= 0")
+    following = lambda c: F.lead(c).over(Window.partitionBy("own", "block").orderBy("at"))
+    beside = dealt.withColumns({"next": following("vector"), "filled": following("length") > 0}).filter(F.col("block") == block)
+    similar = F.coalesce((F.col("length") > 0) & F.col("filled") & (V.cosine(F.col("vector"), F.col("next")) >= least), F.lit(False))
+    numbers = beside.select("own", "at", "length", similar.alias("similar"))
     seg = F.floor(F.col("at") / span)
     dealt = materialise(numbers.withColumn("seg", F.explode(F.array(seg, seg - 1))).filter("seg >= 0"), "segments")
     # A look-ahead has no segment of its own if the chapter ends before it, so a group always has its own chunks.
@@ -250,22 +256,30 @@ def runs_of_level(level: DataFrame, least: float, max_chars: int) -> DataFrame:
     begun = dealt.join(entries, ["own", "seg"], "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
     found = materialise(groups(begun).mapInPandas(runs, "own string, seg bigint, place bigint, start bigint, last bigint"), "runs")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("own").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = found.groupBy("own", "seg").agg(F.count(F.lit(1)).alias("n")).select("own", "seg", before.alias("before"))
-    return found.join(sizes, ["own", "seg"]).select("own", (F.col("before") + F.col("place")).alias("number"), F.explode(F.sequence("start", "last")).alias("at"))
+    sizes = found.groupBy("own", "seg").agg(F.count(F.lit(1)).alias("n")).select("own", "seg", before.alias("before"), F.sum("n").over(Window.partitionBy("own")).alias("n"))
+    size = (F.col("last") - F.col("start") + 1).alias("size")
+    return found.join(sizes, ["own", "seg"]).select("own", (F.col("before") + F.col("place")).alias("number"), size, "n", F.explode(F.sequence("start", "last")).alias("at"))
 
 
 def merged_level(level: DataFrame, least: float, schema: str, embedder: Embedder, max_chars: int) -> DataFrame:
-    """The next level: each run joined to one chunk, embedded anew; chunks that are a run alone stay as they are."""
-    members = level.join(runs_of_level(level, least, max_chars), ["own", "at"])
-    runs = members.repartition(_tasks(members), "own", "number").groupBy("own", "number")
+    """The next level, with the number n of its chunks in the chapter: each run joined to one chunk, embedded anew; chunks that are a run alone stay as they are.
+
+    Those are written as they come from the join; only the others are moved again, without their vectors.
+    """
+    runs = runs_of_level(level.drop("n"), least, max_chars)
+    members = materialise(level.drop("n").join(runs, ["own", "at"]), "members")
+    columns = ["own", "key", "at", "merge_depth", "text", "start_offset", "end_offset", "word_count", "vector", "n"]
+    lone = members.filter("size = 1").withColumn("at", F.col("number")).select(columns)
+    several = members.filter("size > 1").select("own", "key", "number", "at", "merge_depth", "text", "start_offset", "end_offset", "n")
+    grouped = several.repartition(_tasks(several), "own", "number").groupBy("own", "number")
     parts = F.array_sort(F.collect_list(F.struct("at", "merge_depth", "text")))
-    lone = lambda c: F.when(F.count(F.lit(1)) == 1, F.first(c))
-    joined = runs.agg(parts.alias("parts"), F.first("key").alias("key"), F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"), lone("word_count").alias("word_count"), lone("vector").alias("vector"))
+    joined = grouped.agg(parts.alias("parts"), F.first("key").alias("key"), F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"), F.first("n").alias("n"))
     rest = F.slice("parts", F.lit(2), F.size("parts"))
     depth = F.aggregate(rest, F.get("parts", F.lit(0))["merge_depth"], lambda d, p: F.greatest(d, p["merge_depth"]) + 1)
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
-    rows = joined.select("own", "key", F.col("number").alias("at"), depth.alias("merge_depth"), text.alias("text"), "start_offset", "end_offset", "word_count", "vector")
-    return materialise(_embedded(rows, schema, embedder), "level")
+    empty = (F.lit(None).cast("int").alias("word_count"), F.lit(None).cast("array<float>").alias("vector"))
+    rows = joined.select("own", "key", F.col("number").alias("at"), depth.alias("merge_depth"), text.alias("text"), "start_offset", "end_offset", *empty, "n")
+    return lone.union(materialise(_embedded(rows, f"{schema}, n bigint", embedder), "level"))
 
 
 def build_hierarchy(chunks: DataFrame, key: str, embedder: Embedder | None = None, levels: int = LEVELS, min_chunks: int = MIN_CHUNKS, first: float = FIRST_THRESHOLD, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -282,12 +296,12 @@ def build_hierarchy(chunks: DataFrame, key: str, embedder: Embedder | None = Non
     rows = chunks.select(F.to_json(F.struct(F.col(key).alias("key"))).alias("own"), F.col(key).alias("key"), "chunk_index", F.coalesce("text", F.lit("")).alias("text"), F.col("start_offset").cast("int").alias("start_offset"), F.col("end_offset").cast("int").alias("end_offset"))
     base = numbered(rows, "own", ["chunk_index", "start_offset", "end_offset", "text"])
     empty = (F.lit(0).alias("merge_depth"), "text", "start_offset", "end_offset", F.lit(None).cast("int").alias("word_count"), F.lit(None).cast("array<float>").alias("vector"))
-    found = [materialise(_embedded(base.select("own", "key", "at", *empty), schema, model), "level")]
+    found = [materialise(_embedded(base.select("own", "key", "at", *empty, "n"), f"{schema}, n bigint", model), "level")]
     for level in range(1, levels + 1):
-        going = found[-1].groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_chunks).select("own")
+        going = found[-1].filter(F.col("n") > min_chunks)
         if going.isEmpty():
             break
-        found.append(merged_level(found[-1].join(going, "own", "left_semi"), threshold(level, first), schema, model, max_chars))
+        found.append(merged_level(going, threshold(level, first), schema, model, max_chars))
     of_level = [rows.select(F.col("key").alias(key), F.lit(level).alias("level"), F.col("at").cast("int").alias("chunk_index"), *(f.split()[0] for f in HIERARCHY.split(", ")[2:])) for level, rows in enumerate(found)]
     return reduce(DataFrame.unionByName, of_level)
 

@@ -155,3 +155,9 @@ def test_query_against_lists(spark):
     rows = [(r["conv_id"], r["turn"], r["text"], 0, len(r["text"])) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect() if r["text"] is not None]
     got = sorted((tuple(r) for r in catalog.queries()["chunk_hierarchy"](spark, SF).collect()), key=repr)
     assert got == plain(rows, chunking.HashingEmbedder())
+
+
+def test_groups_know_their_size(spark):
+    """Which chapters go on is read from each row, so no level is joined to its own counts."""
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), ("a", 2)], "own string, x int").repartition(3)
+    assert sorted((r["own"], r["x"], r["at"], r["n"]) for r in chunking.numbered(df, "own", ["x"]).collect()) == [("a", 1, 0, 3), ("a", 2, 1, 3), ("a", 3, 2, 3), ("b", 1, 0, 1)]
