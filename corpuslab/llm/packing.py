@@ -25,7 +25,9 @@ import heapq
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -44,113 +46,131 @@ WIDTH = 2048
 
 #: White space of Unicode and Python, as RE2 takes a class.
 _WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Letters and digits of Latin script, and marks, for RE2 and Python alike.
+_LATIN, _MARKS = "A-Za-z0-9À-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
 
 
 class UnitTokenizer:
-    """A byte-level tokenizer whose pre-tokens never reach across a blank between two other characters.
+    """A byte-level tokenizer whose pre-tokens never reach across a blank or a line's end between two other characters, nor from a letter to a mark.
 
-    Texts are cut before such blanks, in Arrow, and the distinct units of a batch looked up in a bounded dictionary of
+    Texts are cut there, in Arrow, and the distinct units of a batch looked up in a bounded dictionary of
     their numbers; their ids lie in one flat array, from which numpy gathers those of the batch. New units go to the library as lines of
-    many, whose ids are cut where a token begins with a blank; units with other white space go one by one. Texts that hold an added token go whole,
+    many, whose ids are cut where a token begins with a blank or a line; units with other white space go one by one. Texts that hold an added token go whole,
     as do all where the file has a normaliser or another way of cutting words.
 
-    A unit that begins with a blank is known by what follows the blank, any other by itself and a blank behind it.
+    A unit is known by its key: what follows the blank that it begins with; itself, if it begins with a line's end; the sign \x01 and
+    itself, if it is marks behind a letter; and itself with a blank behind it, whatever it is.
     """
 
-    _ODD = rf"[{_WHITE}] | [{_WHITE}]|\A | \z"
-    _CUT = re.compile(r"(?<=\S)(?=[ ]\S)").split
-    _SPACE = re.compile(r"\s").search
-    _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)").fullmatch
-    _LINE = 1024
+    _ODD = rf" [{_WHITE}]|[{_WHITE}] |\A | \z|\x01"
+    _LINES = rf"([^{_WHITE}])\n([^{_WHITE}])"
+    _ENDS = rf"([{_LATIN}])([{_MARKS}]+) "
+    _CUT = re.compile(rf"(?<=\S)(?=[ \n]\S)|(?<=[{_LATIN}])(?=[{_MARKS}]+[ \n]\S)").split
+    _SPACE = re.compile(r"[\s\x01]").search
+    #: Units of a line, and lines that are with the library at a time.
+    _LINE, _CALL = 1024, 32
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._added = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
+        added = [re.escape(x) for x in sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values())]
+        self._odd, self._whole = "|".join([self._ODD, *added]), re.compile("|".join(["\x01", *added])).search
         words = self._tokenizer.pre_tokenizer
         self._cuts = self._tokenizer.normalizer is None and isinstance(words, pre_tokenizers.ByteLevel) and not words.add_prefix_space
         size = self._tokenizer.get_vocab_size()
-        self._begins = np.array([(self._tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # how byte-level files write a blank
+        tokens = [self._tokenizer.id_to_token(i) or "" for i in range(size)]
+        self._begins = {c: np.array([t.startswith(x) for t in tokens]) for c, x in ((" ", "Ġ"), ("\n", "Ċ"))}  # how byte-level files write them
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self._clear()
 
     def _clear(self) -> None:
-        self._numbers: dict[str, int] = {}
+        self._numbers: dict[str, int] = defaultdict(count().__next__)
         self._starts, self._lengths, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, self.dtype) for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), self._CALL):
+            for x in self._tokenizer.encode_batch_fast(texts[at : at + self._CALL], add_special_tokens=False):
+                yield np.array(x.ids, self.dtype)
 
     def _learn(self, keys: list[str]) -> None:
-        """Append new units; of plain letters with marks behind them the ids are those of the letters and then of the marks, as words are cut there."""
-        parts = {k: m.groups() for k in keys if (m := self._PARTS(k))}
-        needed = {w for w, _ in parts.values()} | {marks + " " for _, marks in parts.values()} | {k for k in keys if k not in parts}
-        self._encode(list(needed.difference(self._numbers)))
-        if parts:
-            both = np.array([(self._numbers[w], self._numbers[marks + " "]) for w, marks in parts.values()], np.int64)
-            lengths = self._lengths[both]
-            self._append(list(parts), lengths.sum(axis=1), gather(self._starts[both].ravel(), lengths.ravel(), self._flat))
-
-    def _encode(self, keys: list[str]) -> None:
-        single = [k for k in keys if self._SPACE(k)]
-        plain = [k for k in keys if not self._SPACE(k)]
-        lines, found = [plain[i : i + self._LINE] for i in range(0, len(plain), self._LINE)], []
-        for line, ids in zip(lines, self._ids(["".join([" " + k for k in line]) for line in lines]), strict=True):
-            begins = np.flatnonzero(self._begins[ids])
-            if len(begins) == len(line) and begins[0] == 0:
-                found.append((line, np.diff(begins, append=len(ids)), ids))
+        """Append the ids of new units, whose numbers follow those known."""
+        lengths, starts, flat, held = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [self._flat], len(self._flat)
+        blank, line, first, single = [], [], [], []
+        space = self._SPACE
+        for i, k in enumerate(keys):
+            if not space(k):
+                blank.append(i)
+            elif k[0] == "\n" and len(k) > 1 and not space(k, 1):
+                line.append(i)
+            elif k[-1] == " " and len(k) > 1 and not space(k, 0, len(k) - 1):
+                first.append(i)
             else:
-                single += line
-        if single:
-            each = self._ids([k[:-1] if k.endswith(" ") else " " + k for k in single])
-            found.append((single, np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)))
-        if found:
-            self._append([k for x in found for k in x[0]], *(np.concatenate(x) for x in list(zip(*found, strict=True))[1:]))
-
-    def _append(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(lengths) - lengths])
-        self._lengths, self._flat = np.concatenate([self._lengths, lengths]), np.concatenate([self._flat, ids])
-        self._numbers.update(zip(keys, range(len(self._numbers), len(self._numbers) + len(keys)), strict=True))
+                single.append(i)
+        for own, begin, texts, skip in (
+            (blank, " ", [" " + keys[i] for i in blank], 0),
+            (line, "\n", [keys[i] for i in line], 0),
+            (first, "\n", ["\n" + keys[i][:-1] for i in first], 1),  # the line's end is one token, which is left out
+        ):
+            lines = [slice(at, at + self._LINE) for at in range(0, len(own), self._LINE)]
+            for part, ids in zip(lines, self._ids(["".join(texts[x]) for x in lines]), strict=True):
+                begins, places = np.flatnonzero(self._begins[begin][ids]), own[part]
+                if len(begins) == len(places) and begins[0] == 0:
+                    lengths[places], starts[places] = np.diff(begins, append=len(ids)) - skip, held + begins + skip
+                    flat.append(ids)
+                    held += len(ids)
+                else:
+                    single += places
+        for i, ids in zip(single, self._ids([self._text(keys[i]) for i in single]), strict=True):
+            lengths[i], starts[i] = len(ids), held
+            flat.append(ids)
+            held += len(ids)
+        self._flat = np.concatenate(flat)
+        self._starts, self._lengths = np.concatenate([self._starts, starts]), np.concatenate([self._lengths, lengths])
+
+    def _key(self, unit: str) -> str:
+        if unit.endswith(" ") or not unit.startswith((" ", "\n")) or unit.startswith(" \n"):
+            return unit + " "
+        return unit.removeprefix(" ")
+
+    def _text(self, key: str) -> str:
+        if key.endswith(" "):
+            return key[:-1]
+        return key.removeprefix("\x01") if key.startswith(("\n", "\x01")) else " " + key
 
     def _number(self, keys: list[str]) -> np.ndarray:
-        numbers = list(map(self._numbers.get, keys))
-        if None in numbers:
-            self._learn(list({k for k, n in zip(keys, numbers, strict=True) if n is None}))
-            numbers = list(map(self._numbers.get, keys))
-        return np.array(numbers, np.int64)
+        known = len(self._numbers)
+        numbers = np.fromiter(map(self._numbers.__getitem__, keys), np.int64, len(keys))
+        if new := len(self._numbers) - known:
+            self._learn(list(islice(reversed(self._numbers), new))[::-1])
+        return numbers
 
     def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all units, number of units of each text)."""
         if not self._cuts:
             return self._number([t + " " for t in texts]), np.ones(len(texts), np.int64)
         column = pa.array(texts, pa.large_string())
-        whole = np.zeros(len(texts), bool)
-        for token in self._added:
-            whole |= np.asarray(pa.compute.match_substring(column, token))
-        odd = np.asarray(pa.compute.match_substring_regex(column, self._ODD)) & ~whole
-        usual = np.flatnonzero(~whole & ~odd)
-        lists = pa.compute.split_pattern(column.take(pa.array(usual)), " ")
-        units = pa.compute.dictionary_encode(lists.flatten())
-        numbers, counts = self._number(units.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(units.indices)], np.zeros(len(texts), np.int64)
-        counts[usual] = np.asarray(lists.value_lengths(), np.int64)
+        odd = np.asarray(pa.compute.match_substring_regex(column, self._odd))
+        usual, own, counts = np.flatnonzero(~odd), np.flatnonzero(odd), np.zeros(len(texts), np.int64)
+        ended = pa.compute.replace_substring_regex(column.take(pa.array(usual)), self._LINES, "\\1 \n\\2")
+        lists = pa.compute.split_pattern(pa.compute.replace_substring_regex(ended, self._ENDS, "\\1 \x01\\2 "), " ")
+        flat, counts[usual] = lists.flatten(), np.asarray(lists.value_lengths(), np.int64)
         firsts = np.cumsum(counts[usual]) - counts[usual]
-        numbers[firsts] = self._number([texts[i].partition(" ")[0] + " " for i in usual])
-        if len(usual) == len(texts):
+        units = pa.compute.dictionary_encode(flat)
+        begun = flat.take(pa.array(firsts)).to_pylist()
+        known = self._number(units.dictionary.to_numpy(zero_copy_only=False).tolist() + [u + " " for u in begun])
+        numbers = known[np.asarray(units.indices)]
+        numbers[firsts] = known[len(units.dictionary) :]
+        if not len(own):
             return numbers, counts
-        own = np.flatnonzero(whole | odd)
-        cut = [[texts[i] + " "] if whole[i] else [u[1:] if self._begun(u) else u + " " for u in self._CUT(texts[i])] for i in own]
+        cut = [[texts[i] + " "] if self._whole(texts[i]) else list(map(self._key, self._CUT(texts[i]))) for i in own]
         counts[own] = list(map(len, cut))
         rest = self._number([u for x in cut for u in x])
         starts = np.zeros(len(texts), np.int64)
         starts[usual], starts[own] = firsts, len(numbers) + np.cumsum(counts[own]) - counts[own]
         return gather(starts, counts, np.concatenate([numbers, rest])), counts
 
-    def _begun(self, unit: str) -> bool:
-        """A blank, and then something without blanks at its end, which would read as the mark of the other kind."""
-        return unit.startswith(" ") and not unit.endswith(" ")
-
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text): each text's ids and the end id behind them."""
         if len(self._numbers) > CACHE:

@@ -141,6 +141,37 @@ def test_units_against_the_library(text):
     assert ids.tolist() == library([text])[0] and counts.tolist() == [len(ids)]
 
 
+@given(st.lists(st.text(alphabet="aWéɏ1ж,.'!]-\" \n\r\x01Ċ", max_size=40), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_marks_and_lines_against_the_library(texts):
+    ids, counts = packing.load(PATH).encode(texts, 1)
+    own = library(texts)
+    assert ids.tolist() == [i for x in own for i in x] and counts.tolist() == list(map(len, own))
+
+
+class Counted:
+    """A tokenizer that counts the texts and characters it is given."""
+
+    def __init__(self, own):
+        self.own, self.texts, self.characters = own, 0, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts, self.characters = self.texts + len(texts), self.characters + sum(map(len, texts))
+        return self.own.encode_batch_fast(texts, **options)
+
+
+def test_words_reach_the_library_once():
+    """Marks behind a word make no other unit of it, and a line's end between two words no unit of both."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(2000)]
+    texts = ["See " + " ".join(f"{w}{mark}" for w in words) for mark in ("", ",", ".", ";", "!?", '".')]
+    texts += ["See " + ".\n".join(f"{w} {v}" for w, v in zip(words, words[k:] + words[:k], strict=True)) for k in (1, 2, 3)]
+    own = packing.UnitTokenizer(PATH)
+    own._tokenizer = counted = Counted(own._tokenizer)
+    ids, _ = own.encode(texts, 1)
+    assert ids.tolist() == [i for x in library(texts) for i in x]
+    assert counted.texts < 50 and counted.characters < 2.5 * sum(len(w) + 1 for w in words)
+
+
 def test_empty_table(spark, tmp_path):
     write(spark.read.parquet(f"{SF}/documents.parquet").limit(0), tmp_path)
     assert queries()["op13_packing"](spark, str(tmp_path)).collect() == []
